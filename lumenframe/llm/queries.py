@@ -5,12 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import group_splits, quantiles
+from lumenframe.llm import clusters, group_splits, leaks, mixing, neighbours, quantiles, sentences, subset
 from lumenframe.runtime import materialize, table
 
 PROPERTIES = ["area", "perimeter", "intensity_mean", "texture_contrast", "eccentricity", "solidity", "orientation", "blob_count"]
 
 
+def p1_subset(spark: SparkSession, d: str) -> DataFrame:
+    """A varied tenth of the images."""
+    t = table(spark, d, "image_vectors")
+    return subset.varied_subset(t, "image_index", "embedding", size=max(1, t.count() // 10))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    c = clusters.linked_clusters(table(spark, d, "image_vectors"), "image_index", "embedding", least_size=8)
+    return c.select(F.col("id").alias("image_index"), F.col("head").alias("cluster_head"))
+
+
+def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Size and three most typical images of each cluster of at least 8 images."""
+    t = table(spark, d, "image_vectors")
+    c = materialize(clusters.linked_clusters(t, "image_index", "embedding", least_size=8), "clusters")
+    return clusters.describe(t, c, "image_index", "embedding").withColumnRenamed("id", "image_index")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.close_pairs(table(spark, d, "image_vectors"), "image_index", "embedding", k=5, least=0.97)
+
+
+def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest of every image whose id is divisible by 50, among all images."""
+    t = table(spark, d, "image_vectors")
+    return neighbours.search_queries(t, t.where(F.col("image_index") % 50 == 0), "image_index", "embedding", k=10)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return group_splits.tied_batches(table(spark, d, "fold_labels"))
 
@@ -57,6 +85,34 @@ def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.percentiles(all_days, ["compound"], [5, 25, 50, 75, 95])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p2_shares, p3_found, p3_percentiles)}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked(table(spark, d, "documents"), table(spark, d, "benchmark_items")).select("doc_id", "item_id")
+
+
+def p6_items(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents each test item leaked into, and its longest stretch."""
+    found = leaks.leaked(table(spark, d, "documents"), table(spark, d, "benchmark_items"))
+    return found.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("stretch").alias("longest"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    _, report = mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return report.where("need > tokens").select("source", "passes")
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Shares reached, when documents without a source are drawn by their posteriors as well."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), soft=True)[1]
+
+
+def p7_plan(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_subset, p2_found, p2_splits, p2_shares, p3_found, p3_percentiles, p4_found, p4_clusters, p5_found, p5_neighbours, p6_found, p6_items, p7_found, p7_mix, p7_plan, p8_found)}
 
 SQL: dict[str, str] = {}
