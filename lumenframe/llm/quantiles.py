@@ -192,15 +192,40 @@ def _batch(rows: list[tuple], names: list[str], arrow: pa.Schema) -> pa.RecordBa
 
 def merge_sketches(sketches: DataFrame, group_cols: list[str], k: int = K, b: int = B) -> DataFrame:
     """Combine sketches that share ``group_cols`` and property: partitions of one table, or any set of days."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     schema = _schema(sketches, group_cols)
+    names = [f.name for f in schema]
+    arrow = to_arrow_schema(schema)
+    keys = [*group_cols, "property"]
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        total = Sketch(k, b)
-        for r in pdf.sort_values(["n", "err"]).itertuples(index=False):
-            total.merge(Sketch.load(r.n, r.err, r.levels, r.weights, r.lens, r.values, k, b))
-        return pd.DataFrame([(*key, *total.row())], columns=[f.name for f in schema])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sketches arrive sorted by group, so one merged sketch is held at a time."""
+        now, total, out = None, None, []
+        for batch in batches:
+            cols = {c: batch.column(c).to_pylist() for c in [*keys, "n", "err", "levels", "weights", "lens"]}
+            values = batch.column("values")
+            flat, off = np.asarray(values.flatten()), np.asarray(values.offsets)
+            off = off - off[0]
+            for i in range(batch.num_rows):
+                key = tuple(cols[c][i] for c in keys)
+                s = Sketch.load(cols["n"][i], cols["err"][i], cols["levels"][i], cols["weights"][i], cols["lens"][i], flat[off[i] : off[i + 1]], k, b)
+                if key == now:
+                    total.merge(s)
+                else:
+                    if total is not None:
+                        out.append((*now, *total.row()))
+                    now, total = key, s
+            if len(out) >= 2000:
+                yield _batch(out, names, arrow)
+                out = []
+        if total is not None:
+            out.append((*now, *total.row()))
+        if out:
+            yield _batch(out, names, arrow)
 
-    return sketches.groupBy(*group_cols, "property").applyInPandas(run, schema)
+    placed = sketches.select(*names).repartition(partitions(sketches.sparkSession), *keys)
+    return placed.sortWithinPartitions(*keys, "n", "err").mapInArrow(run, schema)
 
 
 def percentiles(sketches: DataFrame, group_cols: list[str], pcts: list[int]) -> DataFrame:
