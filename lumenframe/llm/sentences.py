@@ -1,15 +1,17 @@
 """Sentence units of texts in any script.
 
 Candidate boundaries are marks (and, in scripts that end statements with a space, blanks); a maximum-entropy classifier
-decides each from its neighbours. It is trained on reliable boundaries of the texts themselves: paragraph breaks. Those
-are a random share of all true boundaries, so the probability of "a paragraph ends here", divided by that share, is the
-probability of a boundary.
+decides each from its neighbours. It is trained on reliable boundaries of the texts themselves: paragraph breaks, and line
+breaks after a mark. A first model tells how much more often such a break follows in a context than elsewhere; contexts in
+which it (almost) never does are reliable non-boundaries, those in which it does are boundaries, and the second model,
+which decides, learns from these.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FIT_DOCS = 30_000  # most documents the classifier is fitted on
+FIT_DOCS = 10_000  # most documents the classifier is fitted on
 WIDTH = 1 << 18  # hashed features
 
 # fixed values: marks that can end a sentence, and pairs that enclose text
@@ -29,16 +31,20 @@ CLOSE = "".join(sorted({*PAIRS.values(), '"', "'", "’", "”"}))
 SPACED = "฀-๿຀-໿ក-៿က-႟"
 
 _BREAK = regex.compile(r"\n[^\S\n]*\n\s*")
-_CAND = regex.compile(rf"[{regex.escape(MARKS)}]+(?:\s?[{regex.escape(CLOSE)}]+)*|(?<=[{SPACED}])\s+(?=\S)|(?<=\S)\s+(?=[{SPACED}])")
+_CAND = regex.compile(rf"[{regex.escape(MARKS)}]+|(?<=[{SPACED}])\s+(?=\S)|(?<=\S)\s+(?=[{SPACED}])")
 _TOKEN = regex.compile(r"\S+")
+_QUOTE = regex.compile(r"[\"“”«»「」『』（）()\[\]【】《》„‹›［］]")
+_AHEAD = regex.compile(r"(\S+)(?:\s+(\S+))?")
+_NUMBER = regex.compile(r"^\d{1,4}[.)]\s+")
+_DIGITS = regex.compile(r"\d+")
 _LIST = regex.compile(r"^\s*(?:\d{1,4}|[A-Za-z])[.)]$")
 
 
-def _enclosed(p: str) -> list[tuple[int, int]]:
-    """Outermost closed pairs of quotes and brackets in a paragraph, as (open, close) positions; unclosed ones don't count."""
+def _pairs(p: str) -> list[tuple[int, int]]:
+    """Closed pairs of quotes and brackets in a paragraph, as (open, close) positions; unclosed ones don't count."""
     out: list[tuple[int, int]] = []
     stack: list[tuple[str, int]] = []
-    for m in regex.finditer(r"[\"“”«»「」『』（）()\[\]【】《》„‹›［］]", p):
+    for m in _QUOTE.finditer(p):
         c, i = m[0], m.start()
         if c == '"':
             if any(o == '"' for o, _ in stack):
@@ -61,19 +67,23 @@ def _enclosed(p: str) -> list[tuple[int, int]]:
         if stack:
             _, at = stack.pop()
             out.append((at, i))
-    out.sort()
+    return sorted(out)
+
+
+def _outer(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     top: list[tuple[int, int]] = []
-    for a, b in out:
+    for a, b in pairs:
         if not top or a > top[-1][1]:
             top.append((a, b))
     return top
 
 
+@lru_cache(maxsize=65_536)
 def _shape(w: str) -> str:
     """Kinds of characters, runs shortened: Ab -> Xx, 3.5 -> 9.9."""
     out = []
-    for c in w[:24]:
-        k = "9" if c.isdigit() else "X" if c.isupper() else "x" if c.islower() else "o" if c.isalpha() else c
+    for c in w[:16]:
+        k = "x" if c.islower() else "9" if c.isdigit() else "X" if c.isupper() else "o" if c.isalpha() else c
         if not out or out[-1] != k:
             out.append(k)
     return "".join(out[:8])
@@ -85,7 +95,9 @@ def _script(c: str) -> str:
 
 
 def candidates(text: str) -> list[tuple[int, int, bool, str, str, str]]:
-    """``(end of the left side, start of the right side, at a paragraph break, left, right, between)``.
+    """``(end of the left side, start of the right side, at a line or paragraph break, left, right, between)``.
+
+    Paragraph breaks themselves are listed for training, with a start of -1.
 
     Marks within closed quotes or brackets are no candidates, nor is the number that opens a list line. The last mark of a
     text has nothing to its right and needs no decision.
@@ -101,11 +113,20 @@ def candidates(text: str) -> list[tuple[int, int, bool, str, str, str]]:
         p = text[lo:hi]
         if not p.strip():
             continue
-        inside = _enclosed(p)
+        pairs = _pairs(p)
+        inside, openers, closers = _outer(pairs), {a for a, _ in pairs}, {b for _, b in pairs}
         n_in = 0
         for m in _CAND.finditer(p):
             s, e = m.start(), m.end()
             blank = m[0].isspace()
+            while not blank and e < len(p):
+                # closers stay with the mark; a sign that opens a pair starts the next unit
+                if p[e] in CLOSE and e not in openers:
+                    e += 1
+                elif p[e].isspace() and e + 1 in closers:
+                    e += 2
+                else:
+                    break
             while n_in < len(inside) and inside[n_in][1] < s:
                 n_in += 1
             if n_in < len(inside) and inside[n_in][0] < s and inside[n_in][1] >= e:
@@ -113,7 +134,6 @@ def candidates(text: str) -> list[tuple[int, int, bool, str, str, str]]:
             if blank:
                 left_end, right = s, e
             else:
-                # closers that belong to an opener inside the paragraph stay with the mark; a lone opener-like sign doesn't
                 left_end = e
                 right = e
                 while right < len(p) and p[right].isspace():
@@ -130,25 +150,29 @@ def candidates(text: str) -> list[tuple[int, int, bool, str, str, str]]:
                 line = p.rfind("\n", 0, s) + 1
                 if e - s == 1 and _LIST.match(p[line:e]) and p[line:s].strip() and not p[line:s].strip().isalpha():
                     continue
-            out.append((lo + left_end, lo + right, False, p[:left_end], p[right:], p[left_end:right]))
+            gap = p[left_end:right]
+            rest = p[right:]
+            if "\n" in gap:
+                rest = _NUMBER.sub("", rest, count=1)
+            out.append((lo + left_end, lo + right, "\n" in gap, p[:left_end], rest, gap))
         nxt = next((text[a:b] for a, b in spans[k + 1 :] if text[a:b].strip()), None)
         end = p.rstrip()
         if nxt is not None and (end[-1] in MARKS or end[-1] in CLOSE or _script(end[-1]) == "T"):
-            out.append((lo + len(end), -1, True, end, nxt.lstrip(), " "))
+            out.append((lo + len(end), -1, True, end, _NUMBER.sub("", nxt.lstrip(), count=1), ""))
     return out
 
 
 def _before(left: str) -> tuple[str, str, str, str]:
     """The mark with its closers, the word before it, the one before that, and what the quote before the mark opens after."""
     i = len(left)
-    while i and (left[i - 1] in CLOSE or left[i - 1] in MARKS or left[i - 1] == " " and i < len(left) and left[i] in CLOSE):
+    while i and (left[i - 1] in CLOSE or left[i - 1] in MARKS or left[i - 1].isspace() and i < len(left) and left[i] in CLOSE):
         i -= 1
-    mark = left[i:].replace(" ", "")
+    mark = "".join(left[i:].split())
     tail = left[max(0, i - 80) : i]
     ws = tail.split()
     quote = ""
     if mark and mark[-1] in CLOSE:
-        pairs = _enclosed(left)
+        pairs = _outer(_pairs(left))
         if pairs and pairs[-1][1] == len(left) - 1:
             o = pairs[-1][0]
             pre = left[:o].rstrip()
@@ -164,11 +188,12 @@ _EDGE = "".join(sorted(set("\"'“”«»「」『』（）()[]【】《》„
 def hashed(left: str, right: str) -> list[int]:
     """Feature numbers of a candidate."""
     mark, w1, w2, quote = _before(left)
-    m = regex.match(r"\S+(?:\s+\S+)?", right[:120])
-    rs = m[0].split() if m else [""]
+    m = _AHEAD.match(right[:120])
+    rs = [x for x in m.groups() if x] if m else [""]
     opener = rs[0][:1] if rs[0][:1] in _EDGE else ""
-    n1 = rs[0].strip(_EDGE) or rs[0]
-    n2 = rs[1] if len(rs) > 1 else ""
+    n1 = _DIGITS.sub("9", rs[0].strip(_EDGE) or rs[0])
+    n2 = _DIGITS.sub("9", rs[1]) if len(rs) > 1 else ""
+    w1, w2 = _DIGITS.sub("9", w1), _DIGITS.sub("9", w2)
     script = _script((w1 or mark or "a")[-1]) if not mark or mark[0] not in FULL else "J"
     if script == "T" or script == "J":
         a, b = w1[-6:], n1[:6]
@@ -182,16 +207,23 @@ def hashed(left: str, right: str) -> list[int]:
     return [zlib.crc32((script + x).encode()) % WIDTH for x in f]
 
 
-def fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, rounds: int = 120, ridge: float = 2e-6) -> np.ndarray:
-    """Weights of a logistic model with hashed binary features (one sorted row number per feature), by Adam on all rows."""
+def fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, rounds: int = 70, seen: int = 6) -> np.ndarray:
+    """Weights of a logistic model with hashed binary features, by Adam on all rows; rare features keep weight 0."""
     n = len(y)
-    w, m, v = np.zeros(WIDTH), np.zeros(WIDTH), np.zeros(WIDTH)
+    on = np.bincount(cols, minlength=WIDTH) >= seen
+    use = on[cols]
+    rows, cols = rows[use], cols[use]
+    names, cols = np.unique(cols, return_inverse=True)
+    k = len(names)
+    w, m, v = np.zeros(k), np.zeros(k), np.zeros(k)
     for t in range(1, rounds + 1):
         z = np.bincount(rows, w[cols], minlength=n)
-        g = np.bincount(cols, ((1 / (1 + np.exp(-z))) - y)[rows] / n, minlength=WIDTH) + ridge * w
+        g = (np.bincount(cols, ((1 / (1 + np.exp(-z))) - y)[rows], minlength=k) + 1.0 * w) / n
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-    return w
+        w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+    out = np.zeros(WIDTH)
+    out[names] = w
+    return out
 
 
 SCRIPTS = "LCADTJO"
@@ -204,8 +236,8 @@ def _kind(left: str) -> str:
     return "O"
 
 
-def train(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[np.ndarray, np.ndarray]:
-    """Weights, and per script the share of true boundaries that are paragraph breaks; on at most FIT_DOCS documents."""
+def train(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> np.ndarray:
+    """Weights of the deciding model, trained on at most FIT_DOCS documents."""
     n = documents.count()
     keep = min(1.0, FIT_DOCS / max(n, 1))
     d = documents.where(F.col(text).isNotNull() & (F.pmod(F.xxhash64(doc_id, F.lit(7)), F.lit(1 << 30)) < int(keep * (1 << 30)))).select(text).limit(2 * FIT_DOCS)
@@ -224,34 +256,49 @@ def train(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> t
     y, k = np.asarray(got.column("y"), float), np.asarray(got.column("k"), int)
     lists = got.column("f").combine_chunks() if got.num_rows else None
     if lists is None or not y.sum():
-        return np.zeros(WIDTH), np.full(len(SCRIPTS), 0.5)
+        return np.zeros(WIDTH)
     cols = np.asarray(lists.flatten(), np.int64)
     rows = np.repeat(np.arange(len(y)), np.diff(np.asarray(lists.offsets)))
-    order = np.lexsort((np.asarray(rows),))
-    w = fit(rows[order], cols[order], y)
-    p = 1 / (1 + np.exp(-np.bincount(rows, w[cols], minlength=len(y))))
+    return learn(rows, cols, y, k)
+
+
+def learn(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, k: np.ndarray, never: float = 0.04, often: float = 0.2) -> np.ndarray:
+    """Weights of the deciding model. ``y``: a line or paragraph break follows; ``k``: script; rows are sorted.
+
+    Two-fold, so that no candidate is judged by a model that has seen it. A candidate's break probability is set against
+    the mean of its script's breaks: at or under ``never`` it is no boundary, from ``often`` on it is one.
+    """
+    n = len(y)
+    p = np.zeros(n)
+    for fold in range(2):
+        own = np.arange(n) // 64 % 2 == fold
+        use = ~own[rows]
+        place = np.cumsum(~own) - 1
+        w = fit(place[rows[use]], cols[use], y[~own])
+        p[own] = (1 / (1 + np.exp(-np.bincount(rows, w[cols], minlength=n))))[own]
     share = np.full(len(SCRIPTS), p[y == 1].mean())
     for i in range(len(SCRIPTS)):
         on = (k == i) & (y == 1)
         if on.sum() >= 30:
             share[i] = p[on].mean()
-    return w, share
+    ratio = p / np.maximum(share[k], 1e-9)
+    label = np.where((y == 1) | (ratio >= often), 1.0, 0.0)
+    sure = (y == 1) | (ratio >= often) | (ratio <= never)
+    place = np.cumsum(sure) - 1
+    use = sure[rows]
+    return fit(place[rows[use]], cols[use], label[sure])
 
 
-def units(text: str, w: np.ndarray, share: np.ndarray) -> list[tuple[int, int]]:
+def units(text: str, w: np.ndarray) -> list[tuple[int, int]]:
     """``(start, end)`` of the sentence units of one text."""
     if not text or not text.strip():
         return []
     cuts = [(m.start(), m.end()) for m in _BREAK.finditer(text)]
-    cand = [c for c in candidates(text) if not c[2]]
+    cand = [c for c in candidates(text) if c[1] >= 0]
     if cand:
         f = [hashed(c[3], c[4]) for c in cand]
         z = np.array([w[x].sum() for x in f])
-        p = 1 / (1 + np.exp(-z))
-        kinds = np.array([SCRIPTS.index(_kind(c[3])) for c in cand])
-        for c, q, k in zip(cand, p, kinds):
-            if q >= 0.5 * share[k]:
-                cuts.append((c[0], c[1]))
+        cuts += [(c[0], c[1]) for c, q in zip(cand, z) if q >= 0]
     cuts.sort()
     out, at = [], 0
     for a, b in [*cuts, (len(text), len(text))]:
@@ -276,9 +323,9 @@ def split_sentences(documents: DataFrame, text: str = "text", doc_id: str = "doc
     b = spark.sparkContext.broadcast(train(documents, text, doc_id))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w, share = b.value
+        w = b.value
         for pdf in batches:
-            out = [(d, s, e) for d, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()) if t for s, e in units(t, w, share)]
+            out = [(d, s, e) for d, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()) if t for s, e in units(t, w)]
             yield pd.DataFrame(out, columns=["doc_id", "start_char", "end_char"])
 
     kind = documents.schema[doc_id].dataType.simpleString()
