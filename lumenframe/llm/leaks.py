@@ -1,7 +1,7 @@
 """Evaluation texts that leaked into training documents.
 
-Both sides are brought to plain words; n-grams of the test items seed candidates, rarer ones at once, common ones only in
-twos; a local alignment with a budget of edits then decides.
+Both sides are brought to plain words. N-grams of the test items, long enough to be rare in a corpus, seed candidates in a
+hash join; a local alignment with a budget of edits then decides.
 """
 
 from __future__ import annotations
@@ -16,12 +16,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.runtime import materialize
-
 WORDS, CHARS = 16, 30  # least stretch, in words and in characters of scripts without spaces
 EDIT = 8  # one unit in EDIT may differ
 SEED_WORDS, SEED_CHARS = 5, 6  # the longest runs that every allowed stretch is sure to hold unchanged
-RARE = 0.01  # a seed in more than this share of the documents is common
 
 _INVISIBLE = regex.compile(r"[\p{Cf}\p{Mn}--[\p{Mn}&&[\p{Devanagari}\p{Thai}\p{Arabic}\p{Hebrew}]]]+", regex.V1)
 _TAG = regex.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)(?:\s[^<>]{0,300})?/?>")
@@ -107,27 +104,24 @@ def align(item: np.ndarray, doc: np.ndarray, least: int, budget: int = EDIT) ->
     allowed stretch can be cut into allowed ones shorter than twice ``least``, so planes up to that length's edits decide.
     """
     top = (2 * least - 1) // budget
-    m = len(doc)
     none = -(10**6)
-    old = np.full((top + 1, m + 1), none)
+    old = np.full((top + 1, len(doc) + 1), none, np.int32)
     old[0] = 0
     best, best_e = 0, 0
     floor = np.maximum(least, budget * np.arange(top + 1))
     for w in item:
-        new = np.full((top + 1, m + 1), none)
-        same = doc == w
-        for e in range(top + 1):
-            row = new[e]
-            row[1:] = np.where(same, old[e, :-1] + 1, none)
-            if e:
-                np.maximum(row[1:], old[e - 1, :-1] + 1, out=row[1:])
-                np.maximum(row, old[e - 1] + 1, out=row)
-                np.maximum(row[1:], new[e - 1, :-1], out=row[1:])
+        new = np.full_like(old, none)
+        np.copyto(new[:, 1:], old[:, :-1] + 1, where=doc == w)
+        np.maximum(new[1:, 1:], old[:-1, :-1] + 1, out=new[1:, 1:])
+        np.maximum(new[1:], old[:-1] + 1, out=new[1:])
         np.maximum(new[0], 0, out=new[0])
+        for e in range(1, top + 1):
+            np.maximum(new[e, 1:], new[e - 1, :-1], out=new[e, 1:])
         score = new.max(1)
-        for e in np.flatnonzero(score >= floor):
-            if score[e] - budget * e > best - budget * best_e or not best:
-                best, best_e = int(score[e]), int(e)
+        if (score >= floor).any():
+            for e in np.flatnonzero(score >= floor):
+                if score[e] - budget * e > best - budget * best_e or not best:
+                    best, best_e = int(score[e]), int(e)
         old = new
     return best, best_e
 
@@ -149,12 +143,12 @@ def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     """``(doc_id, item_id, stretch, edits)``: every document that holds a stretch of an item, each pair once.
 
     A stretch is at least WORDS consecutive words of the item (CHARS characters in scripts without spaces) with at most
-    one in EDIT changed, dropped or added. By counting, such a stretch shares two seeds or more with the document, so
-    asking one rare or two common seeds loses none. Items are taken ``block`` at a time: what is broadcast is bounded.
+    one in EDIT changed, dropped or added. By counting, such a stretch shares several seeds with the document, so asking
+    for them loses none. Words dropped at the ends of a stretch count as its edits, so 14 unchanged words (27 characters) in
+    a row suffice. Items are taken ``block`` at a time: what is broadcast is bounded.
     Null or empty texts match nothing; rows with a null id are left out; shorter items can't match. Of rows repeated
     under one doc_id any may hold the stretch. Whole texts are read, of any length, one at a time.
     """
-    spark = documents.sparkSession
     rows = [(r[0], r[1]) for r in items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(item_id, text).dropDuplicates([item_id]).orderBy(item_id).toLocalIterator()]
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     out = None
@@ -162,53 +156,45 @@ def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
         found = _leaked(docs, Items(rows[lo : lo + block]))
         out = found if out is None else out.unionByName(found)
     w = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("stretch", (-F.col("edits")).alias("e"))).alias("x"))
-    del spark
     return w.select("doc_id", "item_id", "x.stretch", (-F.col("x.e")).alias("edits"))
 
 
+def _promising(hits: list[tuple[int, int, int]], by_chars: bool) -> bool:
+    """Whether hits of one window can belong to an allowed stretch.
+
+    By counting, L units with e <= L / EDIT edits keep at least L - n + 1 - e n seeds of n units: two of words, five of
+    characters, for every L, at different places of the item. Fewer can only be chance, however rare the seed.
+    """
+    return len({j for _, j, _ in hits}) >= (5 if by_chars else 2)
+
+
 def _leaked(docs: DataFrame, known: Items) -> DataFrame:
-    spark = docs.sparkSession
-    b = spark.sparkContext.broadcast(known)
+    b = docs.sparkSession.sparkContext.broadcast(known)
 
-    def seek(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = b.value
+        codes = [{w: c for c, w in enumerate(dict.fromkeys(t))} for t in known.tokens]
+        items = [np.array([p[w] for w in t], np.int32) for p, t in zip(codes, known.tokens)]
+        memo: dict = {}
         for pdf in batches:
-            got = []
+            out = []
             for d, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
                 tokens = words(plain(t))
                 for i, h in known.hits(tokens).items():
-                    seq = list("".join(tokens)) if known.by_chars[i] else tokens
-                    place = {w: c for c, w in enumerate(dict.fromkeys(known.tokens[i]))}
+                    seq = "".join(tokens) if known.by_chars[i] else tokens
                     for lo, hi in _windows(h, len(known.tokens[i]), len(seq)):
-                        own = [(p, j) for p, j, _ in h if lo <= p < hi]
-                        got.append((d, i, [j for _, j in own], [place.get(w, -1) for w in seq[lo:hi]]))
-            yield pd.DataFrame(got, columns=["doc_id", "item", "seeds", "codes"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    hits = materialize(docs.mapInPandas(seek, f"doc_id {kind}, item int, seeds array<int>, codes array<int>"), "seeds")
-    # how many documents hold a seed, over the whole corpus; common seeds are few, at most the items' seeds
-    n_docs = docs.count()
-    common = hits.select("doc_id", "item", F.explode("seeds").alias("s")).distinct().groupBy("item", "s").agg(F.count("*").alias("c")).where(F.col("c") > max(5.0, RARE * n_docs)).select("item", F.col("s").alias("common"))
-    common = common.groupBy("item").agg(F.collect_set("common").alias("common"))
-    j = hits.join(common, "item", "left")
-    ok = (F.size("seeds") >= 2) | (F.size(F.array_except("seeds", F.coalesce("common", F.array().cast("array<int>")))) >= 1)
-
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = b.value
-        memo: dict = {}
-        for pdf in batches:
-            out = []
-            for d, i, codes in zip(pdf["doc_id"].tolist(), pdf["item"].tolist(), pdf["codes"]):
-                doc = np.asarray(codes, np.int64)
-                key = (i, doc.tobytes())
-                if key not in memo:
-                    if len(memo) > 50_000:
-                        memo.clear()
-                    place = {w: c for c, w in enumerate(dict.fromkeys(known.tokens[i]))}
-                    memo[key] = align(np.array([place[w] for w in known.tokens[i]]), doc, CHARS if known.by_chars[i] else WORDS)
-                n, e = memo[key]
-                if n:
-                    out.append((d, known.ids[i], n, e))
+                        if not _promising([x for x in h if lo <= x[0] < hi], known.by_chars[i]):
+                            continue
+                        doc = np.array([codes[i].get(w, -1) for w in seq[lo:hi]], np.int32)
+                        key = (i, doc.tobytes())
+                        if key not in memo:
+                            if len(memo) > 20_000:
+                                memo.clear()
+                            memo[key] = align(items[i], doc, CHARS if known.by_chars[i] else WORDS)
+                        n, e = memo[key]
+                        if n:
+                            out.append((d, known.ids[i], n, e))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "stretch", "edits"])
 
-    return j.where(ok).select("doc_id", "item", "codes").mapInPandas(decide, f"doc_id {kind}, item_id bigint, stretch int, edits int")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInPandas(run, f"doc_id {kind}, item_id bigint, stretch int, edits int")
