@@ -156,33 +156,39 @@ def edge_distance(m: Plane) -> Plane:
     return np.sqrt(f)
 
 
-def rings(count: int = 4, stats: tuple[str, ...] = ("mean", "std", "max", "min", "median")) -> PropertyFunction:
+def rings(count: int = 3, stats: tuple[str, ...] = ("mean", "std")) -> PropertyFunction:
     """Statistics in concentric rings of equal width in distance to the edge; ring 1 is the outermost."""
 
     def run(image: Plane | None, mask: Plane | None) -> dict[str, float]:
         m = foreground(mask)
-        out = {f"ring{i + 1}_{s}": NAN for i in range(count) for s in stats}
+        out = {f"ring_{i + 1}_{s}": NAN for i in range(count) for s in stats}
         if not m.any() or image is None or image.shape != m.shape:
             return out
         d = edge_distance(m)
-        ring = np.minimum((d / max(d.max(), 1e-12) * count - 1e-9).astype(int), count - 1)
+        ring = np.minimum((d / d.max() * count + 1e-12).astype(int), count - 1)
         for i in range(count):
             x = image[m & (ring == i)]
             if len(x):
-                out |= {f"ring{i + 1}_{s}": float(STATS[s](x)) for s in stats}
+                out |= {f"ring_{i + 1}_{s}": float(STATS[s](x)) for s in stats}
         return out
 
     return run
 
 
 def texture(image: Plane | None, mask: Plane | None, levels: int = 256) -> dict[str, float]:
-    """Co-occurrence measures at distance 1, mean over 0, 45, 90 and 135 degrees; background is level 0."""
-    x = np.asarray(image, float)
-    if x.max(initial=0) <= 1:
-        x = x * (levels - 1)
-    q = np.clip(x, 0, levels - 1).astype(int)
-    if mask is not None and mask.shape == q.shape:
-        q = np.where(foreground(mask), q, 0)
+    """Co-occurrence measures at distance 1 in the frame of the foreground, mean over 0, 45, 90 and 135 degrees; intensities
+    are scaled to [0, 1] and the background is level 0. NaN without a fitting mask."""
+    out = {f"texture_{n}": NAN for n in TEXTURE}
+    if image is None or mask is None or image.shape != mask.shape or not foreground(mask).any():
+        return out
+    m = foreground(mask)
+    ys, xs = np.flatnonzero(m.any(1)), np.flatnonzero(m.any(0))
+    box = (slice(ys[0], ys[-1] + 1), slice(xs[0], xs[-1] + 1))
+    x = np.asarray(image, float)[box]
+    if x.size < 4:
+        return out
+    lo, div = resolve_scale(float(x.min()), float(x.max()), np.dtype(float))
+    q = np.where(m[box], (x - lo) / div * (levels - 1), 0).astype(int)
     got = []
     h, w = q.shape
     for dy, dx in ((0, 1), (-1, 1), (-1, 0), (-1, -1)):
@@ -198,8 +204,7 @@ def texture(image: Plane | None, mask: Plane | None, levels: int = 256) -> dict[
         si, sj = math.sqrt((g * (i - mi) ** 2).sum()), math.sqrt((g * (j - mj) ** 2).sum())
         asm = (g * g).sum()
         got.append(((g * (i - j) ** 2).sum(), (g * abs(i - j)).sum(), (g / (1 + (i - j) ** 2)).sum(), math.sqrt(asm), 1.0 if si < 1e-15 or sj < 1e-15 else (g * (i - mi) * (j - mj)).sum() / (si * sj), asm))
-    mean = np.mean(got, 0) if got else [NAN] * 6
-    return {f"texture_{n}": float(v) for n, v in zip(TEXTURE, mean)}
+    return {f"texture_{n}": float(v) for n, v in zip(TEXTURE, np.mean(got, 0))} if got else out
 
 
 def _gauss(x: Plane, sigma: float) -> Plane:
@@ -213,47 +218,98 @@ def _gauss(x: Plane, sigma: float) -> Plane:
     return x
 
 
-def blobs(image: Plane | None, mask: Plane | None, low: float = 1.0, high: float = 10.0, ratio: float = 1.6, threshold: float = 0.1) -> dict[str, float]:
-    """Bright blobs by difference of Gaussians: their number, mean area 2 pi sigma^2 and mean intensity at the centre."""
+def _overlap(r1: float, r2: float, d: float) -> float:
+    """Common area of two discs as a share of the smaller one."""
+    if d >= r1 + r2:
+        return 0.0
+    if d <= abs(r1 - r2):
+        return 1.0
+    a1 = r1 * r1 * math.acos((d * d + r1 * r1 - r2 * r2) / (2 * d * r1))
+    a2 = r2 * r2 * math.acos((d * d + r2 * r2 - r1 * r1) / (2 * d * r2))
+    lens = 0.5 * math.sqrt(max(0.0, (r1 + r2 - d) * (d + r1 - r2) * (d - r1 + r2) * (d + r1 + r2)))
+    return (a1 + a2 - lens) / (math.pi * min(r1, r2) ** 2)
+
+
+def blobs(image: Plane | None, mask: Plane | None, low: float = 2.0, ratio: float = 1.6, threshold: float = 0.06, relative: float = 0.1, overlap: float = 0.3, border: int = 2) -> dict[str, float]:
+    """Bright blobs by difference of Gaussians: their number, and mean and std of area 2 pi sigma^2 and of the scaled
+    intensity at the centre. The widest sigma follows the image size; of blobs that overlap by over ``overlap`` the larger
+    stays. NaN for a missing, non-finite or not two-dimensional image; zeros where nothing is found."""
+    names = ("blob_count", "blob_area_mean", "blob_area_std", "blob_intensity_mean", "blob_intensity_std")
+    if image is None or image.ndim != 2 or not np.isfinite(image).all():
+        return dict.fromkeys(names, NAN)
     x = np.asarray(image, float)
-    x = x / x.max() if x.max(initial=0) > 0 else x
-    n = int(math.log(high / low, ratio)) + 1
-    sig = low * ratio ** np.arange(n + 1)
+    h, w = x.shape
+    if min(h, w) < 3 or np.ptp(x) <= 0:
+        return dict.fromkeys(names, 0.0)
+    lo, div = resolve_scale(float(x.min()), float(x.max()), image.dtype)
+    x = (x - lo) / div
+    high = max(5.0, min(50.0, min(h, w) / 12.0))
+    sig = low * ratio ** np.arange(int(math.log(high / low, ratio) + 1) + 1)
     levels = [_gauss(x, s) for s in sig]
     cube = np.stack([(a - b) / (ratio - 1) for a, b in zip(levels, levels[1:])])
     p = np.pad(cube, 1, constant_values=-np.inf)
     top = np.max([p[1 + a : p.shape[0] - 1 + a, 1 + b : p.shape[1] - 1 + b, 1 + c : p.shape[2] - 1 + c] for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)], 0)
-    at = np.argwhere((cube == top) & (cube > threshold))
-    if mask is not None and mask.shape == x.shape and len(at):
-        at = at[foreground(mask)[at[:, 1], at[:, 2]]]
-    if not len(at):
-        return {"blob_count": 0.0, "blob_area": NAN, "blob_intensity": NAN}
-    return {"blob_count": float(len(at)), "blob_area": float((2 * math.pi * sig[at[:, 0]] ** 2).mean()), "blob_intensity": float(np.asarray(image, float)[at[:, 1], at[:, 2]].mean())}
+    at = np.argwhere((cube == top) & (cube > max(threshold, relative * cube.max())))
+    at = at[(at[:, 1] >= border) & (at[:, 1] < h - border) & (at[:, 2] >= border) & (at[:, 2] < w - border)]
+    kept: list = []
+    for k, y, c in at[np.argsort(-at[:, 0], kind="stable")]:
+        r = math.sqrt(2) * sig[k]
+        if all(_overlap(r, math.sqrt(2) * sig[k2], math.hypot(y - y2, c - c2)) <= overlap for k2, y2, c2 in kept):
+            kept.append((k, y, c))
+    if not kept:
+        return dict.fromkeys(names, 0.0)
+    area = np.array([2 * math.pi * sig[k] ** 2 for k, _, _ in kept])
+    light = np.array([x[y, c] for _, y, c in kept])
+    return dict(zip(names, (float(len(kept)), float(area.mean()), float(area.std()), float(light.mean()), float(light.std()))))
+
+
+# fixed values: shape measures of the presets
+BASIC_SHAPE = ("area", "perimeter", "eccentricity", "solidity")
+FULL_SHAPE = ("area", "major_axis_length", "minor_axis_length", "perimeter", "eccentricity", "solidity")
+EXTENDED_SHAPE = (*FULL_SHAPE, "orientation", "extent", "equivalent_diameter", "euler_number", "circularity")
+
+
+def shape_of(names: tuple[str, ...], derived: dict[str, Callable[[dict], float]] | None = None) -> PropertyFunction:
+    """Some of the shape measures, and further ones derived from them."""
+    wrong = [n for n in names if n not in SHAPE]
+    if wrong:
+        raise ValueError(f"unknown shape measures {wrong}")
+
+    def run(image: Plane | None, mask: Plane | None) -> dict[str, float]:
+        s = shape(image, mask)
+        return {n: s[n] for n in names} | {n: float(f(s)) for n, f in (derived or {}).items()}
+
+    return run
 
 
 def preset(name: str) -> list[tuple[str, PropertyFunction]]:
     """``(requirement, function)`` of a preset; requirements are image, mask, both or any."""
-    basic = [("image", intensity("mean")), ("image", intensity("std"))]
-    shp = [("mask", shape)]
-    inten = [("image", intensity(s)) for s in ("mean", "std", "min", "max", "median")] + [("both", masked_intensity(s)) for s in ("mean", "std")] + [("image", entropy)]
-    table = {"none": [], "basic": basic, "shape": shp, "intensity": inten, "standard": shp + inten, "complete": shp + inten + [("image", sharpness), ("both", rings()), ("image", texture), ("image", blobs)]}
+    four = [("image", intensity(s)) for s in ("mean", "std", "min", "max")]
+    masked = lambda *s: [("both", masked_intensity(x)) for x in s]
+    table = {
+        "none": [],
+        "basic": [*four[:2], ("mask", shape_of(BASIC_SHAPE)), *masked("mean", "std")],
+        "shape": [("mask", shape_of(FULL_SHAPE))],
+        "intensity": four,
+        "standard": [*four, ("mask", shape_of(FULL_SHAPE)), *masked("mean", "std"), ("both", rings())],
+        "complete": [*four, ("image", sharpness), ("image", entropy), ("mask", shape_of(EXTENDED_SHAPE)), *masked("mean", "std", "min", "max"), ("both", rings()), ("both", texture)],
+    }
     if name not in table:
         raise ValueError(f"preset must be one of {sorted(table)}, not {name!r}")
     return table[name]
 
 
 def resolve_scale(lo: float, hi: float, dtype: np.dtype) -> tuple[float, float]:
-    """(offset, divisor) to [0, 1]: identity up to 1; min-max where negative; else 255, 65535, 2^32 - 1, or the maximum."""
+    """(offset, divisor) to [0, 1]: identity up to 1; min-max where negative; else the first of 255, 65535 and 2^32 - 1 that
+    holds the values, the type's maximum, or the data's. What is seen counts before the type."""
     if lo < 0:
         return lo, (hi - lo) or 1.0
     if hi <= 1:
         return 0.0, 1.0
-    if np.issubdtype(dtype, np.integer):
-        return 0.0, float(np.iinfo(dtype).max)
     for top in (255.0, 65535.0, 4294967295.0):
         if hi <= top:
             return 0.0, top
-    return 0.0, hi
+    return 0.0, float(np.iinfo(dtype).max) if np.issubdtype(dtype, np.integer) else hi
 
 
 def scale_minmax(x: Plane) -> Plane:
