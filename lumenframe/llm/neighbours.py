@@ -53,7 +53,7 @@ def search(codes: V.OneBitCodes, o: np.ndarray, oid: np.ndarray, q: np.ndarray,
     return qid[qi[keep]], oid[oi[keep]], sim[keep]
 
 
-def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int = 128, least: float | None = None, probes: int = 3, slack: float = 0.6) -> DataFrame:
+def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int = 128, least: float | None = None, probes: int = 3, slack: float = 0.4) -> DataFrame:
     """``(query, neighbour, similarity)``: up to k most similar other vectors of every usable vector.
 
     Every vector is placed in its nearest cell and looked up in its ``probes`` nearest cells. With ``least`` only
