@@ -47,7 +47,8 @@ def related_groups(df: DataFrame, id_col: str, keys: dict[str, Column]) -> DataF
     """
     tagged = [F.concat(F.lit(f"{tag}:"), c) for tag, c in keys.items()]
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.array_compact(F.array(*tagged)).alias("ks"))
-    rows = rows.select("id", "ks", F.when(F.size("ks") > 0, F.col("ks")[0]).alias("key"))
+    # written once: it is read four times, and the patterns above are costly
+    rows = materialize(rows.select("id", "ks", F.when(F.size("ks") > 0, F.col("ks")[0]).alias("key")).distinct(), "keys")
     across = (
         rows.where(F.size("ks") > 1)
         .select(F.col("key").alias("src"), F.explode(F.slice("ks", 2, len(keys))).alias("dst"))
