@@ -115,4 +115,35 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_subset, p2_found, p2_splits, p2_shares, p3_found, p3_percentiles, p4_found, p4_clusters, p5_found, p5_neighbours, p6_found, p6_items, p7_found, p7_mix, p7_plan, p8_found)}
 
-SQL: dict[str, str] = {}
+_VEC = """vec AS (SELECT image_index, any_value(embedding)::DOUBLE[] AS e FROM image_vectors WHERE len(embedding) = 128
+  AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0)) GROUP BY 1),
+unit AS (SELECT image_index AS i, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS v FROM vec),
+pair AS (SELECT a.i AS a, b.i AS b, list_inner_product(a.v, b.v) AS s FROM unit a JOIN unit b ON a.i <> b.i)"""
+
+_OBJECTS = """obj AS (SELECT DISTINCT * EXCLUDE (ingested_at) FROM image_properties WHERE compound IS NOT NULL),
+val AS (SELECT compound, run_day, property, v FROM obj, LATERAL (VALUES {props}) t(property, v) WHERE isfinite(v))"""
+
+
+def _values(props: list[str]) -> str:
+    return _OBJECTS.format(props=", ".join(f"('{p}', {p})" for p in props))
+
+
+SQL: dict[str, str] = {
+    "p2_found": """WITH RECURSIVE n AS (SELECT image_index, CASE WHEN isfinite(d) AND abs(d) < 1e15 AND d = floor(d) THEN d::BIGINT END AS b,
+  CASE WHEN l NOT IN ('', 'nan', 'n/a', 'na', 'none', 'null', 'unknown', 'missing', 'nil', '-', '--', '?', '<na>') THEN l END AS l
+  FROM (SELECT image_index, TRY_CAST(trim(batch_id) AS DOUBLE) AS d, lower(regexp_replace(labels, '\\s', '', 'g')) AS l FROM fold_labels)),
+ed AS (SELECT DISTINCT x.b AS a, y.b AS b FROM n x JOIN n y USING (l) WHERE x.b IS NOT NULL AND y.b IS NOT NULL UNION SELECT DISTINCT b, b FROM n WHERE b IS NOT NULL),
+reach AS (SELECT a, b FROM ed UNION SELECT r.a, ed.b FROM reach r JOIN ed ON r.b = ed.a),
+head AS (SELECT a AS b, min(b) AS group_batch, count(*) AS c FROM reach GROUP BY 1),
+lab AS (SELECT l, min(b) AS b FROM n WHERE b IS NOT NULL AND l IS NOT NULL GROUP BY 1)
+SELECT DISTINCT image_index, group_batch FROM (SELECT image_index, coalesce(n.b, lab.b) AS b FROM n LEFT JOIN lab USING (l)) JOIN head USING (b) WHERE c >= 2""",
+    "p3_found": f"WITH {_values(PROPERTIES[:4])}, days AS (SELECT DISTINCT compound, property, run_day FROM val), "
+    "q AS (SELECT d.compound, d.property, d.run_day, quantile_cont(v, [0.25, 0.5, 0.75]) FILTER (val.run_day = d.run_day) AS q, quantile_cont(v, [0.25, 0.5, 0.75]) FILTER (val.run_day <> d.run_day) AS o, "
+    "count(*) FILTER (val.run_day = d.run_day) AS n, count(*) FILTER (val.run_day <> d.run_day) AS m FROM days d JOIN val USING (compound, property) GROUP BY ALL) "
+    "SELECT compound, property, run_day, pct::INTEGER AS pct FROM (SELECT compound, property, run_day, n, m, unnest([25, 50, 75]) AS pct, unnest(q) AS q, unnest(o) AS o FROM q) WHERE n >= 30 AND m >= 30 AND (q > 3 * o OR q < o / 3)",
+    "p3_percentiles": f"WITH {_values(PROPERTIES)}, r AS (SELECT compound, property, v, row_number() OVER w AS k, count(*) OVER (PARTITION BY compound, property) AS n FROM val WINDOW w AS (PARTITION BY compound, property ORDER BY v)) "
+    "SELECT compound, property, pct::INTEGER AS pct, n, v AS value, 0.0::DOUBLE AS rank_error FROM r, (VALUES (5), (25), (50), (75), (95)) p(pct) WHERE k = greatest(1, (pct * n + 99) // 100)",
+    "p4_found": f"WITH RECURSIVE {_VEC}, ed AS (SELECT a, b FROM pair WHERE s >= 0.75), reach AS (SELECT a, b FROM ed UNION SELECT r.a, ed.b FROM reach r JOIN ed ON r.b = ed.a) "
+    "SELECT a AS image_index, least(a, min(b)) AS cluster_head FROM reach GROUP BY a HAVING count(*) >= 8",
+    "p5_found": f"WITH {_VEC} SELECT DISTINCT least(a, b) AS image_a, greatest(a, b) AS image_b FROM (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM pair) WHERE r <= 5 AND s >= 0.97",
+}
