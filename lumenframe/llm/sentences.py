@@ -185,15 +185,18 @@ def _before(left: str) -> tuple[str, str, str, str]:
 _EDGE = "".join(sorted(set("\"'“”«»「」『』（）()[]【】《》„‹›’¿¡") | {*PAIRS}))
 
 
-def hashed(left: str, right: str) -> list[int]:
-    """Feature numbers of a candidate."""
+def context(left: str, right: str) -> tuple[str, ...]:
+    """What the classifier sees of a candidate; figures are folded, so contexts recur."""
     mark, w1, w2, quote = _before(left)
     m = _AHEAD.match(right[:120])
-    rs = [x for x in m.groups() if x] if m else [""]
-    opener = rs[0][:1] if rs[0][:1] in _EDGE else ""
-    n1 = _DIGITS.sub("9", rs[0].strip(_EDGE) or rs[0])
-    n2 = _DIGITS.sub("9", rs[1]) if len(rs) > 1 else ""
-    w1, w2 = _DIGITS.sub("9", w1), _DIGITS.sub("9", w2)
+    r1, r2 = m.groups() if m else ("", None)
+    opener = r1[:1] if r1[:1] in _EDGE else ""
+    return mark, _DIGITS.sub("9", w1), _DIGITS.sub("9", w2), quote, opener, _DIGITS.sub("9", r1.strip(_EDGE) or r1), _DIGITS.sub("9", r2 or "")
+
+
+@lru_cache(maxsize=100_000)
+def hashed(mark: str, w1: str, w2: str, quote: str, opener: str, n1: str, n2: str) -> tuple[int, ...]:
+    """Feature numbers of a context."""
     script = _script((w1 or mark or "a")[-1]) if not mark or mark[0] not in FULL else "J"
     if script == "T" or script == "J":
         a, b = w1[-6:], n1[:6]
@@ -204,7 +207,7 @@ def hashed(left: str, right: str) -> list[int]:
         r1 = n1.rstrip(".,;:!?")
         f = [f"w{l1}", f"s{s1}", f"n{r1}", f"t{t1[:3]}", f"wn{l1}|{t1[:2]}", f"st{s1}|{t1[:2]}", f"sn{s1}|{r1}", f"ww{l2}|{s1}", f"l{min(len(w1), 6)}|{t1[:1]}", f"wnn{l1}|{r1}", f"nn{r1}|{_shape(n2)[:2]}", f"w2s{_shape(w2)[:3]}|{s1}|{t1[:2]}"]
     f += [f"m{mark}", f"m0{mark[:1]}|{quote}", f"q{quote}|{_shape(n1)[:1]}", f"qn{quote}|{n1[:3]}" if quote else "q", f"o{opener}|{mark[:1]}", "1"]
-    return [zlib.crc32((script + x).encode()) % WIDTH for x in f]
+    return tuple(zlib.crc32((script + x).encode()) % WIDTH for x in f)
 
 
 def fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, rounds: int = 70, seen: int = 6) -> np.ndarray:
@@ -249,7 +252,7 @@ def train(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> n
                 for _, _, para, left, right, _ in candidates(t[:200_000]):
                     ys.append(int(para))
                     ks.append(SCRIPTS.index(_kind(left)))
-                    fs.append(hashed(left, right))
+                    fs.append(hashed(*context(left, right)))
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int8()), pa.array(ks, pa.int8()), pa.array(fs, pa.list_(pa.int32()))], names=["y", "k", "f"])
 
     got = d.mapInArrow(run, "y byte, k byte, f array<int>").toArrow()
@@ -289,16 +292,20 @@ def learn(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, k: np.ndarray, neve
     return fit(place[rows[use]], cols[use], label[sure])
 
 
-def units(text: str, w: np.ndarray) -> list[tuple[int, int]]:
-    """``(start, end)`` of the sentence units of one text."""
+def units(text: str, w: np.ndarray, known: dict | None = None) -> list[tuple[int, int]]:
+    """``(start, end)`` of the sentence units of one text; ``known`` keeps scores of contexts between texts."""
+    known = {} if known is None else known
     if not text or not text.strip():
         return []
     cuts = [(m.start(), m.end()) for m in _BREAK.finditer(text)]
-    cand = [c for c in candidates(text) if c[1] >= 0]
-    if cand:
-        f = [hashed(c[3], c[4]) for c in cand]
-        z = np.array([w[x].sum() for x in f])
-        cuts += [(c[0], c[1]) for c, q in zip(cand, z) if q >= 0]
+    for c in candidates(text):
+        if c[1] >= 0:
+            k = context(c[3], c[4])
+            z = known.get(k)
+            if z is None:
+                z = known[k] = float(w[list(hashed(*k))].sum())
+            if z >= 0:
+                cuts.append((c[0], c[1]))
     cuts.sort()
     out, at = [], 0
     for a, b in [*cuts, (len(text), len(text))]:
@@ -323,9 +330,11 @@ def split_sentences(documents: DataFrame, text: str = "text", doc_id: str = "doc
     b = spark.sparkContext.broadcast(train(documents, text, doc_id))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = b.value
+        w, known = b.value, {}
         for pdf in batches:
-            out = [(d, s, e) for d, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()) if t for s, e in units(t, w)]
+            if len(known) > 200_000:
+                known.clear()
+            out = [(d, s, e) for d, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()) if t for s, e in units(t, w, known)]
             yield pd.DataFrame(out, columns=["doc_id", "start_char", "end_char"])
 
     kind = documents.schema[doc_id].dataType.simpleString()
