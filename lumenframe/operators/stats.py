@@ -35,7 +35,8 @@ def counts_with_share(df: DataFrame, group_by: list[str]) -> DataFrame:
     """Rows per group and their percent of the total; null keys are dropped."""
     df = df.where(reduce(lambda a, b: a & b, [F.col(g).isNotNull() for g in group_by]))
     n = df.groupBy(*group_by).agg(F.count("*").alias("n"))
-    return n.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 6))
+    whole = df.agg(F.count("*").alias("_all"))  # one row
+    return n.crossJoin(F.broadcast(whole)).select(*group_by, "n", F.round(100.0 * F.col("n") / F.col("_all"), 6).alias("percent"))
 
 
 def group_label(cols: list[Column], missing: str = "N/A") -> Column:
@@ -44,14 +45,17 @@ def group_label(cols: list[Column], missing: str = "N/A") -> Column:
 
 
 def value_distribution(df: DataFrame, col: str, top: int = 10) -> DataFrame:
-    """The ``top`` values, the rest as Other, nulls and blanks as Missing; percent of the non-missing."""
+    """The ``top`` values, the rest as Other, nulls and blanks as Missing; percent of the non-missing.
+
+    The top is a top-k of the counts and the rest a difference of sums, so values are never sorted as a whole.
+    """
     v = F.nullif(F.trim(F.col(col).cast("string")), F.lit(""))
     n = df.groupBy(v.alias("value")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(F.col("value").isNull()).orderBy(F.desc("n"), "value")
-    named = n.withColumn("r", F.row_number().over(w)).select(F.when(F.col("value").isNull(), "Missing").when(F.col("r") <= top, F.col("value")).otherwise("Other").alias("value"), F.when(F.col("value").isNull(), 2).when(F.col("r") <= top, 0).otherwise(1).alias("part"), "n")
-    g = named.groupBy("value", "part").agg(F.sum("n").alias("n"))
-    whole = F.sum(F.when(F.col("part") < 2, F.col("n"))).over(Window.partitionBy(F.lit(0)))
-    return g.select("value", "n", F.when(F.col("part") < 2, F.round(100.0 * F.col("n") / whole, 6)).alias("percent"))
+    best = n.where("value IS NOT NULL").orderBy(F.desc("n"), "value").limit(top)
+    sums = df.agg(F.count(v).alias("known"), (F.count("*") - F.count(v)).alias("lost")).crossJoin(best.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("inside")))
+    rest = sums.select(F.explode(F.array(F.struct(F.lit("Other").alias("value"), (F.col("known") - F.col("inside")).alias("n"), F.lit(True).alias("on")), F.struct(F.lit("Missing").alias("value"), F.col("lost").alias("n"), F.lit(False).alias("on")))).alias("x")).select("x.*").where("n > 0")
+    every = best.withColumn("on", F.lit(True)).unionByName(rest)
+    return every.crossJoin(F.broadcast(sums.select("known"))).select("value", "n", F.when(F.col("on"), F.round(100.0 * F.col("n") / F.col("known"), 6)).alias("percent"))
 
 
 def crosstab(df: DataFrame, row: str, col: str, values: list[str]) -> DataFrame:
