@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenframe.functions.vectors import is_usable
 from lumenframe.llm import vectors as V
-from lumenframe.runtime import partitions
+from lumenframe.runtime import materialize, partitions
 
 OUT = "query bigint, neighbour bigint, similarity double"
 ARROW = pa.schema([("query", pa.int64()), ("neighbour", pa.int64()), ("similarity", pa.float64())])
@@ -53,6 +54,31 @@ def search(codes: V.OneBitCodes, o: np.ndarray, oid: np.ndarray, q: np.ndarray,
     return qid[qi[keep]], oid[oi[keep]], sim[keep]
 
 
+def _surplus_copies(data: DataFrame, id_col: str, vec_col: str, k: int, dim: int) -> tuple[DataFrame, DataFrame] | None:
+    """Of more than k + 1 ids with the very same usable vector: (the ids beyond the k + 1 smallest, the k + 1 smallest).
+
+    The smaller copies win every tie, so the others are never among anyone's k nearest, and have the k smallest copies as
+    their own. That keeps a vector that a third of all rows share from being compared with itself over and over. Copies
+    are found by 128 bits of hash; ranks are taken within 64 salts first, so no task sees a whole group.
+    """
+    # zero and NaN vectors repeat in every dirty table; most go here without a look at all elements
+    some = F.exists(vec_col, lambda x: x != 0) & ~F.isnan(F.get(vec_col, F.lit(0)))
+    v = data.where(F.col(id_col).isNotNull() & (F.size(vec_col) == dim) & some).select(F.col(id_col).alias("id"), vec_col, F.xxhash64(F.lit(1), vec_col).alias("h1"), F.xxhash64(F.lit(2), vec_col).alias("h2"))
+    h = v.select("id", "h1", "h2")
+    many = materialize(h.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") > k + 1).select("h1", "h2"), "copies")
+    if many.isEmpty():
+        return None
+    many = materialize(v.join(many, ["h1", "h2"], "left_semi").where(is_usable(F.col(vec_col), dim)).select("h1", "h2").distinct(), "copies")
+    if many.isEmpty():
+        return None
+    s = h.join(many, ["h1", "h2"]).distinct().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
+    s = materialize(s.withColumn("r", F.row_number().over(Window.partitionBy("h1", "h2", "salt").orderBy("id"))), "ranks")
+    keep = s.where(F.col("r") <= k + 1).withColumn("rank", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id")))
+    keep = materialize(keep.where(F.col("rank") <= k + 1).select("id", "h1", "h2", "rank"), "kept")
+    surplus = s.select("id", "h1", "h2").join(keep.select("id"), "id", "left_anti")
+    return surplus, keep
+
+
 def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int = 128, least: float | None = None, probes: int = 3, slack: float = 0.4) -> DataFrame:
     """``(query, neighbour, similarity)``: up to k most similar other vectors of every usable vector.
 
@@ -64,6 +90,9 @@ def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim
     """
     spark = df.sparkSession
     data = df.select(id_col, vec_col)
+    copies = _surplus_copies(data, id_col, vec_col, k, dim)
+    if copies:
+        data = data.join(copies[0].select(F.col("id").alias(id_col)), id_col, "left_anti")
     fit, n = V.sample(data, id_col, vec_col, dim)
     centres, blocks = V.fit_cells(fit, n)
     turn = V.rotation(dim)
@@ -145,7 +174,11 @@ def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim
     placed = placed.repartition(max(partitions(spark), 2 * spark.sparkContext.defaultParallelism), "cell", "block").sortWithinPartitions("cell", "block", "kind", "id")
     found = placed.mapInArrow(scan, OUT).dropDuplicates(["query", "neighbour"])
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "neighbour", "similarity")
+    found = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "neighbour", "similarity")
+    if copies:
+        near = copies[1].where(F.col("rank") <= k).select("h1", "h2", F.col("id").alias("neighbour"))
+        found = found.unionByName(copies[0].join(near, ["h1", "h2"]).select(F.col("id").alias("query"), "neighbour", F.lit(1.0).alias("similarity")))
+    return found
 
 
 def search_queries(df: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int = 10, dim: int = 128, block: int = 32_768) -> DataFrame:
