@@ -69,6 +69,23 @@ def test_close_pairs_match_brute_force(spark, cloud):
     assert len(want ^ got) <= 2
 
 
+def test_a_third_of_exact_copies(spark, cloud):
+    ids, x = cloud
+    copied = np.concatenate([x, np.repeat(x[:1], 150, 0), np.zeros((20, DIM), np.float32)])
+    every = np.concatenate([ids, 10_000 + np.arange(170)])
+    t = vec_table(spark, [(int(i), v) for i, v in zip(every, copied)] + [(10_003, copied[len(ids)])])
+    got = collections.defaultdict(dict)
+    for r in neighbours.nearest_neighbours(t, "image_index", "embedding", k=5, dim=DIM, probes=30).collect():
+        got[r["query"]][r["neighbour"]] = r["similarity"]
+    s = sims(copied[:-20])
+    ok = every[:-20]
+    for i in (0, len(ids), len(ids) + 100, 40, 200):
+        want = np.sort(s[i])[::-1][:5]
+        assert np.allclose(sorted(got[int(ok[i])].values(), reverse=True), want, atol=1e-9)
+    assert all(set(v) <= {0, *range(10_000, 10_006)} for q, v in got.items() if 10_006 <= q < 10_150)
+    assert not any(10_150 <= q for q in got) and len(got) == len(ok)
+
+
 def test_neighbour_recall(spark, cloud):
     ids, x = cloud
     t = vec_table(spark, rows_of(cloud))
