@@ -124,14 +124,12 @@ def leaves(df: DataFrame, id_col: str, vec_col: str, dim: int, within: float, fa
         keep = t.largest(LEAVES)
         return _leaf_batch(t, keep, int(pdf["part"].min()) // fan_in).to_pandas()
 
-    spark = df.sparkSession
     out = df.mapInArrow(grow, LEAF)
     n = max(1, df.rdd.getNumPartitions())
     while n > fan_in:
         out = out.groupBy((F.col("part") / fan_in).cast("int").alias("g")).applyInPandas(join, LEAF)
         n = -(-n // fan_in)
     # at most fan_in x LEAVES leaves remain
-    del spark
     return _merged(out.toPandas(), dim, within)
 
 
@@ -323,7 +321,7 @@ def linked_clusters(df: DataFrame, id_col: str, vec_col: str, dim: int = 128, li
             yield from close(state, ties)
 
     placed = data.mapInArrow(spread, "cell int, block int, kind byte, id bigint, rep bigint, vec binary")
-    placed = placed.repartition(max(partitions(spark), 2 * spark.sparkContext.defaultParallelism), "cell", "block").sortWithinPartitions("cell", "block", "kind", "id")
+    placed = placed.repartition(V.cell_tasks(n_rows, 1 + probes / 3, dim, partitions(spark)), "cell", "block").sortWithinPartitions("cell", "block", "kind", "id")
     done = materialize(placed.mapInArrow(compare, "kind byte, id bigint, node bigint"), "links")
     comps = connected_components(done.where("kind = 1").select(F.col("id").alias("src"), F.col("node").alias("dst")))
     rows = done.where("kind = 0").select("id", "node").distinct()

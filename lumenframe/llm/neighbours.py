@@ -171,7 +171,7 @@ def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim
             yield from flush(base, cell, waiting)
 
     placed = data.mapInArrow(spread, "cell int, block int, kind byte, id bigint, vec binary")
-    placed = placed.repartition(max(partitions(spark), 2 * spark.sparkContext.defaultParallelism), "cell", "block").sortWithinPartitions("cell", "block", "kind", "id")
+    placed = placed.repartition(V.cell_tasks(n, probes, dim, partitions(spark)), "cell", "block").sortWithinPartitions("cell", "block", "kind", "id")
     found = placed.mapInArrow(scan, OUT).dropDuplicates(["query", "neighbour"])
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour")
     found = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "neighbour", "similarity")

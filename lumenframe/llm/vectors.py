@@ -103,6 +103,11 @@ def nearest(x: np.ndarray, c: np.ndarray, m: int, step: int = 4_096) -> np.ndarr
     return out
 
 
+def cell_tasks(n: int, copies: float, dim: int, least: int, mb: int = 12) -> int:
+    """Tasks for ``n`` rows placed in ``copies`` cells each, so that one reads about ``mb`` MB, however large the table."""
+    return max(least, int(np.ceil(n * copies * (2 * dim + 50) / (mb * 1e6))))
+
+
 def mix(ids: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit mixing hash of whole numbers."""
     z = ids.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) & 0xFFFFFFFFFFFFFFFF)
