@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FIT_DOCS = 10_000  # most documents the classifier is fitted on
+FIT_DOCS = 5_000  # most documents the classifier is fitted on
 WIDTH = 1 << 18  # hashed features
 
 # fixed values: marks that can end a sentence, and pairs that enclose text
