@@ -162,10 +162,11 @@ def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
 def _promising(hits: list[tuple[int, int, int]], by_chars: bool) -> bool:
     """Whether hits of one window can belong to an allowed stretch.
 
-    By counting, L units with e <= L / EDIT edits keep at least L - n + 1 - e n seeds of n units: two of words, five of
-    characters, for every L, at different places of the item. Fewer can only be chance, however rare the seed.
+    By counting, L units with e <= L / EDIT edits keep at least L - n + 1 - e n seeds of n units at different places of the
+    item. Over all L from the least stretch on that is two of words (L = 16, e = 2) and three of characters (L = 32, e = 4).
+    Fewer can only be chance, however rare the seed.
     """
-    return len({j for _, j, _ in hits}) >= (5 if by_chars else 2)
+    return len({j for _, j, _ in hits}) >= (3 if by_chars else 2)
 
 
 def _leaked(docs: DataFrame, known: Items) -> DataFrame:

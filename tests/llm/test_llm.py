@@ -272,6 +272,16 @@ def test_leaks(spark):
     assert leaks.leaked(d.limit(0), items).count() == 0 and leaks.leaked(d, items.limit(0)).count() == 0
 
 
+def test_leaks_spread_edits_in_characters(spark):
+    least = {n: min(m - n + 1 - m // leaks.EDIT * n for m in range(low, 20 * low)) for n, low in ((leaks.SEED_WORDS, leaks.WORDS), (leaks.SEED_CHARS, leaks.CHARS))}
+    assert least == {leaks.SEED_WORDS: 2, leaks.SEED_CHARS: 3}
+    zh = "".join(chr(0x4E00 + 7 * i) for i in range(32))
+    edited = ["".join("亂" if i in at else c for i, c in enumerate(zh)) for at in ((5, 11, 17, 23), (5, 11, 17, 23, 29))]
+    d = spark.createDataFrame(list(enumerate(edited)), "doc_id bigint, text string")
+    got = leaks.leaked(d, spark.createDataFrame([(1, zh)], "item_id bigint, text string")).collect()
+    assert [(r["doc_id"], r["stretch"], r["edits"]) for r in got] == [(0, 32, 4)]
+
+
 def test_alignment_against_edit_distance():
     rng = np.random.default_rng(0)
 
