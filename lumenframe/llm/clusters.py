@@ -3,7 +3,8 @@
 Cluster-feature trees are built per partition and their leaves tree-reduced; the leaves that hold several vectors are
 agglomerated by Ward's criterion; one full pass assigns every row to a leaf's typical member it is linked to. What is
 linked to none is compared within the cells of a fitted index, so that small groups and fringes are found as well, and
-connected components join what is linked.
+connected components join what is linked. Rows tied to members of clusters that are still apart are then compared wherever
+the angles to the members leave a link possible.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from lumenframe.runtime import materialize, partitions
 
 LEAVES = 512  # most leaves a partition's tree hands on; rows of other leaves are found by the index
 BRANCH = 24  # leaves under one inner node
+BLOCK = 4_096  # rows held at a time where two clusters' rows meet
 
 
 class FeatureTree:
@@ -171,6 +173,23 @@ def ward(n: np.ndarray, centre: np.ndarray, least: float) -> np.ndarray:
     return label
 
 
+def _tied(exact: np.ndarray, u: np.ndarray, reps: np.ndarray, link: float) -> tuple[np.ndarray, np.ndarray]:
+    """Similarities to the typical members, on the right side of ``link`` where it is close, and the member each row is
+    tied to, or -1."""
+    rep = np.full(len(u), -1, np.int64)
+    s = u @ reps.T
+    if not s.size:
+        return s, rep
+    close = np.abs(s - link) < 1e-5
+    if close.any():
+        i, j = np.nonzero(close)
+        s[i, j] = np.where(np.einsum("ij,ij->i", exact[i], reps[j].astype(np.float64)) >= link, link + 1e-4, link - 1e-4)
+    to = s.argmax(1)
+    on = s[np.arange(len(u)), to] >= link
+    rep[on] = to[on]
+    return s, rep
+
+
 class _Sets:
     def __init__(self):
         self.p: dict[int, int] = {}
@@ -195,7 +214,8 @@ def linked_clusters(df: DataFrame, id_col: str, vec_col: str, dim: int = 128, li
     """``(id, head, size)``: the cluster of every usable vector, named by its smallest id; ``size`` counts distinct ids.
 
     Two vectors belong together if a chain of vectors of pairwise similarity ``link`` or more joins them. Every link used
-    is computed exactly between two rows; the tree, Ward's clusters and the cells only choose what is compared. Vectors
+    is computed exactly between two rows; the tree, Ward's clusters and the cells only choose what is compared. Between
+    rows tied to typical members no link is lost; rows tied to none meet others in ``probes`` cells only. Vectors
     without any link have themselves as head. ``least_size`` leaves out smaller clusters. No rows from an empty table.
     """
     spark = df.sparkSession
@@ -216,23 +236,18 @@ def linked_clusters(df: DataFrame, id_col: str, vec_col: str, dim: int = 128, li
         centres, blocks, reps, rep_ids = b.value
         ties = _Sets()
         known: set = set()
+        least = np.full(len(rep_ids), 2.0)
         for batch in batches:
             ids, x = V.read_batch(batch, id_col, vec_col, dim)
             if not len(ids):
                 continue
             exact = V.unit(x)
             u = exact.astype(np.float32)
-            rep = np.full(len(ids), -1, np.int64)
+            s, rep = _tied(exact, u, reps, link)
             if len(rep_ids):
-                s = u @ reps.T
-                close = np.abs(s - link) < 1e-5
-                if close.any():
-                    i, j = np.nonzero(close)
-                    s[i, j] = np.where(np.einsum("ij,ij->i", exact[i], reps[j].astype(np.float64)) >= link, link + 1e-4, link - 1e-4)
-                hit = s >= link
-                to = s.argmax(1)
-                on = hit[np.arange(len(ids)), to]
-                rep[on] = to[on]
+                on = rep >= 0
+                np.minimum.at(least, rep[on], s[on, rep[on]])
+                hit, to = s >= link, s.argmax(1)
                 i, j = np.nonzero(hit)
                 pairs = np.unique(to[i] * len(rep_ids) + j)
                 for p in pairs.tolist():
@@ -261,11 +276,17 @@ def linked_clusters(df: DataFrame, id_col: str, vec_col: str, dim: int = 128, li
         if links:
             m = len(links)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(m, -1, np.int32)), pa.array(np.zeros(m, np.int32)), pa.array(np.full(m, 2, np.int8)), pa.array([a for a, _ in links], pa.int64()), pa.array([c for _, c in links], pa.int64()), pa.nulls(m, pa.binary())], schema=place)
+        seen = np.flatnonzero(least <= 1.5)
+        if len(seen):
+            # the least similarity of a row to its member, in millionths, a little too low rather than too high
+            m = len(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, -2, np.int32)), pa.array(np.zeros(m, np.int32)), pa.array(np.full(m, 3, np.int8)), pa.array(rep_ids[seen], pa.int64()), pa.array(np.floor((least[seen] - 2e-4) * 1e6).astype(np.int64)), pa.nulls(m, pa.binary())], schema=place)
 
     out_schema = pa.schema([("kind", pa.int8()), ("id", pa.int64()), ("node", pa.int64())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """kind 0: a row and the member it is assigned to (or itself); kind 1: a link between two nodes."""
+        """kind 0: a row and the member it is assigned to (or itself); kind 1: a link between two nodes; kind 3: a member
+        and the least similarity of a row to it."""
 
         def against(state: list, ties: _Sets, t: pa.Table | None) -> None:
             if len(state) == 1:
@@ -281,6 +302,8 @@ def linked_clusters(df: DataFrame, id_col: str, vec_col: str, dim: int = 128, li
             else:
                 qid, at = np.unique(np.asarray(t.column("id")), return_index=True)
                 q = V.unit(V.unpack(t.column("vec").combine_chunks(), dim)[at])
+                rep = t.column("rep").combine_chunks()
+                qid = np.where(np.asarray(rep.is_null())[at], qid, np.asarray(rep.fill_null(-1))[at])
             of = o.astype(np.float32)
             for i in range(0, len(q), 1024):
                 s = q[i : i + 1024].astype(np.float32) @ of.T
@@ -303,7 +326,7 @@ def linked_clusters(df: DataFrame, id_col: str, vec_col: str, dim: int = 128, li
         state, ties = [], _Sets()
         for new, t in V.stream_groups(batches, ["cell", "block"]):
             if int(t.column("cell")[0].as_py()) < 0:
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(t.num_rows, np.int8)), t.column("id").combine_chunks(), t.column("rep").combine_chunks()], schema=out_schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(np.asarray(t.column("kind")) == 3, 3, 1).astype(np.int8)), t.column("id").combine_chunks(), t.column("rep").combine_chunks()], schema=out_schema)
                 continue
             if new:
                 if state:
@@ -323,7 +346,12 @@ def linked_clusters(df: DataFrame, id_col: str, vec_col: str, dim: int = 128, li
     placed = data.mapInArrow(spread, "cell int, block int, kind byte, id bigint, rep bigint, vec binary")
     placed = placed.repartition(V.cell_tasks(n_rows, 1 + probes / 3, dim, partitions(spark)), "cell", "block").sortWithinPartitions("cell", "block", "kind", "id")
     done = materialize(placed.mapInArrow(compare, "kind byte, id bigint, node bigint"), "links")
-    comps = connected_components(done.where("kind = 1").select(F.col("id").alias("src"), F.col("node").alias("dst")))
+    links = done.where("kind = 1").select(F.col("id").alias("src"), F.col("node").alias("dst"))
+    comps = connected_components(links)
+    if len(rep_ids):
+        more = _bridges(data, done, comps, (id_col, vec_col, dim, link), reps, rep_ids, compare)
+        if more is not None:
+            comps = connected_components(links.unionByName(more))
     rows = done.where("kind = 0").select("id", "node").distinct()
     rows = rows.join(comps, "node", "left").select("id", F.coalesce("component", "node").alias("comp"))
     rows = materialize(rows, "members")
@@ -331,6 +359,79 @@ def linked_clusters(df: DataFrame, id_col: str, vec_col: str, dim: int = 128, li
     return rows.join(sizes, "comp").select("id", "head", "size")
 
 
+def _bridges(data: DataFrame, done: DataFrame, comps: DataFrame, how: tuple, reps: np.ndarray, rep_ids: np.ndarray, compare) -> DataFrame | None:
+    """Links ``(src, dst)`` between typical members of different components, by all rows tied to them.
+
+    If rows x and y are linked, the angle of x to y's member is at most the link's angle plus the largest angle of a row
+    tied to that member, and likewise for y. Only rows for which this holds on both sides are compared, all with all, by
+    pair of components and in blocks of bounded size. A first pass counts them: pairs that lack a side aren't sent.
+    """
+    id_col, vec_col, dim, link = how
+    spark = data.sparkSession
+    low = {r[0]: r[1] / 1e6 for r in done.where("kind = 3").groupBy("id").agg(F.min("node")).collect()}
+    head = {r["node"]: r["component"] for r in comps.where(F.col("node").isin(rep_ids.tolist())).collect()}
+    comp = np.unique([head.get(i, i) for i in rep_ids.tolist()], return_inverse=True)[1].astype(np.int64)
+    k = int(comp.max()) + 1
+    if k < 2:
+        return None
+    # no row has to meet a member to which none is tied
+    bound = np.array([np.cos(min(np.pi, np.arccos(link) + np.arccos(np.clip(low[i], -1, 1)))) - 1e-4 if i in low else 2.0 for i in rep_ids.tolist()])
+    b = spark.sparkContext.broadcast((reps, rep_ids, comp, bound))
+
+    def near(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, vectors and members of rows, and what may have a link: row, pair of components, side."""
+        reps, _, comp, bound = b.value
+        ids, x = V.read_batch(batch, id_col, vec_col, dim)
+        exact = V.unit(x)
+        s, rep = _tied(exact, exact.astype(np.float32), reps, link)
+        i, j = np.nonzero((s >= bound) & (rep >= 0)[:, None])
+        own, other = comp[rep[i]], comp[j]
+        i, own, other = i[own != other], own[own != other], other[own != other]
+        i, at = np.unique(i * k + other, return_index=True)
+        i, own, other = i // k, own[at], other[at]
+        return ids, x, rep, i, np.minimum(own, other) * k + np.maximum(own, other), (own > other).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: dict[int, int] = {}
+        for batch in batches:
+            *_, pair, side = near(batch)
+            for c, m in zip(*(v.tolist() for v in np.unique(pair * 2 + side, return_counts=True))):
+                n[c] = n.get(c, 0) + m
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())], names=["c", "n"])
+
+    n = {r[0]: r[1] for r in data.mapInArrow(count, "c bigint, n bigint").groupBy("c").agg(F.sum("n")).collect()}
+    pairs = np.array(sorted(c // 2 for c in n if c % 2 == 0 and c + 1 in n), np.int64)
+    if not len(pairs):
+        return None
+    sides = np.array([[n[2 * c], n[2 * c + 1]] for c in pairs.tolist()])
+    plan = spark.sparkContext.broadcast((pairs, sides.argmax(1), -(-sides.max(1) // BLOCK)))
+    place = pa.schema([("cell", pa.int32()), ("block", pa.int32()), ("kind", pa.int8()), ("id", pa.int64()), ("rep", pa.int64()), ("vec", pa.binary())])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, base, blocks = plan.value
+        for batch in batches:
+            ids, x, rep, i, pair, side = near(batch)
+            at = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
+            on = pairs[at] == pair
+            i, at, side = i[on], at[on], side[on]
+            if not len(i):
+                continue
+            # the larger side is cut into blocks, the other one visits them all
+            kind = (side != base[at]).astype(np.int8)
+            times = np.where(kind == 1, blocks[at], 1)
+            block = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            row, at, kind = np.repeat(i, times), np.repeat(at, times), np.repeat(kind, times)
+            block = np.where(kind == 1, block, (V.mix(ids[row]) % blocks[at].astype(np.uint64)).astype(np.int64))
+            packed = np.array(V.pack(x), dtype=object)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(kind), pa.array(ids[row]), pa.array(b.value[1][rep[row]]), pa.array(packed[row].tolist(), pa.binary())], schema=place)
+
+    met = data.mapInArrow(send, "cell int, block int, kind byte, id bigint, rep bigint, vec binary")
+    met = met.repartition(partitions(spark), "cell", "block").sortWithinPartitions("cell", "block", "kind", "id")
+    more = met.mapInArrow(compare, "kind byte, id bigint, node bigint").where("kind = 1").select(F.col("id").alias("src"), F.col("node").alias("dst"))
+    more = materialize(more, "bridges")
+    return None if more.isEmpty() else more
+
+
 def describe(df: DataFrame, members: DataFrame, id_col: str, vec_col: str, dim: int = 128, typical: int = 3) -> DataFrame:
     """``(head, size, rank, id, similarity)``: the ``typical`` members of each cluster nearest to its centre.
 

@@ -127,6 +127,24 @@ def test_clusters_match_chains(spark, cloud):
     assert {r["head"]: r["size"] for r in got} == sizes
 
 
+@pytest.mark.parametrize("block", [4_096, 1])
+def test_clusters_joined_by_tied_rows_only(spark, monkeypatch, block):
+    monkeypatch.setattr(clusters, "BLOCK", block, raising=False)
+    rng = np.random.default_rng(8)
+    x = []
+    for gap in (105, 117):  # the second chain breaks at its middle step of 47 degrees
+        p, q = np.linalg.qr(rng.normal(size=(DIM, 2)))[0].T
+        at = np.radians([*[0] * 20, *[gap] * 15, 35, gap - 35])
+        x.append(np.cos(at)[:, None] * p + np.sin(at)[:, None] * q + rng.normal(0, 1e-3, (len(at), DIM)))
+    x = np.concatenate(x).astype(np.float32)
+    ids = np.arange(len(x))
+    heads, sizes = components(x, ids, 0.75)
+    assert sorted(sizes.values()) == [16, 21, 37]
+    t = vec_table(spark, [(int(i), v) for i, v in zip(ids, x)])
+    got = clusters.linked_clusters(t, "image_index", "embedding", dim=DIM, link=0.75).collect()
+    assert {r["id"]: r["head"] for r in got} == heads
+
+
 def test_describe(spark, cloud):
     t = vec_table(spark, rows_of(cloud))
     c = clusters.linked_clusters(t, "image_index", "embedding", dim=DIM, probes=12, least_size=8)
