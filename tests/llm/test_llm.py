@@ -3,6 +3,7 @@ ties, repeated rows, empty tables, extra columns."""
 
 import collections
 import math
+import zlib
 
 import numpy as np
 import pytest
@@ -396,3 +397,23 @@ def test_sentences(spark, notes):
     assert not {5000, 5001, 5002} & set(got)
     assert (0, 9) in got[5003] and len(got[5003]) == 2
     assert sentences.split_sentences(t.limit(0)).count() == 0
+
+
+def test_sentences_without_blank_after_the_mark():
+    def weights(z):
+        w = np.zeros(sentences.WIDTH)
+        w[[zlib.crc32(f"{c}1".encode()) % sentences.WIDTH for c in sentences.SCRIPTS]] = z
+        return w
+
+    sure, doubtful = weights(6), weights(4)  # on either side of JOINED
+    for left, right in (("It held 2.55 mg/mL.", "The vial grew."), ("It was 0.66 µM.", "Plates grew."), ("It has 12 of 40.", "Cells grew."), ("Near the lamp (C4).", "Cells grew."), ("نمت الخلايا قرب المصباح.", "استراحت في الوعاء.")):
+        cut = [(0, len(left)), (len(left), len(left + right))]
+        assert sentences.units(left + right, sure) == cut
+        assert sentences.units(left + right, doubtful) == [(0, len(left + right))]
+        assert len(sentences.units(left + " " + right, doubtful)) == 2
+    assert len(sentences.units("It held 2.55 of 13.62 there.", sure)) == 1
+
+
+def test_sentences_learn_from_whole_texts(spark):
+    t = spark.createDataFrame([(1, "word " * 45_000 + "end.\n\nNext one.\n\n" * 50)], "doc_id bigint, text string")
+    assert sentences.train(t).any()
