@@ -184,6 +184,26 @@ def test_clusterings(spark):
     assert cluster.dbscan(df.limit(0), 2).count() == 0
 
 
+def test_silhouette_of_all_rows(spark):
+    """22,001 rows in few places, so that the score is known."""
+    sizes = {0: 12_000, 1: 8_000, 2: 2_001}
+    at = {0: 0.0, 1: 3.0, 2: 5.0}
+    rows = spark.range(sum(sizes.values())).withColumn("cluster", F.when(F.col("id") < 12_000, 0).when(F.col("id") < 20_000, 1).otherwise(2))
+    x = F.when(F.col("id") % 1000 == 0, 4.0).otherwise(F.when(F.col("cluster") == 0, at[0]).when(F.col("cluster") == 1, at[1]).otherwise(at[2]))
+    df = rows.select(F.col("id").alias("image_index"), F.array(x, F.lit(1.0)).alias("features"))
+    lab = rows.select(F.col("id").alias("image_index"), "cluster")
+    got = cluster.silhouette(df, lab, 2)
+    c = np.repeat([0, 1, 2], list(sizes.values()))
+    pos = np.where(np.arange(len(c)) % 1000 == 0, 4.0, np.array([at[v] for v in (0, 1, 2)])[c])
+    want = 0.0
+    for own in sizes:
+        for p in np.unique(pos[c == own]):
+            mean = {o: np.abs(pos[c == o] - p).sum() / (sizes[o] - (o == own)) for o in sizes}
+            near, far = mean.pop(own), min(mean.values())
+            want += ((c == own) & (pos == p)).sum() * (far - near) / max(near, far)
+    assert abs(got - want / len(c)) < 1e-9
+
+
 def test_components_of_chains_and_stars(spark):
     e = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 80)] + [(5, 5), (None, 3)]
     got = {r["node"]: r["component"] for r in graph.connected_components(spark.createDataFrame(e, "src bigint, dst bigint")).collect()}
