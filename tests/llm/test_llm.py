@@ -348,6 +348,23 @@ def test_mixing(spark):
     assert mixing.mix(d.limit(0), t)[1].where("tokens > 0").count() == 0
 
 
+def test_soft_mixing_draws_each_document_once(spark):
+    big, small = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    docs = [(i, big, "big") for i in range(300)] + [(1000 + i, small, "small") for i in range(60)] + [(2000 + i, small, None) for i in range(20)] + [(3000 + i, big, "  ") for i in range(30)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    t = spark.createDataFrame([("big", 0.6, 1), ("small", 0.4, 25)], "source string, token_share double, max_repeats int")
+    m = {r["doc_id"]: max(r["member"]) for r in mixing.members(d, ["big", "small"]).collect()}
+    assert min(m.values()) >= 0.975
+    plan, report = mixing.mix(d, t, soft=True)
+    p = plan.collect()
+    assert len({r["doc_id"] for r in p}) == len(p)
+    kind = {i: "big" if text == big else "small" for i, text, _ in docs}
+    assert max(r["copies"] for r in p if kind[r["doc_id"]] == "big") <= 1 and max(r["copies"] for r in p if kind[r["doc_id"]] == "small") <= 25
+    need = {r["source"]: r["need"] for r in report.collect()}
+    for s, want in need.items():
+        assert abs(sum(r["tokens"] * r["copies"] for r in p if kind[r["doc_id"]] == s) / want - 1) < 0.1
+
+
 def test_gradient_reaches_targets():
     import pandas as pd
 
