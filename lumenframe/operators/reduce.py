@@ -1,4 +1,4 @@
-"""Dimensionality reduction. PCA is distributed; t-SNE and UMAP run on a sample of stated size."""
+"""Dimensionality reduction. PCA is distributed; t-SNE and UMAP map a sample of stated size and place all other rows."""
 
 from __future__ import annotations
 
@@ -9,7 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE = 5_000  # most rows t-SNE and UMAP take
+from lumenframe.runtime import materialize
+
+SAMPLE = 5_000  # most rows t-SNE and UMAP map
+PLACE = 5  # mapped rows that place another one
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -102,10 +105,22 @@ def tsne(x: np.ndarray, k: int = 2, perplexity: float = 30.0, rounds: int = 300,
     y = np.random.default_rng(seed).normal(0, 1e-4, (n, k))
     v, gain = np.zeros_like(y), np.ones_like(y)
     for t in range(rounds):
-        q = 1 / (1 + _pairwise(y))
-        np.fill_diagonal(q, 0)
-        w = (p * (12 if t < 100 else 1) - q / q.sum()) * q
-        g = 4 * (w.sum(1)[:, None] * y - w @ y)
+        # by blocks of rows, which stay in the cache: attraction, repulsion and the sum of q in one pass
+        g, away, z, yy = np.empty_like(y), np.empty_like(y), 0.0, (y * y).sum(1)
+        for i in range(0, n, 64):
+            own = y[i : i + 64]
+            q = yy[i : i + 64, None] + yy
+            q -= 2 * own @ y.T
+            np.maximum(q, 0, out=q)
+            q += 1
+            np.reciprocal(q, out=q)
+            q[np.arange(len(own)), np.arange(i, i + len(own))] = 0
+            z += q.sum()
+            w = p[i : i + 64] * q
+            g[i : i + 64] = w.sum(1)[:, None] * own - w @ y
+            q *= q
+            away[i : i + 64] = q.sum(1)[:, None] * own - q @ y
+        g = 4 * ((12 if t < 100 else 1) * g - away / z)
         gain = np.where(np.sign(g) != np.sign(v), gain + 0.2, np.maximum(gain * 0.8, 0.01))
         v = (0.5 if t < 100 else 0.8) * v - max(n / 12 / 4, 50) * gain * g
         y = y + v
@@ -162,8 +177,9 @@ def umap(x: np.ndarray, k: int = 2, neighbours: int = 15, min_dist: float = 0.1,
 
 
 def reduce_dimensions(df: DataFrame, key: str, vec: str, dim: int, method: str = "pca", k: int = 2, sample: int | None = None, seed: int = 42, **options) -> DataFrame:
-    """``(key, component_1..k)``. ``sample`` bounds the rows; t-SNE and UMAP take at most SAMPLE (the method is for maps of
-    a few thousand points), in one task of numpy; PCA takes all rows."""
+    """``(key, component_1..k)``. ``sample`` bounds the rows; PCA takes all without it. t-SNE and UMAP map at most SAMPLE rows
+    chosen by hash (the methods are for maps of a few thousand points), in one task of numpy. Without ``sample`` every other
+    row is placed at the mean of its PLACE nearest mapped rows, weighted by 1 / distance, so each row has coordinates."""
     if method == "pca":
         d = hash_sample(df, key, sample, seed) if sample else df
         return pca(d, vec, dim, k).transform(d, key, vec)
@@ -177,9 +193,33 @@ def reduce_dimensions(df: DataFrame, key: str, vec: str, dim: int, method: str =
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
         y = f(np.stack(pdf[vec].to_numpy()).astype(float), k, seed=seed, **options)
-        return pd.concat([pdf[[key]].reset_index(drop=True), pd.DataFrame(y, columns=names)], axis=1)
-
-    return d.groupBy(F.lit(0).alias("_g")).applyInPandas(lambda p: run(p.drop(columns=["_g"], errors="ignore")), f"{key} {kind}, " + ", ".join(f"{n} double" for n in names))
+        return pd.concat([pdf[[key, vec]].reset_index(drop=True), pd.DataFrame(y, columns=names)], axis=1)
+
+    schema = f"{key} {kind}, " + ", ".join(f"{n} double" for n in names)
+    near = d.groupBy(F.lit(0).alias("_g")).applyInPandas(lambda p: run(p.drop(columns=["_g"], errors="ignore")), f"{key} {kind}, {vec} {df.schema[vec].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names))
+    if sample:
+        return near.drop(vec)
+    near = materialize(near, "map")
+    fit = near.toPandas()
+    if len(fit) < SAMPLE:
+        return near.drop(vec)
+    b = df.sparkSession.sparkContext.broadcast((set(fit[key].tolist()), np.stack(fit[vec].to_numpy()).astype(float), fit[names].to_numpy()))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, x, y = b.value
+        xx = (x * x).sum(1)
+        for pdf in batches:
+            pdf = pdf[~pdf[key].isin(known)].reset_index(drop=True)
+            for lo in range(0, len(pdf), 1024):
+                part = pdf.iloc[lo : lo + 1024].reset_index(drop=True)
+                v = np.stack(part[vec].to_numpy()).astype(float)
+                far = np.sqrt(np.maximum((v * v).sum(1)[:, None] + xx - 2 * v @ x.T, 0))
+                at = np.argpartition(far, PLACE - 1, axis=1)[:, :PLACE]
+                w = 1 / np.maximum(np.take_along_axis(far, at, 1), 1e-9)
+                yield pd.concat([part[[key]], pd.DataFrame((w[:, :, None] * y[at]).sum(1) / w.sum(1, keepdims=True), columns=names)], axis=1)
+
+    rest = df.where(F.col(vec).isNotNull()).select(key, vec).mapInPandas(place, schema)
+    return near.drop(vec).unionByName(rest)
 
 
 def group_centroids(components: DataFrame, comps: list[str], group_by: list[str]) -> DataFrame:

@@ -505,12 +505,12 @@ def component_correlation(s, d):
 
 @query()
 def tsne_map(s, d):
-    return C.reduce_dimensions(_vectors(s, d, "features"), "image_index", "features", DIM, "tsne", sample=400, rounds=120)
+    return C.reduce_dimensions(_vectors(s, d, "features"), "image_index", "features", DIM, "tsne")
 
 
 @query()
 def umap_map(s, d):
-    return C.reduce_dimensions(_vectors(s, d, "features"), "image_index", "features", DIM, "umap", sample=1000, rounds=80)
+    return C.reduce_dimensions(_vectors(s, d, "features"), "image_index", "features", DIM, "umap")
 
 
 @query()

@@ -168,6 +168,19 @@ def test_pca_and_maps(spark):
         reduce.tsne(g, perplexity=60)
 
 
+def test_maps_place_every_row(spark, monkeypatch):
+    monkeypatch.setattr(reduce, "SAMPLE", 40)
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(0, 0.1, (60, 4)), rng.normal(5, 0.1, (60, 4))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(999, None)], "image_index bigint, f array<double>")
+    for method, options in (("tsne", {"perplexity": 10}), ("umap", {"neighbours": 8})):
+        y = reduce.reduce_dimensions(df, "image_index", "f", 4, method, **options).toPandas().sort_values("image_index")
+        assert y["image_index"].tolist() == list(range(120))
+        z = y[["component_1", "component_2"]].to_numpy()
+        assert np.linalg.norm(z[:60].mean(0) - z[60:].mean(0)) > 2 * max(z[:60].std(0).max(), z[60:].std(0).max())
+        assert reduce.reduce_dimensions(df, "image_index", "f", 4, method, sample=30, **options).count() == 30
+
+
 def test_clusterings(spark):
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(c, 0.1, (40, 2)) for c in ([0, 0], [5, 0], [0, 5])] + [[[20, 20]]])
