@@ -97,23 +97,31 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     _, report = mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
-    return report.where("need > tokens").select("source", "passes")
+    return report.where("short").select("source", "passes")
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
-    """Shares reached, when documents without a source are drawn by their posteriors as well."""
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), soft=True)[1]
+    """Shares reached, when documents without a source are drawn by their posteriors as well and no source runs out."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), soft=True, total="reachable")[1]
 
 
 def p7_plan(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
 
+def p7_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Whether no document is used too often, and each source is drawn to within one document of what it needs."""
+    t = table(spark, d, "mix_targets")
+    plan, report = mixing.mix(table(spark, d, "documents"), t, total="reachable")
+    over = plan.join(F.broadcast(t), "source").groupBy("source").agg(F.max(F.col("copies") <= F.col("max_repeats")).alias("kept"), F.max("tokens").alias("largest"))
+    return report.join(over, "source").select("source", "kept", (F.abs(F.col("drawn") - F.col("need")) <= F.col("largest")).alias("met"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split_sentences(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_subset, p2_found, p2_splits, p2_shares, p3_found, p3_percentiles, p4_found, p4_clusters, p5_found, p5_neighbours, p6_found, p6_items, p7_found, p7_mix, p7_plan, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_subset, p2_found, p2_splits, p2_shares, p3_found, p3_percentiles, p4_found, p4_clusters, p5_found, p5_neighbours, p6_found, p6_items, p7_found, p7_mix, p7_plan, p7_limits, p8_found)}
 
 _VEC = """vec AS (SELECT image_index, any_value(embedding)::DOUBLE[] AS e FROM image_vectors WHERE len(embedding) = 128
   AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0)) GROUP BY 1),
@@ -145,5 +153,9 @@ SELECT DISTINCT image_index, group_batch FROM (SELECT image_index, coalesce(n.b,
     "SELECT compound, property, pct::INTEGER AS pct, n, v AS value, 0.0::DOUBLE AS rank_error FROM r, (VALUES (5), (25), (50), (75), (95)) p(pct) WHERE k = greatest(1, (pct * n + 99) // 100)",
     "p4_found": f"WITH RECURSIVE {_VEC}, ed AS (SELECT a, b FROM pair WHERE s >= 0.75), reach AS (SELECT a, b FROM ed UNION SELECT r.a, ed.b FROM reach r JOIN ed ON r.b = ed.a) "
     "SELECT a AS image_index, least(a, min(b)) AS cluster_head FROM reach GROUP BY a HAVING count(*) >= 8",
+    # any measure of length gives the same cases, so bytes stand for tokens
+    "p7_found": "WITH n AS (SELECT trim(source) AS source, sum(octet_length(encode(text)))::DOUBLE AS t FROM documents WHERE trim(source) <> '' GROUP BY 1) "
+    "SELECT source, least(max_repeats, ceil(token_share * (SELECT sum(t) FROM n) / t))::INTEGER AS passes FROM mix_targets JOIN n USING (source) WHERE token_share * (SELECT sum(t) FROM n) > t",
+    "p7_limits": "SELECT source, true AS kept, true AS met FROM mix_targets",
     "p5_found": f"WITH {_VEC} SELECT DISTINCT least(a, b) AS image_a, greatest(a, b) AS image_b FROM (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM pair) WHERE r <= 5 AND s >= 0.97",
 }
