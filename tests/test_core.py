@@ -263,6 +263,23 @@ def test_lookup_channels_masks(spark):
     assert {r["image_path"]: r["mask_path"] for r in discovery.resolve_masks(img, masks, root="i", mask_root="m").collect()} == {"i/a.tif": "m/a.png", "i/b.tif": "given.png", "i/c.tif": None}
 
 
+@pytest.mark.parametrize("parts", [2, 4, 8, 200])
+def test_index_by_path(spark, parts):
+    rng = np.random.default_rng(parts)
+    rows = [(int(i), f"r{rng.integers(3)}/{rng.integers(400)}.png" if i % 3 else "hot.png") for i in rng.permutation(1500)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        want = [i for _, i in sorted((p, i) for i, p in rows)]
+        for _ in range(2):
+            t = spark.createDataFrame(rows, "was bigint, image_path string").repartition(7)
+            got = discovery.index_by_path(t).orderBy("image_index").collect()
+            assert [r["image_index"] for r in got] == list(range(1500)) and [r["was"] for r in got] == want
+        assert discovery.index_by_path(t.limit(0)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_alignment(spark, cat):
     with pytest.raises(ValueError):
         discovery.require_unique_ids(cat.withColumn("id", F.lit("x")))
