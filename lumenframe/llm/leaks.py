@@ -1,7 +1,7 @@
 """Evaluation texts that leaked into training documents.
 
-Both sides are brought to plain words. N-grams of the test items, long enough to be rare in a corpus, seed candidates in a
-hash join; a local alignment with a budget of edits then decides.
+Both sides are brought to plain words. N-grams of the test items are seeds: where several fall together in a document, its
+part meets the items by the seeds that are rarest in the corpus, and a local alignment with a budget of edits decides.
 """
 
 from __future__ import annotations
@@ -11,19 +11,28 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.runtime import materialize
+
 WORDS, CHARS = 16, 30  # least stretch, in words and in characters of scripts without spaces
 EDIT = 8  # one unit in EDIT may differ
 SEED_WORDS, SEED_CHARS = 5, 6  # the longest runs that every allowed stretch is sure to hold unchanged
+# by words and by characters: L units with e <= L / EDIT edits keep at least L - n + 1 - e n seeds of n units at different
+# places, over all L from the least on two of words (L = 16, e = 2) and three of characters (L = 32, e = 4)
+LEAST_SEEDS = {False: 2, True: 3}
+REACH = {False: 2 * WORDS + 4, True: 2 * CHARS + 8}  # units in which a stretch shorter than twice the least lies, edits included
+PIECE = 400  # units by which long parts are cut
+MAX_BITS = 26
 
 _INVISIBLE = regex.compile(r"[\p{Cf}\p{Mn}--[\p{Mn}&&[\p{Devanagari}\p{Thai}\p{Arabic}\p{Hebrew}]]]+", regex.V1)
-_TAG = regex.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)(?:\s[^<>]{0,300})?/?>")
+_TAG = regex.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)(?:\s[^<>]*)?/?>")
 _BLOCK = frozenset("p br div li ul ol tr td th table h1 h2 h3 h4 h5 h6 hr".split())
-_LINK = regex.compile(r"!?\[([^\[\]]{1,300})\]\([^()\s]{1,500}\)")
+_LINK = regex.compile(r"!?\[([^\[\]]+)\]\([^()\s]+\)")
 _MARK = regex.compile(r"[*_`~]+")
 _HYPHEN = regex.compile(r"(?<=\w)[-‐‑](?:\s*\n\s*)?(?=\w)")
 _WORD = regex.compile(r"\w+")
@@ -54,47 +63,191 @@ def dense(tokens: list[str]) -> bool:
     return bool(joined) and len(_DENSE.findall(joined)) > 0.2 * len(joined)
 
 
-class Items:
-    """The test items as token lists with their seeds; a fixed, bounded number is held at once."""
-
-    def __init__(self, rows: list[tuple[int, str]]):
-        self.ids, self.tokens, self.by_chars, self.seeds, self.char_seeds = [], [], [], {}, {}
-        for item_id, text in rows:
-            t = words(plain(text or ""))
-            chars = dense(t)
-            t = list("".join(t)) if chars else t
-            if len(t) < (CHARS if chars else WORDS):
-                continue
-            i = len(self.ids)
-            self.ids.append(item_id)
-            self.tokens.append(t)
-            self.by_chars.append(chars)
-            n, into = (SEED_CHARS, self.char_seeds) if chars else (SEED_WORDS, self.seeds)
-            for j in range(len(t) - n + 1):
-                into.setdefault("".join(t[j : j + n]) if chars else tuple(t[j : j + n]), []).append((i, j))
-        self.vocabulary = {w for s in self.seeds for w in s}
-
-    def hits(self, tokens: list[str]) -> dict[int, list[tuple[int, int, int]]]:
-        """Per item (position in the document, position in the item, length of the seed)."""
-        out: dict[int, list] = {}
-        n = SEED_WORDS
-        if self.seeds and len(tokens) >= n:
-            known = self.vocabulary
-            mark = [w in known for w in tokens]
-            run = 0
-            for p, m in enumerate(mark):
-                run = run + 1 if m else 0
-                if run >= n:
-                    for i, j in self.seeds.get(tuple(tokens[p - n + 1 : p + 1]), ()):
-                        out.setdefault(i, []).append((p - n + 1, j, n))
-        if self.char_seeds:
-            joined = "".join(tokens)
-            if _DENSE.search(joined):
-                n = SEED_CHARS
-                for p in range(len(joined) - n + 1):
-                    for i, j in self.char_seeds.get(joined[p : p + n], ()):
-                        out.setdefault(i, []).append((p, j, n))
-        return out
+class _Hashes(dict):
+    """64-bit hashes of words, the same on every machine."""
+
+    def __missing__(self, w: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        v = self[w] = xxhash.xxh64_intdigest(w)
+        return v
+
+
+_HASHES = _Hashes()
+
+
+def unit_hashes(tokens: list[str], by_chars: bool) -> np.ndarray:
+    """A number for each word, or for each character of the words put together."""
+    if by_chars:
+        return np.frombuffer("".join(tokens).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    return np.fromiter(map(_HASHES.__getitem__, tokens), np.uint64, len(tokens))
+
+
+def seed_hashes(units: np.ndarray, by_chars: bool) -> np.ndarray:
+    """Hashes of the n-grams of a sequence of numbers; words and characters never share a hash but by chance."""
+    n = SEED_CHARS if by_chars else SEED_WORDS
+    if len(units) < n:
+        return np.empty(0, np.uint64)
+    m = len(units) - n + 1
+    h = np.full(m, 0x9E3779B97F4A7C15 if by_chars else 0xC2B2AE3D27D4EB4F, np.uint64)
+    for i in range(n):
+        h = (h ^ units[i : i + m]) * np.uint64(0x100000001B3F)
+        h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+class SeedFilter:
+    """Bits that tell which hashes may be seeds of the items: two probes, at most MAX_BITS bits (8 MB), whatever their number.
+
+    Beyond some millions of seeds more other hashes pass, which the join then drops; none is lost.
+    """
+
+    def __init__(self, bits: int, words: np.ndarray):
+        self.bits, self.table = bits, words.view(np.uint8)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(h), bool)
+        for at in (h >> np.uint64(64 - self.bits), h & np.uint64((1 << self.bits) - 1)):
+            ok &= (self.table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        return ok
+
+
+def seed_filter(seeds: DataFrame) -> SeedFilter:
+    """Built on the executors: each seed gives two bit places, places meet in words of 64 bits."""
+    n = max(1, seeds.count())
+    bits = int(min(MAX_BITS, max(16, np.ceil(np.log2(32 * n)))))
+    s = F.col("seed")
+    at = seeds.select(F.explode(F.array(F.shiftrightunsigned(s, 64 - bits), s.bitwiseAND((1 << bits) - 1))).alias("at"))
+    # least significant bit first, as numpy reads the bytes of a word
+    words = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("b"))
+    got = words.toArrow()
+    out = np.zeros(max(1, (1 << bits) // 64), np.int64)
+    out[np.asarray(got.column("w"))] = np.asarray(got.column("b"))
+    return SeedFilter(bits, out)
+
+
+ITEM = "item_id bigint, by_chars boolean, units string, seeds array<bigint>"
+
+
+def item_table(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """``(item_id, by_chars, units, seeds)`` of items long enough to leak; an id counts once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, t in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist()):
+                w = words(plain(t))
+                chars = dense(w)
+                u = unit_hashes(w, chars)
+                if len(u) >= (CHARS if chars else WORDS):
+                    rows.append((i, chars, ("" if chars else " ").join(w), np.unique(seed_hashes(u, chars)).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.bool_(), pa.string(), pa.list_(pa.int64())))], names=["item_id", "by_chars", "units", "seeds"])
+
+    t = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(text).alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
+    return t.groupBy("item_id").agg(F.min("text").alias("text")).mapInArrow(run, ITEM)
+
+
+def _pieces(at: np.ndarray, n_units: int, by_chars: bool) -> list[tuple[int, int]]:
+    """Ranges of a document that can hold a stretch, from the places of its seeds.
+
+    Any allowed stretch holds an allowed one shorter than twice the least, whose seeds lie within REACH units and are at
+    least LEAST_SEEDS. Long ranges are cut with an overlap in which such a stretch has room.
+    """
+    reach, least = REACH[by_chars], LEAST_SEEDS[by_chars]
+    cuts = np.flatnonzero(np.diff(at) > reach) + 1
+    out = []
+    for run in np.split(at, cuts):
+        if len(run) < least:
+            continue
+        lo, hi = max(0, int(run[0]) - reach), min(n_units, int(run[-1]) + reach + SEED_CHARS)
+        for s in range(lo, max(lo + 1, hi - 3 * reach), PIECE):
+            out.append((s, min(hi, s + PIECE + 3 * reach)))
+    return out
+
+
+def passages(documents: DataFrame, known: SeedFilter, by_words: bool, by_chars: bool, doc_id: str = "doc_id", text: str = "text", chunk: int = 400_000) -> DataFrame:
+    """``(pid, doc_id, by_chars, units, seeds, drop)``: the parts of documents in which seeds of items fall together.
+
+    One scan of the texts, whole and of any length; a part has at most PIECE + 3 REACH units. ``drop`` is how many of its
+    seeds, the most frequent ones, need not be looked up: one less than an allowed stretch keeps, 0 where a seed repeats.
+    """
+    kind = documents.schema[doc_id].dataType.simpleString()
+    b = documents.sparkSession.sparkContext.broadcast(known)
+    schema = f"pid bigint, doc_id {kind}, by_chars boolean, units string, seeds array<bigint>, drop int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        known, serial = b.value, TaskContext.get().partitionId() << 33
+
+        def look(held: list, chars: bool) -> list[tuple]:
+            """All texts of a chunk at once: n-grams across a border are marked off."""
+            if not held:
+                return []
+            n = SEED_CHARS if chars else SEED_WORDS
+            sizes = np.array([len(u) for _, _, u in held])
+            h = seed_hashes(np.concatenate([u for _, _, u in held]), chars)
+            ends = np.cumsum(sizes)
+            at = np.flatnonzero(known(h))
+            who = np.searchsorted(ends, at, "right")
+            on = at + n <= ends[who]
+            at, who = at[on], who[on]
+            out = []
+            for k in np.unique(who).tolist():
+                mine = at[who == k]
+                start = int(ends[k] - sizes[k])
+                d, tokens, units = held[k]
+                seq = "".join(tokens) if chars else tokens
+                for lo, hi in _pieces(mine - start, len(units), chars):
+                    s = h[mine[(mine >= start + lo) & (mine + n <= start + hi)]]
+                    if len(s) >= LEAST_SEEDS[chars]:
+                        once = np.unique(s)
+                        out.append((d, chars, seq[lo:hi] if chars else " ".join(seq[lo:hi]), once.view(np.int64), LEAST_SEEDS[chars] - 1 if len(once) == len(s) else 0))
+            return out
+
+        def batch(rows: list[tuple], ids: pa.DataType) -> pa.RecordBatch:
+            nonlocal serial
+            cols = [pa.array(range(serial, serial + len(rows)), pa.int64())] + [pa.array([r[k] for r in rows], t) for k, t in enumerate((ids, pa.bool_(), pa.string(), pa.list_(pa.int64()), pa.int32()))]
+            serial += len(rows)
+            return pa.RecordBatch.from_arrays(cols, names=["pid", "doc_id", "by_chars", "units", "seeds", "drop"])
+
+        for rb in batches:
+            ids = rb.schema.field("doc_id").type
+            held, size = {False: [], True: []}, {False: 0, True: 0}
+            for d, t in zip(rb.column("doc_id").to_pylist(), rb.column("text").to_pylist()):
+                tokens = words(plain(t))
+                for chars in (False, True):
+                    if not (by_chars and _DENSE.search("".join(tokens)) if chars else by_words):
+                        continue
+                    u = unit_hashes(tokens, chars)
+                    if len(u) < (CHARS if chars else WORDS) * 7 // 8:
+                        continue
+                    held[chars].append((d, tokens, u))
+                    size[chars] += len(u)
+                    if size[chars] >= chunk:
+                        if rows := look(held[chars], chars):
+                            yield batch(rows, ids)
+                        held[chars], size[chars] = [], 0
+            for chars in (False, True):
+                if rows := look(held[chars], chars):
+                    yield batch(rows, ids)
+
+    d = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    return d.mapInArrow(run, schema)
+
+
+def candidates(parts: DataFrame, items: DataFrame) -> DataFrame:
+    """``(pid, item_id)``: parts and items that share one of the part's rarer seeds.
+
+    Seeds are counted over all parts. A part that holds a stretch shares at least LEAST_SEEDS seeds with the item, so it
+    is enough to look up all its seeds but ``drop`` of the most frequent: the usual turns of phrase join nothing.
+    """
+    h = parts.select("pid", "drop", F.explode("seeds").alias("seed"))
+    often = h.groupBy("seed").agg(F.count("*").alias("often"))
+    s = h.join(often, "seed").groupBy("pid", "drop").agg(F.array_sort(F.collect_list(F.struct("often", "seed"))).alias("s"))  # at most PIECE + 3 REACH seeds a part
+    rare = s.select("pid", F.explode(F.slice("s", 1, F.greatest(F.lit(0), F.size("s") - F.col("drop")))).alias("x")).select("pid", "x.seed")
+    return rare.join(items.select("item_id", F.explode("seeds").alias("seed")), "seed").select("pid", "item_id").distinct()
 
 
 def align(item: np.ndarray, doc: np.ndarray, least: int, budget: int = EDIT) -> tuple[int, int]:
@@ -126,76 +279,76 @@ def align(item: np.ndarray, doc: np.ndarray, least: int, budget: int = EDIT) ->
     return best, best_e
 
 
-def _windows(hits: list[tuple[int, int, int]], n_item: int, n_doc: int) -> list[tuple[int, int]]:
-    """Ranges of the document in which stretches through the hits can lie, overlapping ones joined."""
-    slack = n_item // EDIT + 2
-    spans = sorted((max(0, p - j - slack), min(n_doc, p - j + n_item + slack)) for p, j, _ in hits)
-    out = [list(spans[0])]
-    for lo, hi in spans[1:]:
-        if lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi)
-        else:
-            out.append([lo, hi])
-    return [tuple(x) for x in out]
+class _Item:
+    """An item ready for alignment: its units by number, and the places of its seeds."""
+
+    def __init__(self, units: str, by_chars: bool):
+        t = units if by_chars else units.split(" ")
+        self.code = {w: c for c, w in enumerate(dict.fromkeys(t))}
+        self.units = np.array([self.code[w] for w in t], np.int32)
+        self.at: dict = {}
+        n = SEED_CHARS if by_chars else SEED_WORDS
+        for j in range(len(t) - n + 1):
+            self.at.setdefault(self.units[j : j + n].tobytes(), []).append(j)
+
 
+def best_stretch(item: _Item, units: str, by_chars: bool, memo: dict) -> tuple[int, int]:
+    """The best allowed stretch of an item in a part of a document, or (0, 0)."""
+    n, reach = (SEED_CHARS if by_chars else SEED_WORDS), REACH[by_chars]
+    doc = np.array([item.code.get(w, -1) for w in (units if by_chars else units.split(" "))], np.int32)
+    hits = [(p, j) for p in range(len(doc) - n + 1) if doc[p] >= 0 for j in item.at.get(doc[p : p + n].tobytes(), ())]
+    best = (0, 0)
+    for run in np.split(np.array(hits, np.int64).reshape(-1, 2), np.flatnonzero(np.diff([p for p, _ in hits]) > reach) + 1) if hits else ():
+        # by counting, an allowed stretch keeps this many seeds at different places of the item: fewer are chance
+        if len(np.unique(run[:, 1])) < LEAST_SEEDS[by_chars]:
+            continue
+        d = doc[max(0, run[0, 0] - reach) : run[-1, 0] + n + reach]
+        lo, hi = max(0, int(run[:, 1].min()) - reach), int(run[:, 1].max()) + n + reach
+        key = (lo, hi, d.tobytes())
+        if key not in memo:
+            memo[key] = align(item.units[lo:hi], d, CHARS if by_chars else WORDS)
+        m, e = memo[key]
+        if m and (not best[0] or m - EDIT * e > best[0] - EDIT * best[1]):
+            best = (m, e)
+    return best
 
-def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", block: int = 5_000) -> DataFrame:
+
+def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id") -> DataFrame:
     """``(doc_id, item_id, stretch, edits)``: every document that holds a stretch of an item, each pair once.
 
     A stretch is at least WORDS consecutive words of the item (CHARS characters in scripts without spaces) with at most
-    one in EDIT changed, dropped or added. By counting, such a stretch shares several seeds with the document, so asking
-    for them loses none. Words dropped at the ends of a stretch count as its edits, so 14 unchanged words (27 characters) in
-    a row suffice. Items are taken ``block`` at a time: what is broadcast is bounded.
+    one in EDIT changed, dropped or added. By counting, such a stretch shares LEAST_SEEDS seeds with the document, so
+    asking for them loses none. Words dropped at the ends of a stretch count as its edits, so 14 unchanged words (27
+    characters) in a row suffice. The corpus is read once, whatever the number of items: parts with seeds meet the items by
+    their rarer seeds in a join, and alignment decides each pair. ``stretch`` is the best one within a part.
     Null or empty texts match nothing; rows with a null id are left out; shorter items can't match. Of rows repeated
-    under one doc_id any may hold the stretch. Whole texts are read, of any length, one at a time.
-    """
-    rows = [(r[0], r[1]) for r in items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(item_id, text).dropDuplicates([item_id]).orderBy(item_id).toLocalIterator()]
-    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    out = None
-    for lo in range(0, max(1, len(rows)), block):
-        found = _leaked(docs, Items(rows[lo : lo + block]))
-        out = found if out is None else out.unionByName(found)
-    w = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("stretch", (-F.col("edits")).alias("e"))).alias("x"))
-    return w.select("doc_id", "item_id", "x.stretch", (-F.col("x.e")).alias("edits"))
-
-
-def _promising(hits: list[tuple[int, int, int]], by_chars: bool) -> bool:
-    """Whether hits of one window can belong to an allowed stretch.
-
-    By counting, L units with e <= L / EDIT edits keep at least L - n + 1 - e n seeds of n units at different places of the
-    item. Over all L from the least stretch on that is two of words (L = 16, e = 2) and three of characters (L = 32, e = 4).
-    Fewer can only be chance, however rare the seed.
+    under one doc_id any may hold the stretch; of items repeated under one id the smaller text counts.
     """
-    return len({j for _, j, _ in hits}) >= (3 if by_chars else 2)
-
+    known = materialize(item_table(items, item_id, text), "items")
+    seeds = known.select(F.explode("seeds").alias("seed")).distinct()
+    kinds = {r[0] for r in known.select("by_chars").distinct().collect()}
+    parts = materialize(passages(documents, seed_filter(seeds), False in kinds, True in kinds, doc_id, text), "passages")
+    pairs = candidates(parts, known)
+    kind = parts.schema["doc_id"].dataType.simpleString()
+    j = pairs.join(parts.select("pid", "doc_id", "by_chars", "units"), "pid").join(known.select("item_id", "by_chars", F.col("units").alias("item")), ["item_id", "by_chars"])
 
-def _leaked(docs: DataFrame, known: Items) -> DataFrame:
-    b = docs.sparkSession.sparkContext.broadcast(known)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = b.value
-        codes = [{w: c for c, w in enumerate(dict.fromkeys(t))} for t in known.tokens]
-        items = [np.array([p[w] for w in t], np.int32) for p, t in zip(codes, known.tokens)]
-        memo: dict = {}
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready: dict = {}
+        for b in batches:
             out = []
-            for d, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
-                tokens = words(plain(t))
-                for i, h in known.hits(tokens).items():
-                    seq = "".join(tokens) if known.by_chars[i] else tokens
-                    for lo, hi in _windows(h, len(known.tokens[i]), len(seq)):
-                        if not _promising([x for x in h if lo <= x[0] < hi], known.by_chars[i]):
-                            continue
-                        doc = np.array([codes[i].get(w, -1) for w in seq[lo:hi]], np.int32)
-                        key = (i, doc.tobytes())
-                        if key not in memo:
-                            if len(memo) > 20_000:
-                                memo.clear()
-                            memo[key] = align(items[i], doc, CHARS if known.by_chars[i] else WORDS)
-                        n, e = memo[key]
-                        if n:
-                            out.append((d, known.ids[i], n, e))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "stretch", "edits"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInPandas(run, f"doc_id {kind}, item_id bigint, stretch int, edits int")
+            for d, i, chars, units, item in zip(*(b.column(c).to_pylist() for c in ("doc_id", "item_id", "by_chars", "units", "item"))):
+                if i not in ready:
+                    if len(ready) > 2_000:
+                        ready.clear()
+                    ready[i] = (_Item(item, chars), {})
+                it, memo = ready[i]
+                if len(memo) > 5_000:
+                    memo.clear()
+                m, e = best_stretch(it, units, chars, memo)
+                if m:
+                    out.append((d, i, m, e))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((b.schema.field("doc_id").type, pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "item_id", "stretch", "edits"])
+
+    found = j.select("doc_id", "item_id", "by_chars", "units", "item").mapInArrow(run, f"doc_id {kind}, item_id bigint, stretch int, edits int")
+    w = found.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("stretch") - EDIT * F.col("edits")).alias("s"), "stretch", "edits")).alias("x"))
+    return w.select("doc_id", "item_id", "x.stretch", "x.edits")

@@ -95,6 +95,15 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("stretch").alias("longest"))
 
 
+def p6_planted(spark: SparkSession, d: str) -> DataFrame:
+    """Every test item put into documents as it is, in capitals with other spacing, and with each eighth word changed."""
+    i = table(spark, d, "benchmark_items")
+    swap = F.array_join(F.transform(F.split("text", " "), lambda w, k: F.when(k % 9 == 8, F.lit("zzz")).otherwise(w)), " ")
+    forms = F.array(F.concat(F.lit("Intro. "), "text", F.lit(" End.")), F.regexp_replace(F.upper("text"), " ", " \n"), swap)
+    t = i.select("item_id", F.posexplode(forms).alias("form", "text")).select((F.col("item_id") * 10 + F.col("form")).alias("doc_id"), "text")
+    return leaks.leaked(t, i).select("doc_id", "item_id")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     _, report = mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
     return report.where("short").select("source", "passes")
@@ -121,7 +130,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split_sentences(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_subset, p2_found, p2_splits, p2_shares, p3_found, p3_percentiles, p4_found, p4_clusters, p5_found, p5_neighbours, p6_found, p6_items, p7_found, p7_mix, p7_plan, p7_limits, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_subset, p2_found, p2_splits, p2_shares, p3_found, p3_percentiles, p4_found, p4_clusters, p5_found, p5_neighbours, p6_found, p6_items, p6_planted, p7_found, p7_mix, p7_plan, p7_limits, p8_found)}
 
 _VEC = """vec AS (SELECT image_index, any_value(embedding)::DOUBLE[] AS e FROM image_vectors WHERE len(embedding) = 128
   AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0)) GROUP BY 1),
@@ -153,6 +162,7 @@ SELECT DISTINCT image_index, group_batch FROM (SELECT image_index, coalesce(n.b,
     "SELECT compound, property, pct::INTEGER AS pct, n, v AS value, 0.0::DOUBLE AS rank_error FROM r, (VALUES (5), (25), (50), (75), (95)) p(pct) WHERE k = greatest(1, (pct * n + 99) // 100)",
     "p4_found": f"WITH RECURSIVE {_VEC}, ed AS (SELECT a, b FROM pair WHERE s >= 0.75), reach AS (SELECT a, b FROM ed UNION SELECT r.a, ed.b FROM reach r JOIN ed ON r.b = ed.a) "
     "SELECT a AS image_index, least(a, min(b)) AS cluster_head FROM reach GROUP BY a HAVING count(*) >= 8",
+    "p6_planted": "SELECT item_id * 10 + form AS doc_id, item_id FROM benchmark_items, (VALUES (0), (1), (2)) f(form)",
     # any measure of length gives the same cases, so bytes stand for tokens
     "p7_found": "WITH n AS (SELECT trim(source) AS source, sum(octet_length(encode(text)))::DOUBLE AS t FROM documents WHERE trim(source) <> '' GROUP BY 1) "
     "SELECT source, least(max_repeats, ceil(token_share * (SELECT sum(t) FROM n) / t))::INTEGER AS passes FROM mix_targets JOIN n USING (source) WHERE token_share * (SELECT sum(t) FROM n) > t",

@@ -301,21 +301,60 @@ def test_leaks_spread_edits_in_characters(spark):
     assert [(r["doc_id"], r["stretch"], r["edits"]) for r in got] == [(0, 32, 4)]
 
 
+def brute_leak(item, doc, least):
+    """Whether some stretch of the item lies within an eighth of its length in edits of some part of the document."""
+    for i in range(len(item)):
+        row = np.zeros(len(doc) + 1, int)
+        for n, w in enumerate(item[i:], 1):
+            new = np.full_like(row, n)
+            for j in range(1, len(doc) + 1):
+                new[j] = min(row[j - 1] + (doc[j - 1] != w), row[j] + 1, new[j - 1] + 1)
+            row = new
+            if n >= least and row.min() * 8 <= n:
+                return True
+    return False
+
+
+@pytest.mark.parametrize("piece", [400, 20])
+def test_leaks_against_brute_force(spark, monkeypatch, piece):
+    """Seeds, parts, join and alignment together, with edits, repeated phrases, copies of a whole item many times over, and
+    items that share words."""
+    monkeypatch.setattr(leaks, "PIECE", piece)
+    rng = np.random.default_rng(12)
+    pool = ["".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(40)]
+    han = [chr(0x4E00 + 11 * i) for i in range(60)]
+    items, docs = [], []
+    for k in range(8):
+        v, least = (han, 30) if k % 4 == 3 else (pool, 16)
+        t = [v[i] for i in rng.integers(0, len(v), least + 14)]
+        items.append((k, least, t + t[:8] if k % 3 == 0 else t))
+    for d in range(70):
+        _, least, t = items[rng.integers(len(items))]
+        v = han if least == 30 else pool
+        a = rng.integers(0, 12)
+        s = t[a : a + rng.integers(least - 4, least + 6)]
+        for _ in range(rng.integers(0, 6)):
+            i = rng.integers(0, len(s))
+            s[i : i + 1] = [["zz"] if v is pool else ["乱"], [], [s[i], v[0]]][rng.integers(3)]
+        docs.append((d, [v[i] for i in rng.integers(0, len(v), 50)] + s + [v[i] for i in rng.integers(0, len(v), 30)]))
+    docs.append((99, items[1][2] * 30))
+    say = lambda t: ("" if ord(t[0][0]) > 0x4000 else " ").join(t)
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.leaked(spark.createDataFrame([(d, say(t)) for d, t in docs], "doc_id bigint, text string"), spark.createDataFrame([(k, say(t)) for k, _, t in items], "item_id bigint, text string")).collect()}
+    want = {(d, k) for d, t in docs if d != 99 for k, least, it in items if (ord(t[0][0]) > 0x4000) == (least == 30) and brute_leak(it, t, least)}
+    assert {x for x in got if x[0] != 99} == want and (99, 1) in got and len(want) > 20
+
+
+def test_seed_filter_passes_every_seed(spark):
+    rng = np.random.default_rng(3)
+    h = np.unique(rng.integers(0, 2**64, 5000, dtype=np.uint64))
+    f = leaks.seed_filter(spark.createDataFrame([(int(x),) for x in h.view(np.int64)], "seed bigint"))
+    assert f(h).all() and f(rng.integers(0, 2**64, 100_000, dtype=np.uint64)).mean() < 0.01
+    assert not leaks.seed_filter(spark.createDataFrame([], "seed bigint"))(h).any()
+
+
 def test_alignment_against_edit_distance():
     rng = np.random.default_rng(0)
 
-    def brute(item, doc, least):
-        for i in range(len(item)):
-            row = np.zeros(len(doc) + 1, int)
-            for n, w in enumerate(item[i:], 1):
-                new = np.full_like(row, n)
-                for j in range(1, len(doc) + 1):
-                    new[j] = min(row[j - 1] + (doc[j - 1] != w), row[j] + 1, new[j - 1] + 1)
-                row = new
-                if n >= least and row.min() * 8 <= n:
-                    return True
-        return False
-
     for _ in range(60):
         item = rng.integers(0, 30, rng.integers(16, 36))
         a = rng.integers(0, len(item) - 12)
@@ -324,7 +363,7 @@ def test_alignment_against_edit_distance():
             k = rng.integers(0, len(s))
             s[k : k + 1] = [[99], [], [s[k], 98]][rng.integers(3)]
         doc = np.array([77, *s, 78])
-        assert (leaks.align(item, doc, 16)[0] > 0) == brute(item, doc, 16)
+        assert (leaks.align(item, doc, 16)[0] > 0) == brute_leak(item, doc, 16)
 
 
 # --- mixing ---------------------------------------------------------------------------------------------------------
