@@ -190,6 +190,12 @@ def _tied(exact: np.ndarray, u: np.ndarray, reps: np.ndarray, link: float) -> tu
     return s, rep
 
 
+def _notes(kind: int, ids: np.ndarray, tag: np.ndarray) -> pa.RecordBatch:
+    """Rows that no cell takes: they pass through to the comparing tasks under a negative cell."""
+    m = len(ids)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(m, -kind, np.int64)), pa.array(np.zeros(m, np.int32)), pa.array(np.full(m, kind, np.int8)), pa.array(ids), pa.array(tag), pa.nulls(m, pa.binary())], schema=V.PLACE_ARROW)
+
+
 class _Sets:
     def __init__(self):
         self.p: dict[int, int] = {}
@@ -220,8 +226,6 @@ def linked_clusters(df: DataFrame, id_col: str, vec_col: str, dim: int = 128, li
     """
     spark = df.sparkSession
     data = df.select(id_col, vec_col)
-    fit, n_rows = V.sample(data, id_col, vec_col, dim)
-    centres, blocks = V.fit_cells(fit, n_rows)
     tree = leaves(data, id_col, vec_col, dim, within)
     keep = tree.largest(4 * LEAVES)
     reps, rep_ids = V.unit(tree.rep[keep]) if len(keep) else np.zeros((0, dim)), tree.rep_id[keep]
@@ -229,11 +233,12 @@ def linked_clusters(df: DataFrame, id_col: str, vec_col: str, dim: int = 128, li
     # within a Ward cluster the members of large leaves serve first; up to eight of them cover its spread
     chosen = [i for i in range(len(keep)) if (group[:i] == group[i]).sum() < 8]
     reps, rep_ids = reps[chosen].astype(np.float32), rep_ids[chosen]
-    b = spark.sparkContext.broadcast((centres, blocks, reps, rep_ids))
-    place = pa.schema([("cell", pa.int32()), ("block", pa.int32()), ("kind", pa.int8()), ("id", pa.int64()), ("rep", pa.int64()), ("vec", pa.binary())])
+    b = spark.sparkContext.broadcast((reps, rep_ids))
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, blocks, reps, rep_ids = b.value
+    def tie(batches: Iterator[pa.RecordBatch]):
+        """Rows with the member they are tied to, of which those tied to none probe; then links between members (kind 2),
+        and each member with the least similarity of a row tied to it (kind 3)."""
+        reps, rep_ids = b.value
         ties = _Sets()
         known: set = set()
         least = np.full(len(rep_ids), 2.0)
@@ -242,8 +247,7 @@ def linked_clusters(df: DataFrame, id_col: str, vec_col: str, dim: int = 128, li
             if not len(ids):
                 continue
             exact = V.unit(x)
-            u = exact.astype(np.float32)
-            s, rep = _tied(exact, u, reps, link)
+            s, rep = _tied(exact, exact.astype(np.float32), reps, link)
             if len(rep_ids):
                 on = rep >= 0
                 np.minimum.at(least, rep[on], s[on, rep[on]])
@@ -254,33 +258,14 @@ def linked_clusters(df: DataFrame, id_col: str, vec_col: str, dim: int = 128, li
                     if p not in known:
                         known.add(p)
                         ties.tie(int(rep_ids[p // len(rep_ids)]), int(rep_ids[p % len(rep_ids)]))
-            near = V.nearest(u, centres, probes)
-            own = near[:, 0]
-            block = (V.mix(ids) % blocks[own].astype(np.uint64)).astype(np.int64)
-            cells, blks, kinds, rows = [own], [block], [np.zeros(len(ids), np.int8)], [np.arange(len(ids))]
-            alone = np.flatnonzero(rep < 0)
-            for j in range(near.shape[1]):
-                cell = near[alone, j]
-                for extra in range(int(blocks[cell].max(initial=0))):
-                    sel = (blocks[cell] > extra) & ((cell != own[alone]) | (block[alone] != extra))
-                    cells.append(cell[sel])
-                    blks.append(np.full(sel.sum(), extra))
-                    kinds.append(np.ones(sel.sum(), np.int8))
-                    rows.append(alone[sel])
-            rows = np.concatenate(rows)
-            named = np.where(rep >= 0, rep_ids[np.maximum(rep, 0)], -1) if len(rep_ids) else rep
-            lone = np.where(rep >= 0, 0, 1)
-            packed = np.array(V.pack(x), dtype=object)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells).astype(np.int32)), pa.array(np.concatenate(blks).astype(np.int32)), pa.array(np.concatenate(kinds)), pa.array(ids[rows]), pa.array(named[rows], mask=lone[rows] == 1), pa.array(packed[rows].tolist(), pa.binary())], schema=place)
+            yield ids, x, np.where(rep >= 0, rep_ids[np.maximum(rep, 0)], -1) if len(rep_ids) else rep, rep < 0
         links = ties.links()
         if links:
-            m = len(links)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, -1, np.int32)), pa.array(np.zeros(m, np.int32)), pa.array(np.full(m, 2, np.int8)), pa.array([a for a, _ in links], pa.int64()), pa.array([c for _, c in links], pa.int64()), pa.nulls(m, pa.binary())], schema=place)
+            yield _notes(2, np.array([a for a, _ in links], np.int64), np.array([c for _, c in links], np.int64))
         seen = np.flatnonzero(least <= 1.5)
         if len(seen):
-            # the least similarity of a row to its member, in millionths, a little too low rather than too high
-            m = len(seen)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, -2, np.int32)), pa.array(np.zeros(m, np.int32)), pa.array(np.full(m, 3, np.int8)), pa.array(rep_ids[seen], pa.int64()), pa.array(np.floor((least[seen] - 2e-4) * 1e6).astype(np.int64)), pa.nulls(m, pa.binary())], schema=place)
+            # in millionths, a little too low rather than too high
+            yield _notes(3, rep_ids[seen], np.floor((least[seen] - 2e-4) * 1e6).astype(np.int64))
 
     out_schema = pa.schema([("kind", pa.int8()), ("id", pa.int64()), ("node", pa.int64())])
 
@@ -292,7 +277,7 @@ def linked_clusters(df: DataFrame, id_col: str, vec_col: str, dim: int = 128, li
             if len(state) == 1:
                 tab = pa.concat_tables(state[0]).combine_chunks()
                 ids, at = np.unique(np.asarray(tab.column("id")), return_index=True)
-                rep = tab.column("rep").combine_chunks()
+                rep = tab.column("tag").combine_chunks()
                 alone = np.asarray(rep.is_null())[at]
                 node = np.where(alone, ids, np.asarray(rep.fill_null(-1))[at])
                 state[:] = [V.unit(V.unpack(tab.column("vec").combine_chunks(), dim)[at]), ids, node, alone]
@@ -302,7 +287,7 @@ def linked_clusters(df: DataFrame, id_col: str, vec_col: str, dim: int = 128, li
             else:
                 qid, at = np.unique(np.asarray(t.column("id")), return_index=True)
                 q = V.unit(V.unpack(t.column("vec").combine_chunks(), dim)[at])
-                rep = t.column("rep").combine_chunks()
+                rep = t.column("tag").combine_chunks()
                 qid = np.where(np.asarray(rep.is_null())[at], qid, np.asarray(rep.fill_null(-1))[at])
             of = o.astype(np.float32)
             for i in range(0, len(q), 1024):
@@ -326,7 +311,7 @@ def linked_clusters(df: DataFrame, id_col: str, vec_col: str, dim: int = 128, li
         state, ties = [], _Sets()
         for new, t in V.stream_groups(batches, ["cell", "block"]):
             if int(t.column("cell")[0].as_py()) < 0:
-                yield pa.RecordBatch.from_arrays([pa.array(np.where(np.asarray(t.column("kind")) == 3, 3, 1).astype(np.int8)), t.column("id").combine_chunks(), t.column("rep").combine_chunks()], schema=out_schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(np.asarray(t.column("kind")) == 3, 3, 1).astype(np.int8)), t.column("id").combine_chunks(), t.column("tag").combine_chunks()], schema=out_schema)
                 continue
             if new:
                 if state:
@@ -343,7 +328,7 @@ def linked_clusters(df: DataFrame, id_col: str, vec_col: str, dim: int = 128, li
         if state:
             yield from close(state, ties)
 
-    placed = data.mapInArrow(spread, "cell int, block int, kind byte, id bigint, rep bigint, vec binary")
+    placed, n_rows = V.place(data, id_col, vec_col, dim, probes, prepare=tie)
     placed = placed.repartition(V.cell_tasks(n_rows, 1 + probes / 3, dim, partitions(spark)), "cell", "block").sortWithinPartitions("cell", "block", "kind", "id")
     done = materialize(placed.mapInArrow(compare, "kind byte, id bigint, node bigint"), "links")
     links = done.where("kind = 1").select(F.col("id").alias("src"), F.col("node").alias("dst"))
@@ -405,7 +390,6 @@ def _bridges(data: DataFrame, done: DataFrame, comps: DataFrame, how: tuple, rep
         return None
     sides = np.array([[n[2 * c], n[2 * c + 1]] for c in pairs.tolist()])
     plan = spark.sparkContext.broadcast((pairs, sides.argmax(1), -(-sides.max(1) // BLOCK)))
-    place = pa.schema([("cell", pa.int32()), ("block", pa.int32()), ("kind", pa.int8()), ("id", pa.int64()), ("rep", pa.int64()), ("vec", pa.binary())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, base, blocks = plan.value
@@ -423,9 +407,9 @@ def _bridges(data: DataFrame, done: DataFrame, comps: DataFrame, how: tuple, rep
             row, at, kind = np.repeat(i, times), np.repeat(at, times), np.repeat(kind, times)
             block = np.where(kind == 1, block, (V.mix(ids[row]) % blocks[at].astype(np.uint64)).astype(np.int64))
             packed = np.array(V.pack(x), dtype=object)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(kind), pa.array(ids[row]), pa.array(b.value[1][rep[row]]), pa.array(packed[row].tolist(), pa.binary())], schema=place)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(block.astype(np.int32)), pa.array(kind), pa.array(ids[row]), pa.array(b.value[1][rep[row]]), pa.array(packed[row].tolist(), pa.binary())], schema=V.PLACE_ARROW)
 
-    met = data.mapInArrow(send, "cell int, block int, kind byte, id bigint, rep bigint, vec binary")
+    met = data.mapInArrow(send, V.PLACE)
     met = met.repartition(partitions(spark), "cell", "block").sortWithinPartitions("cell", "block", "kind", "id")
     more = met.mapInArrow(compare, "kind byte, id bigint, node bigint").where("kind = 1").select(F.col("id").alias("src"), F.col("node").alias("dst"))
     more = materialize(more, "bridges")

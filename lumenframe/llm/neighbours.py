@@ -36,8 +36,8 @@ def best(qid: np.ndarray, oid: np.ndarray, sim: np.ndarray, k: int) -> np.ndarra
 
 def search(codes: V.OneBitCodes, o: np.ndarray, oid: np.ndarray, q: np.ndarray, qid: np.ndarray, k: int, least: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """k nearest of each query among the coded vectors; ``least`` drops lower similarities. A row is not its own neighbour."""
-    est, qn = codes.estimate(q.astype(np.float32))
-    width = qn[:, None] * codes.width[None, :].astype(np.float32) + 1e-5
+    est, width = codes.estimate(q.astype(np.float32))
+    width += 1e-5
     est[qid[:, None] == oid[None, :]] = -9
     upper = est + width
     floor = np.full(len(q), -np.inf if least is None else least)
@@ -83,54 +83,76 @@ def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim
     """``(query, neighbour, similarity)``: up to k most similar other vectors of every usable vector.
 
     Every vector is placed in its nearest cell and looked up in its ``probes`` nearest cells. With ``least`` only
-    neighbours of at least that similarity are wanted, and a further cell is probed only where the vector lies within
-    ``slack`` times the distance such a neighbour can have from the border to it. Cells are fitted on at most FIT_ROWS
-    rows, and every row is indexed. Ties go to the smaller id; an empty table gives no rows. A cell is cut into blocks
-    of bounded size by id, and a task holds one block while queries stream by, so no cell is ever collected whole.
+    neighbours of at least that similarity are wanted: a further cell is probed only where the vector lies within
+    ``slack`` times the distance such a neighbour can have from the border to it, and what first travels to the cells are
+    one-bit codes alone (see :class:`Signs`). Only vectors that a code leaves a possible neighbour follow, and in the cell
+    the estimates of :class:`OneBitCodes` choose what is computed exactly. Without ``least`` all vectors travel.
+
+    Approximate: a neighbour is missed where its cell isn't probed, or where a bound that holds but for some standard
+    deviations fails. Ties go to the smaller id; an empty table gives no rows. Cells are proportional to the table; one
+    with many rows alike is cut into blocks of bounded size by id, and a task holds one block while queries stream by.
     """
     spark = df.sparkSession
     data = df.select(id_col, vec_col)
     copies = _surplus_copies(data, id_col, vec_col, k, dim)
     if copies:
         data = data.join(copies[0].select(F.col("id").alias(id_col)), id_col, "left_anti")
-    fit, n = V.sample(data, id_col, vec_col, dim)
-    centres, blocks = V.fit_cells(fit, n)
     turn = V.rotation(dim)
-    b = spark.sparkContext.broadcast((centres, blocks, turn))
-    reach = None if least is None else slack * np.sqrt(max(0.0, 2 - 2 * least))
-    place = pa.schema([("cell", pa.int32()), ("block", pa.int32()), ("kind", pa.int8()), ("id", pa.int64()), ("vec", pa.binary())])
+    b = spark.sparkContext.broadcast(turn)
+    apart = None if least is None else float(np.sqrt(max(0.0, 2 - 2 * least)))
+    signs = V.Signs(turn)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the coded rows of a cell, those that may have a neighbour there."""
+
+        def close(state: list) -> pa.RecordBatch:
+            _, ids, (cell, block), on, _ = state
+            guests = [np.unique(g) for g in state[4]]
+            out = np.concatenate([ids[on], *guests])
+            kind = np.concatenate([np.zeros(int(on.sum()), np.int8), np.ones(len(out) - int(on.sum()), np.int8)])
+            m = len(out)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(m, cell, np.int64)), pa.array(np.full(m, block, np.int32)), pa.array(kind), pa.array(out)], names=["cell", "block", "kind", "id"])
+
+        base, state = [], None
+        for new, t in V.stream_groups(batches, ["cell", "block"]):
+            if new:
+                if base or state:
+                    yield close(state or begin(base))
+                base, state = [], None
+            kind = np.asarray(t.column("kind"))
+            cut = int(np.searchsorted(kind, 1))
+            if cut:
+                base.append(t.slice(0, cut))
+            if cut < len(kind) and (base or state):
+                state = state or begin(base)
+                t = t.slice(cut)
+                qid = np.asarray(t.column("id"))
+                for a, c in signs.close(signs.load(t.column("vec").combine_chunks()), state[0], apart):
+                    a, c = a[qid[a] != state[1][c]], c[qid[a] != state[1][c]]
+                    state[3][c] = True
+                    state[4].append(qid[np.unique(a)])
+        if base or state:
+            yield close(state or begin(base))
+
+    def begin(base: list) -> list:
+        t = pa.concat_tables(base).combine_chunks()
+        ids, at = np.unique(np.asarray(t.column("id")), return_index=True)
+        codes = tuple(v[at] for v in signs.load(t.column("vec").combine_chunks()))
+        on = np.zeros(len(ids), bool)
+        for a, c in signs.close(codes, codes, apart):
+            on[a[a != c]] = True
+        return [codes, ids, (int(t.column("cell")[0].as_py()), int(t.column("block")[0].as_py())), on, []]
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, blocks, _ = b.value
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, x = V.read_batch(batch, id_col, vec_col, dim)
-            if not len(ids):
-                continue
-            u = V.unit(x).astype(np.float32)
-            near = V.nearest(u, centres, probes)
-            own = near[:, 0]
-            block = (V.mix(ids) % blocks[own].astype(np.uint64)).astype(np.int64)
-            cells, blks, kinds, rows = [own], [block], [np.zeros(len(ids), np.int8)], [np.arange(len(ids))]
-            for j in range(near.shape[1]):
-                cell = near[:, j]
-                go = np.arange(len(ids))
-                if j and reach is not None:
-                    gap = np.einsum("ij,ij->i", u, centres[own] - centres[cell]) / np.maximum(np.linalg.norm(centres[own] - centres[cell], axis=1), 1e-9)
-                    go = go[gap <= reach]
-                for extra in range(int(blocks[cell[go]].max(initial=0))):
-                    to = go[(blocks[cell[go]] > extra) & ((cell[go] != own[go]) | (block[go] != extra))]
-                    cells.append(cell[to])
-                    blks.append(np.full(len(to), extra))
-                    kinds.append(np.ones(len(to), np.int8))
-                    rows.append(to)
-            rows = np.concatenate(rows)
-            packed = np.array(V.pack(x), dtype=object)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells).astype(np.int32)), pa.array(np.concatenate(blks).astype(np.int32)), pa.array(np.concatenate(kinds)), pa.array(ids[rows]), pa.array(packed[rows].tolist(), pa.binary())], schema=place)
+            if len(ids):
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(V.pack(x), pa.binary())], names=["id", "vec"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, _, turn = b.value
+        turn = b.value
 
-        def flush(base: list, cell: int, waiting: list) -> Iterator[pa.RecordBatch]:
+        def flush(base: list, waiting: list) -> Iterator[pa.RecordBatch]:
             """The block against itself and against the queries read so far."""
             if isinstance(base[0], V.OneBitCodes):
                 codes, o, oid = base
@@ -138,7 +160,7 @@ def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim
                 t = pa.concat_tables(base).combine_chunks()
                 oid, at = np.unique(np.asarray(t.column("id")), return_index=True)
                 o = V.unit(V.unpack(t.column("vec").combine_chunks(), dim)[at])
-                codes = V.OneBitCodes(o.astype(np.float32), centres[cell], turn)
+                codes = V.OneBitCodes(o.astype(np.float32), o.mean(0).astype(np.float32), turn)
                 base[:] = [codes, o, oid]
                 waiting.insert(0, None)
             for t in waiting:
@@ -147,18 +169,18 @@ def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim
                 else:
                     qid, at = np.unique(np.asarray(t.column("id")), return_index=True)
                     q = V.unit(V.unpack(t.column("vec").combine_chunks(), dim)[at])
-                for i in range(0, len(q), 1024):
-                    a, n_, s = search(codes, o, oid, q[i : i + 1024], qid[i : i + 1024], k, least)
+                for i in range(0, len(q), 256):
+                    a, n_, s = search(codes, o, oid, q[i : i + 256], qid[i : i + 256], k, least)
                     if len(a):
                         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(n_), pa.array(s)], schema=ARROW)
             waiting.clear()
 
-        base, waiting, cell = [], [], -1
+        base, waiting = [], []
         for new, t in V.stream_groups(batches, ["cell", "block"]):
             if new:
                 if base:
-                    yield from flush(base, cell, waiting)
-                base, waiting, cell = [], [], int(t.column("cell")[0].as_py())
+                    yield from flush(base, waiting)
+                base, waiting = [], []
             kind = np.asarray(t.column("kind"))
             cut = int(np.searchsorted(kind, 1))
             if cut:
@@ -166,13 +188,20 @@ def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim
             if cut < len(kind) and base:
                 waiting.append(t.slice(cut))
                 if sum(len(w) for w in waiting) >= 16_384:
-                    yield from flush(base, cell, waiting)
+                    yield from flush(base, waiting)
         if base:
-            yield from flush(base, cell, waiting)
+            yield from flush(base, waiting)
 
-    placed = data.mapInArrow(spread, "cell int, block int, kind byte, id bigint, vec binary")
-    placed = placed.repartition(V.cell_tasks(n, probes, dim, partitions(spark)), "cell", "block").sortWithinPartitions("cell", "block", "kind", "id")
-    found = placed.mapInArrow(scan, OUT).dropDuplicates(["query", "neighbour"])
+    by = ["cell", "block"]
+    if least is None:
+        placed, n = V.place(data, id_col, vec_col, dim, probes)
+        placed = placed.select(*by, "kind", "id", "vec").repartition(V.cell_tasks(n, probes, dim, partitions(spark)), *by)
+    else:
+        placed, n = V.place(data, id_col, vec_col, dim, probes, reach=slack * apart, codes=signs)
+        coded = placed.select(*by, "kind", "id", "vec").repartition(V.cell_tasks(n, probes, dim // 8, partitions(spark)), *by).sortWithinPartitions(*by, "kind", "id")
+        follow = coded.mapInArrow(choose, "cell bigint, block int, kind byte, id bigint")
+        placed = follow.hint("shuffle_hash").join(data.mapInArrow(packed, "id bigint, vec binary"), "id").select(*by, "kind", "id", "vec").repartition(V.cell_tasks(n, 1, dim, partitions(spark)), *by)
+    found = placed.sortWithinPartitions(*by, "kind", "id").mapInArrow(scan, OUT).dropDuplicates(["query", "neighbour"])
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour")
     found = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "neighbour", "similarity")
     if copies:
