@@ -79,7 +79,7 @@ def _surplus_copies(data: DataFrame, id_col: str, vec_col: str, k: int, dim: int
     return surplus, keep
 
 
-def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int = 128, least: float | None = None, probes: int = 4, slack: float = 0.4) -> DataFrame:
+def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int = 128, least: float | None = None, probes: int = 4, slack: float = 0.4, beam: int = 4, margin: float | None = None) -> DataFrame:
     """``(query, neighbour, similarity)``: up to k most similar other vectors of every usable vector.
 
     Every vector is placed in its nearest cell and looked up in its ``probes`` nearest cells. With ``least`` only
@@ -194,10 +194,10 @@ def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim
 
     by = ["cell", "block"]
     if least is None:
-        placed, n = V.place(data, id_col, vec_col, dim, probes)
+        placed, n = V.place(data, id_col, vec_col, dim, probes, beam=beam, margin=margin)
         placed = placed.select(*by, "kind", "id", "vec").repartition(V.cell_tasks(n, probes, dim, partitions(spark)), *by)
     else:
-        placed, n = V.place(data, id_col, vec_col, dim, probes, reach=slack * apart, codes=signs)
+        placed, n = V.place(data, id_col, vec_col, dim, probes, reach=slack * apart, codes=signs, beam=beam)
         coded = placed.select(*by, "kind", "id", "vec").repartition(V.cell_tasks(n, probes, dim // 8, partitions(spark)), *by).sortWithinPartitions(*by, "kind", "id")
         follow = coded.mapInArrow(choose, "cell bigint, block int, kind byte, id bigint")
         placed = follow.hint("shuffle_hash").join(data.mapInArrow(packed, "id bigint, vec binary"), "id").select(*by, "kind", "id", "vec").repartition(V.cell_tasks(n, 1, dim, partitions(spark)), *by)

@@ -103,8 +103,8 @@ class Centres:
         self.start = np.searchsorted(owner[order], np.arange(len(top) + 1))
         self.number = order if number is None else number[order]
 
-    def cells(self, u: np.ndarray, probes: int, beam: int = 4) -> np.ndarray:
-        """Positions of the ``probes`` nearest cells of each row, best first; -1 where there are fewer."""
+    def cells(self, u: np.ndarray, probes: int, beam: int = 4) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the ``probes`` nearest cells of each row, best first, and similarities; -1 where there are fewer."""
         near = nearest(u, self.top, beam)
         sims = np.full((len(u), near.shape[1], probes), -9, np.float32)
         at = np.full((len(u), near.shape[1], probes), -1, np.int64)
@@ -124,7 +124,7 @@ class Centres:
             at[row, slot, :m] = best + lo
         sims, at = sims.reshape(len(u), -1), at.reshape(len(u), -1)
         best = np.argsort(-sims, axis=1, kind="stable")[:, :probes]
-        return np.take_along_axis(at, best, 1)
+        return np.take_along_axis(at, best, 1), np.take_along_axis(sims, best, 1)
 
 
 CENTRE = "top int, sub int, rows bigint, centre binary"
@@ -189,17 +189,19 @@ PLACE = "cell bigint, block int, kind byte, id bigint, tag bigint, vec binary"
 PLACE_ARROW = pa.schema([("cell", pa.int64()), ("block", pa.int32()), ("kind", pa.int8()), ("id", pa.int64()), ("tag", pa.int64()), ("vec", pa.binary())])
 
 
-def _rows(c: Centres, ids: np.ndarray, x: np.ndarray, tag: np.ndarray, probe: np.ndarray, home: np.ndarray, probes: int, beam: int, reach: float | None, codes) -> pa.RecordBatch:
+def _rows(c: Centres, ids: np.ndarray, x: np.ndarray, tag: np.ndarray, probe: np.ndarray, home: np.ndarray, probes: int, beam: int, reach: float | None, codes, margin: float | None = None) -> pa.RecordBatch:
     """Rows in their cells: kind 0 in their own, kind 1 where they are looked up (``probe``); not ``home``: guests, which
     have no cell of their own here."""
     u = unit(x).astype(np.float32)
-    near = c.cells(u, probes, beam)
+    near, sims = c.cells(u, probes, beam)
     own = near[:, 0]
     block = (mix(ids) % c.blocks[own].astype(np.uint64)).astype(np.int64)
     at = np.flatnonzero(home)
     cells, blks, kinds, rows = [own[at]], [block[at]], [np.zeros(len(at), np.int8)], [at]
     for j in range(near.shape[1]):
         go = np.flatnonzero(probe & (near[:, j] >= 0))
+        if j and margin is not None:
+            go = go[sims[go, j] >= sims[go, 0] - margin]
         cell = near[go, j]
         if j and reach is not None:
             d = c.sub[own[go]] - c.sub[cell]
@@ -221,12 +223,13 @@ def _rows(c: Centres, ids: np.ndarray, x: np.ndarray, tag: np.ndarray, probe: np
     return pa.RecordBatch.from_arrays([pa.array(c.number[cells]), pa.array(np.concatenate(blks).astype(np.int32)), pa.array(np.concatenate(kinds)), pa.array(ids[rows]), pa.array(tags[rows], mask=no[rows]), pa.array(packed, pa.binary())], schema=PLACE_ARROW)
 
 
-def place(data: DataFrame, id_col: str, vec_col: str, dim: int, probes: int, prepare=None, reach: float | None = None, codes=None, beam: int = 4) -> tuple[DataFrame, int]:
+def place(data: DataFrame, id_col: str, vec_col: str, dim: int, probes: int, prepare=None, reach: float | None = None, codes=None, beam: int = 4, margin: float | None = None) -> tuple[DataFrame, int]:
     """Rows spread over the cells of a fitted index, ready to be met there, and the number of rows of the table.
 
     ``prepare`` turns a batch iterator into ``(ids, vectors, tag, probe)`` or finished record batches of PLACE, which pass
     through; by default every usable row probes. Each row is kind 0 in its own cell and kind 1 in the ``probes`` nearest
-    (a further one only where the row lies within ``reach`` of the border to it). Sent along are the vectors, or what
+    (a further one only where the row lies within ``reach`` of the border to it, and where its centre is at most ``margin``
+    less similar than the nearest). Sent along are the vectors, or what
     ``codes`` makes of the residuals. While all centres have SPREAD_MB or less they are broadcast; beyond, a row travels
     to its top centre (and as a guest to others whose border is within reach), and the cells below are found there, so
     that nothing that grows with the table is broadcast.
@@ -248,7 +251,7 @@ def place(data: DataFrame, id_col: str, vec_col: str, dim: int, probes: int, pre
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for got in prepare(batches):
-                yield got if isinstance(got, pa.RecordBatch) else _rows(b.value, *got, np.ones(len(got[0]), bool), probes, beam, reach, codes)
+                yield got if isinstance(got, pa.RecordBatch) else _rows(b.value, *got, np.ones(len(got[0]), bool), probes, beam, reach, codes, margin)
 
         return data.mapInArrow(whole, PLACE), n
 
@@ -303,7 +306,7 @@ def place(data: DataFrame, id_col: str, vec_col: str, dim: int, probes: int, pre
                 here = _centres(own, top[at : at + 1], dim, share)
                 here.number = here.number | (at << 32)
             vec = rows.column("vec").combine_chunks()
-            yield _rows(here, np.asarray(rows.column("id")), unpack(vec, dim), np.asarray(rows.column("tag")), kind < 2, kind != 1, probes, 1, reach, codes)
+            yield _rows(here, np.asarray(rows.column("id")), unpack(vec, dim), np.asarray(rows.column("tag")), kind < 2, kind != 1, probes, 1, reach, codes, margin)
 
     lead = cells.select(F.col("top").cast("bigint").alias("cell"), F.explode(F.sequence(F.lit(0), F.element_at(F.lit(salts.tolist()), F.col("top") + 1).cast("int") - 1)).alias("block"), F.lit(-1).cast("byte").alias("kind"), F.col("sub").cast("bigint").alias("id"), F.col("rows").alias("tag"), F.col("centre").alias("vec"))
     both = data.mapInArrow(travel, PLACE).unionByName(lead)
