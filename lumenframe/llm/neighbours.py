@@ -54,6 +54,19 @@ def search(codes: V.OneBitCodes, o: np.ndarray, oid: np.ndarray, q: np.ndarray,
     return qid[qi[keep]], oid[oi[keep]], sim[keep]
 
 
+def search_close(signs: V.Signs, codes: tuple, o: np.ndarray, oid: np.ndarray, q: np.ndarray, qid: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """k nearest of each query of similarity ``least`` or more: what the counts of differing bits leave possible is computed exactly."""
+    mean, base = codes
+    pairs = list(signs.close(signs.of(q.astype(np.float32) - mean), base, float(np.sqrt(max(0.0, 2 - 2 * least)))))
+    qi, oi = (np.concatenate([p[i] for p in pairs]) for i in (0, 1)) if pairs else (np.empty(0, int), np.empty(0, int))
+    qi, oi = qi[qid[qi] != oid[oi]], oi[qid[qi] != oid[oi]]
+    sim = exact(q, o, qi, oi)
+    on = sim >= least
+    qi, oi, sim = qi[on], oi[on], sim[on]
+    keep = best(qid[qi], oid[oi], sim, k)
+    return qid[qi[keep]], oid[oi[keep]], sim[keep]
+
+
 def _surplus_copies(data: DataFrame, id_col: str, vec_col: str, k: int, dim: int) -> tuple[DataFrame, DataFrame] | None:
     """Of more than k + 1 ids with the very same usable vector: (the ids beyond the k + 1 smallest, the k + 1 smallest).
 
@@ -86,7 +99,8 @@ def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim
     neighbours of at least that similarity are wanted: a further cell is probed only where the vector lies within
     ``slack`` times the distance such a neighbour can have from the border to it, and what first travels to the cells are
     one-bit codes alone (see :class:`Signs`). Only vectors that a code leaves a possible neighbour follow, and in the cell
-    the estimates of :class:`OneBitCodes` choose what is computed exactly. Without ``least`` all vectors travel.
+    codes about their mean choose what is computed exactly. Without ``least`` all vectors travel, and the estimates of
+    :class:`OneBitCodes` choose.
 
     Approximate: a neighbour is missed where its cell isn't probed, or where a bound that holds but for some standard
     deviations fails. Ties go to the smaller id; an empty table gives no rows. Cells are proportional to the table; one
@@ -154,13 +168,14 @@ def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim
 
         def flush(base: list, waiting: list) -> Iterator[pa.RecordBatch]:
             """The block against itself and against the queries read so far."""
-            if isinstance(base[0], V.OneBitCodes):
+            if not isinstance(base[0], pa.Table):
                 codes, o, oid = base
             else:
                 t = pa.concat_tables(base).combine_chunks()
                 oid, at = np.unique(np.asarray(t.column("id")), return_index=True)
                 o = V.unit(V.unpack(t.column("vec").combine_chunks(), dim)[at])
-                codes = V.OneBitCodes(o.astype(np.float32), o.mean(0).astype(np.float32), turn)
+                mean = o.mean(0).astype(np.float32)
+                codes = V.OneBitCodes(o.astype(np.float32), mean, turn) if least is None else (mean, signs.of(o.astype(np.float32) - mean))
                 base[:] = [codes, o, oid]
                 waiting.insert(0, None)
             for t in waiting:
@@ -170,7 +185,10 @@ def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim
                     qid, at = np.unique(np.asarray(t.column("id")), return_index=True)
                     q = V.unit(V.unpack(t.column("vec").combine_chunks(), dim)[at])
                 for i in range(0, len(q), 256):
-                    a, n_, s = search(codes, o, oid, q[i : i + 256], qid[i : i + 256], k, least)
+                    if least is None:
+                        a, n_, s = search(codes, o, oid, q[i : i + 256], qid[i : i + 256], k, None)
+                    else:
+                        a, n_, s = search_close(signs, codes, o, oid, q[i : i + 256], qid[i : i + 256], k, least)
                     if len(a):
                         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(n_), pa.array(s)], schema=ARROW)
             waiting.clear()
