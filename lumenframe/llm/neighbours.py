@@ -54,6 +54,17 @@ def search(codes: V.OneBitCodes, o: np.ndarray, oid: np.ndarray, q: np.ndarray,
     return qid[qi[keep]], oid[oi[keep]], sim[keep]
 
 
+def full(o: np.ndarray, oid: np.ndarray, q: np.ndarray, qid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """k nearest of each query by all products."""
+    s = q @ o.T
+    s[qid[:, None] == oid[None, :]] = -9
+    m = min(k, s.shape[1])
+    floor = -np.partition(-s, m - 1, axis=1)[:, m - 1]
+    qi, oi = np.nonzero((s >= floor[:, None]) & (s > -8))
+    keep = best(qid[qi], oid[oi], s[qi, oi], k)
+    return qid[qi[keep]], oid[oi[keep]], s[qi[keep], oi[keep]]
+
+
 def search_close(signs: V.Signs, codes: tuple, o: np.ndarray, oid: np.ndarray, q: np.ndarray, qid: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """k nearest of each query of similarity ``least`` or more: what the counts of differing bits leave possible is computed exactly."""
     mean, base = codes
@@ -228,12 +239,13 @@ def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim
     return found
 
 
-def search_queries(df: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int = 10, dim: int = 128, block: int = 32_768) -> DataFrame:
+def search_queries(df: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int = 10, dim: int = 128, block: int = 32_768, exact_scan: bool = False) -> DataFrame:
     """``(query, neighbour, similarity, rank)``: the k most similar vectors of each of a stated set of queries, by one scan.
 
     Every row is coded against the mean of the fitted sample and met by all queries, ``block`` of them at a time: a
     broadcast of at most ``block`` vectors, whatever the size of the query set. Bounds of the codes choose what is computed
-    exactly, so a neighbour is missed only where its bound fails. Ties by the smaller id.
+    exactly, so a neighbour is missed only where its bound fails; with ``exact_scan`` all products are computed, in blocks,
+    to measure what the codes miss. Ties by the smaller id.
     """
     spark = df.sparkSession
     data = df.select(id_col, vec_col)
@@ -260,9 +272,9 @@ def search_queries(df: DataFrame, queries: DataFrame, id_col: str, vec_col: str,
                     continue
                 ids, at = np.unique(ids, return_index=True)
                 o = V.unit(x[at])
-                codes = V.OneBitCodes(o.astype(np.float32), centre, turn)
+                codes = None if exact_scan else V.OneBitCodes(o.astype(np.float32), centre, turn)
                 for j in range(0, len(q), 512):
-                    held.append(search(codes, o, ids, q[j : j + 512], qid[j : j + 512], k, None))
+                    held.append(search(codes, o, ids, q[j : j + 512], qid[j : j + 512], k, None) if codes else full(o, ids, q[j : j + 512], qid[j : j + 512], k))
                 a, n_, s = (np.concatenate(z) for z in zip(best_q, *held))
                 held = []
                 _, first = np.unique(np.stack([a, n_]), axis=1, return_index=True) if len(a) else (None, np.empty(0, int))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenframe.llm import clusters, group_splits, leaks, mixing, neighbours, quantiles, sentences, subset
 from lumenframe.runtime import materialize, table
 
+EVERY = {"probes": 128, "beam": 16, "margin": 0.2}  # of p5_every: loners look far around, rows in a crowd but in a few cells
 PROPERTIES = ["area", "perimeter", "intensity_mean", "texture_contrast", "eccentricity", "solidity", "orientation", "blob_count"]
 
 
@@ -39,6 +40,20 @@ def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.search_queries(t, t.where(F.col("image_index") % 50 == 0), "image_index", "embedding", k=10)
 
 
+def p5_every(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest of every image."""
+    return neighbours.nearest_neighbours(table(spark, d, "image_vectors"), "image_index", "embedding", k=10, **EVERY)
+
+
+def p5_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether :func:`p5_every` finds nine of ten of what an exact scan finds for the images whose id is divisible by 50."""
+    t = table(spark, d, "image_vectors")
+    true = materialize(neighbours.search_queries(t, t.where(F.col("image_index") % 50 == 0), "image_index", "embedding", k=10, exact_scan=True).select("query", "neighbour"), "true")
+    got = p5_every(spark, d).where(F.col("query") % 50 == 0).select("query", "neighbour")
+    hit = true.join(got, ["query", "neighbour"], "left_semi").agg(F.count("*").alias("hit"))
+    return true.agg(F.count_distinct("query").alias("queries"), F.count("*").alias("all")).crossJoin(hit).select("queries", (F.col("hit") >= 0.9 * F.col("all")).alias("enough"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return group_splits.tied_batches(table(spark, d, "fold_labels"))
 
@@ -130,7 +145,34 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split_sentences(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_subset, p2_found, p2_splits, p2_shares, p3_found, p3_percentiles, p4_found, p4_clusters, p5_found, p5_neighbours, p6_found, p6_items, p6_planted, p7_found, p7_mix, p7_plan, p7_limits, p8_found)}
+# known units of a few texts, by document; blanks between them are the third value
+PLANTED = [
+    (1, ["Heading of a note", "The plate was read at 3.5 h.", "Nobody moved the rack."], ["\n\n", " "]),
+    (2, ["The signal rose to 0.66 in well B04.", "Is the compound stable?", "Stop the pump!"], [" ", " "]),
+    (3, ["The report says that the plate (see p. 4) was dry.", "The focus was lost twice."], ["\n"]),
+    (4, ["快停泵！", "细胞系放置了九分钟。", "它会分解吗？"], ["", ""]),
+    (5, ["La placa estaba seca.", "¿Quién movió la rejilla?"], [" "]),
+]
+
+
+def p8_planted(spark: SparkSession, d: str) -> DataFrame:
+    """Units of texts put together from known ones, by the model of the corpus."""
+    rows = [(i, "".join(u + g for u, g in zip(us, [*gaps, ""]))) for i, us, gaps in PLANTED]
+    t = spark.createDataFrame(rows, "doc_id bigint, text string")
+    return sentences.split_sentences(t, train_on=table(spark, d, "documents"))
+
+
+def _planted_rows() -> list[tuple[int, int, int]]:
+    out = []
+    for i, us, gaps in PLANTED:
+        at = 0
+        for u, g in zip(us, [*gaps, ""]):
+            out.append((i, at, at + len(u)))
+            at += len(u) + len(g)
+    return out
+
+
+QUERIES = {f.__name__: f for f in (p1_subset, p2_found, p2_splits, p2_shares, p3_found, p3_percentiles, p4_found, p4_clusters, p5_found, p5_neighbours, p5_every, p5_recall, p6_found, p6_items, p6_planted, p7_found, p7_mix, p7_plan, p7_limits, p8_found, p8_planted)}
 
 _VEC = """vec AS (SELECT image_index, any_value(embedding)::DOUBLE[] AS e FROM image_vectors WHERE len(embedding) = 128
   AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0)) GROUP BY 1),
@@ -163,6 +205,9 @@ SELECT DISTINCT image_index, group_batch FROM (SELECT image_index, coalesce(n.b,
     "p4_found": f"WITH RECURSIVE {_VEC}, ed AS (SELECT a, b FROM pair WHERE s >= 0.75), reach AS (SELECT a, b FROM ed UNION SELECT r.a, ed.b FROM reach r JOIN ed ON r.b = ed.a) "
     "SELECT a AS image_index, least(a, min(b)) AS cluster_head FROM reach GROUP BY a HAVING count(*) >= 8",
     "p6_planted": "SELECT item_id * 10 + form AS doc_id, item_id FROM benchmark_items, (VALUES (0), (1), (2)) f(form)",
+    "p5_recall": f"WITH {_VEC} SELECT count(*) AS queries, true AS enough FROM unit WHERE i % 50 = 0",
+    "p8_planted": "SELECT doc_id::BIGINT AS doc_id, start_char, end_char FROM (VALUES " + ", ".join(map(str, _planted_rows())) + ") t(doc_id, start_char, end_char)",
+    "p5_neighbours": f"WITH {_VEC} SELECT a AS query, b AS neighbour, s AS similarity, r::INTEGER AS rank FROM (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM pair WHERE a % 50 = 0) WHERE r <= 10",
     # any measure of length gives the same cases, so bytes stand for tokens
     "p7_found": "WITH n AS (SELECT trim(source) AS source, sum(octet_length(encode(text)))::DOUBLE AS t FROM documents WHERE trim(source) <> '' GROUP BY 1) "
     "SELECT source, least(max_repeats, ceil(token_share * (SELECT sum(t) FROM n) / t))::INTEGER AS passes FROM mix_targets JOIN n USING (source) WHERE token_share * (SELECT sum(t) FROM n) > t",

@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -29,6 +28,7 @@ FULL = "。！？｡．！？"
 MARKS = ".!?…‥؟۔।॥" + FULL + "։።"
 PAIRS = {"“": "”", "«": "»", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "【": "】", "《": "》", "„": "“", "‹": "›", "［": "］"}
 CLOSE = "".join(sorted({*PAIRS.values(), '"', "'", "’", "”"}))
+EITHER = frozenset(MARKS + CLOSE)
 SPACED = "฀-๿຀-໿ក-៿က-႟"
 
 _BREAK = regex.compile(r"\n[^\S\n]*\n\s*")
@@ -96,103 +96,137 @@ def _script(c: str) -> str:
     return "L" if o < 0x250 else "C" if o < 0x530 else "A" if 0x600 <= o < 0x780 else "D" if 0x900 <= o < 0x980 else "T" if 0xE00 <= o < 0x1100 or 0x1780 <= o < 0x1800 else "J" if 0x2E80 <= o < 0xA000 or 0xF900 <= o < 0xFB00 or 0xFF00 <= o else "O"
 
 
-def candidates(text: str) -> list[tuple[int, int, bool, str, str, str]]:
-    """``(end of the left side, start of the right side, at a line or paragraph break, left, right, between)``.
+def candidates(text: str) -> Iterator[tuple[int, int, bool, tuple]]:
+    """``(end of the left side, start of the right side, at a line or paragraph break, context)``, one at a time.
 
-    Paragraph breaks themselves are listed for training, with a start of -1.
+    A context is what the classifier sees, cut from bounded windows around the mark, so that time and memory follow the
+    text, however long a paragraph is. Paragraph breaks themselves are listed for training, with a start of -1.
 
     Marks within closed quotes or brackets are no candidates, nor is the number that opens a list line. The last mark of a
     text has nothing to its right and needs no decision.
     """
-    out = []
-    spans = []
-    at = 0
-    for m in _BREAK.finditer(text):
-        spans.append((at, m.start()))
-        at = m.end()
-    spans.append((at, len(text)))
-    for k, (lo, hi) in enumerate(spans):
-        p = text[lo:hi]
-        if not p.strip():
+    at, last = 0, None
+    for lo, hi in [*((m.start(), m.end()) for m in _BREAK.finditer(text)), (len(text), len(text))]:
+        if text[at:lo].strip():
+            if last:
+                yield from _between(text, *last, at, lo)
+            yield from _paragraph(text, at, lo)
+            last = (at, lo)
+        at = hi
+
+
+def _between(text: str, lo: int, end: int, nxt: int, hi: int) -> Iterator[tuple[int, int, bool, tuple]]:
+    """The break after a paragraph that ends like a sentence; the next paragraph goes from ``nxt`` to ``hi``."""
+    while end > lo and text[end - 1].isspace():
+        end -= 1
+    c = text[end - 1]
+    if c in MARKS or c in CLOSE or _script(c) == "T":
+        while text[nxt].isspace():
+            nxt += 1
+        pairs = {b: a for a, b in _pairs(text[lo:end])} if c in CLOSE else {}
+        yield end, -1, True, context(text, lo, end, nxt, hi, {b + lo: a + lo for b, a in pairs.items()}, True)
+
+
+def _paragraph(text: str, lo: int, hi: int) -> Iterator[tuple[int, int, bool, tuple]]:
+    pairs = [(a + lo, b + lo) for a, b in _pairs(text[lo:hi])]
+    inside, openers, closers = _outer(pairs), {a for a, _ in pairs}, {b: a for a, b in pairs}
+    n_in = 0
+    line = lo  # where the line of the mark begins
+    for m in _CAND.finditer(text, lo, hi):
+        s, e = m.start(), m.end()
+        blank = m[0].isspace()
+        while not blank and e < hi:
+            # closers stay with the mark; a sign that opens a pair starts the next unit
+            if text[e] in CLOSE and e not in openers:
+                e += 1
+            elif text[e].isspace() and e + 1 in closers:
+                e += 2
+            else:
+                break
+        while n_in < len(inside) and inside[n_in][1] < s:
+            n_in += 1
+        if n_in < len(inside) and inside[n_in][0] < s and inside[n_in][1] >= e:
             continue
-        pairs = _pairs(p)
-        inside, openers, closers = _outer(pairs), {a for a, _ in pairs}, {b for _, b in pairs}
-        n_in = 0
-        for m in _CAND.finditer(p):
-            s, e = m.start(), m.end()
-            blank = m[0].isspace()
-            while not blank and e < len(p):
-                # closers stay with the mark; a sign that opens a pair starts the next unit
-                if p[e] in CLOSE and e not in openers:
-                    e += 1
-                elif p[e].isspace() and e + 1 in closers:
-                    e += 2
-                else:
-                    break
-            while n_in < len(inside) and inside[n_in][1] < s:
-                n_in += 1
-            if n_in < len(inside) and inside[n_in][0] < s and inside[n_in][1] >= e:
+        if blank:
+            left, right = s, e
+        else:
+            left = right = e
+            while right < hi and text[right].isspace():
+                right += 1
+            if right >= hi:
                 continue
-            if blank:
-                left_end, right = s, e
-            else:
-                left_end = e
-                right = e
-                while right < len(p) and p[right].isspace():
-                    right += 1
-                if right >= len(p):
+            if right == left:
+                c, nxt = text[s], text[right]
+                if c == "." and s > lo and text[s - 1].isdigit() and nxt.isdigit():
                     continue
-                if right == left_end and p[s] == "." and s and p[s - 1].isdigit() and p[right].isdigit():
+                if c in "!?" and not (nxt.isupper() or nxt in PAIRS or _script(nxt) not in "LC"):
                     continue
-                if right == left_end and p[s] in "!?" and not (p[right].isupper() or p[right] in PAIRS or _script(p[right]) not in "LC"):
+                if c in "．" and nxt.isdigit():
                     continue
-                if right == left_end and p[s] in "．" and p[right].isdigit():
+            line = max(line, text.rfind("\n", line, s) + 1)
+            if e - s == 1 and s - line <= 40 and _LIST.match(text[line:e]):
+                head = text[line:s].strip()
+                if head and not head.isalpha():
                     continue
-                line = p.rfind("\n", 0, s) + 1
-                if e - s == 1 and _LIST.match(p[line:e]) and p[line:s].strip() and not p[line:s].strip().isalpha():
-                    continue
-            gap = p[left_end:right]
-            rest = p[right:]
-            if "\n" in gap:
-                rest = _NUMBER.sub("", rest, count=1)
-            out.append((lo + left_end, lo + right, "\n" in gap, p[:left_end], rest, gap))
-        nxt = next((text[a:b] for a, b in spans[k + 1 :] if text[a:b].strip()), None)
-        end = p.rstrip()
-        if nxt is not None and (end[-1] in MARKS or end[-1] in CLOSE or _script(end[-1]) == "T"):
-            out.append((lo + len(end), -1, True, end, _NUMBER.sub("", nxt.lstrip(), count=1), ""))
-    return out
+        brk = "\n" in text[left:right]
+        yield left, right, brk, context(text, lo, left, right, hi, closers, brk)
 
 
-def _before(left: str) -> tuple[str, str, str, str]:
-    """The mark with its closers, the word before it, the one before that, and what the quote before the mark opens after."""
-    i = len(left)
-    while i and (left[i - 1] in CLOSE or left[i - 1] in MARKS or left[i - 1].isspace() and i < len(left) and left[i] in CLOSE):
-        i -= 1
-    mark = "".join(left[i:].split())
-    tail = left[max(0, i - 80) : i]
-    ws = tail.split()
-    quote = ""
-    if mark and mark[-1] in CLOSE:
-        pairs = _outer(_pairs(left))
-        if pairs and pairs[-1][1] == len(left) - 1:
-            o = pairs[-1][0]
-            pre = left[:o].rstrip()
-            quote = "start" if not pre or pre[-1] in MARKS or pre[-1] in CLOSE or "\n" in left[len(pre) : o] else "colon" if pre[-1] in ":：" else "comma" if pre[-1] in ",，、" else "mid"
-        else:
-            quote = "none"
-    return mark, ws[-1] if ws else "", ws[-2] if len(ws) > 1 else "", quote
+_EDGE = "".join(sorted(set("\"'“”«»「」『』（）()[]【】《》„‹›’¿¡") | {*PAIRS}))
 
 
-_EDGE = "".join(sorted(set("\"'“”«»「」『』（）()[]【】《》„‹›’¿¡") | {*PAIRS}))
+@lru_cache(maxsize=65_536)
+def _fold(w: str) -> str:
+    return w if w.isalpha() else _DIGITS.sub("9", w)
+
+
+def _script_before(text: str, lo: int, left: int) -> str:
+    """The script before a mark."""
+    return next((_script(c) for c in reversed(text[max(lo, left - 12) : left]) if c not in MARKS and c not in CLOSE and not c.isspace()), "O")
 
 
-def context(left: str, right: str) -> tuple[str, ...]:
-    """What the classifier sees of a candidate; figures are folded, so contexts recur."""
-    mark, w1, w2, quote = _before(left)
-    m = _AHEAD.match(right[:120])
+WINDOW = 120  # characters on either side of a mark that a context is cut from
+
+
+def context(text: str, lo: int, left: int, right: int, hi: int, closers: dict[int, int], brk: bool) -> tuple[str, ...]:
+    """What the classifier sees of a candidate: the mark with its closers, the words about it, what the quote before the mark
+    opens after, and how it is joined to what follows. Figures are folded, so contexts recur.
+
+    ``lo`` is where the paragraph of the mark begins, ``hi`` where that of the right side ends, ``closers`` the places of closing signs and where their pairs open.
+    """
+    i, low = left, max(lo, left - WINDOW)
+    while i > low and ((c := text[i - 1]) in EITHER or c.isspace() and i < left and text[i] in CLOSE):
+        i -= 1
+    mark = text[i:left] if left - i < 2 else "".join(text[i:left].split())
+    ws = text[max(low, i - 80) : i].rsplit(None, 2)
+    w1, w2 = ws[-1] if ws else "", ws[-2] if len(ws) > 1 else ""
+    quote = ""
+    if mark and mark[-1] in CLOSE:
+        o = closers.get(left - 1)
+        if o is None:
+            quote = "none"
+        else:
+            k = o
+            while k > max(lo, o - WINDOW) and text[k - 1].isspace():
+                k -= 1
+            p = text[k - 1] if k > lo else ""
+            quote = "start" if not p or p in MARKS or p in CLOSE or "\n" in text[k:o] else "colon" if p in ":：" else "comma" if p in ",，、" else "mid"
+    rest = text[right : min(hi, right + WINDOW)]
+    if brk:
+        rest = _NUMBER.sub("", rest, count=1)
+    m = _AHEAD.match(rest)
     r1, r2 = m.groups() if m else ("", None)
     opener = r1[:1] if r1[:1] in _EDGE else ""
-    return mark, _DIGITS.sub("9", w1), _DIGITS.sub("9", w2), quote, opener, _DIGITS.sub("9", r1.strip(_EDGE) or r1), _DIGITS.sub("9", r2 or "")
+    # a full stop or ellipsis without the blank its script has
+    joined = ""
+    if left == right:
+        k = left
+        while k > low and text[k - 1] in CLOSE:
+            k -= 1
+        end = text[k - 1 : k]
+        if end == "." or end in ("…", "‥") and _script(text[right]) != "J":
+            joined = "plain" if _RUN_ON.search(text[max(lo, left - 2) : left] + text[right : right + 2]) else "odd"
+    return mark, _fold(w1), _fold(w2), quote, opener, _fold(r1.strip(_EDGE) or r1), _fold(r2) if r2 else "", joined
 
 
 @lru_cache(maxsize=100_000)
@@ -233,36 +267,26 @@ def fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, rounds: int = 70, see
 SCRIPTS = "LCADTJO"
 
 
-def _joined(left: str, right: str, gap: str) -> bool:
-    """Whether a full stop or ellipsis lacks the blank that its script has. No break can follow there, so training leaves it
-    out, but for the plain case of a small letter before and a capitalised word after, which is nearly always an end."""
-    mark = left.rstrip(CLOSE)[-1:]
-    return not gap and (mark == "." or mark in ("…", "‥") and _script(right[0]) != "J")
-
-
-def _kind(left: str) -> str:
-    for c in reversed(left[-12:]):
-        if c not in MARKS and c not in CLOSE and not c.isspace():
-            return _script(c)
-    return "O"
-
+def train(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", fit_docs: int = FIT_DOCS) -> np.ndarray:
+    """Weights of the deciding model, trained on about ``fit_docs`` documents (twice that at most), chosen by a hash of the id.
 
-def train(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> np.ndarray:
-    """Weights of the deciding model, trained on at most FIT_DOCS documents."""
+    No break can follow a full stop without a blank, so training leaves such marks out, but for the plain case of a small
+    letter before and a capitalised word after, which is nearly always an end.
+    """
     n = documents.count()
-    keep = min(1.0, FIT_DOCS / max(n, 1))
-    d = documents.where(F.col(text).isNotNull() & (F.pmod(F.xxhash64(doc_id, F.lit(7)), F.lit(1 << 30)) < int(keep * (1 << 30)))).select(text).limit(2 * FIT_DOCS)
+    keep = min(1.0, fit_docs / max(n, 1))
+    d = documents.where(F.col(text).isNotNull() & (F.pmod(F.xxhash64(doc_id, F.lit(7)), F.lit(1 << 30)) < int(keep * (1 << 30)))).select(text).limit(2 * fit_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ys, ks, fs = [], [], []
             for t in batch.column(0).to_pylist():
-                for _, start, para, left, right, gap in candidates(t):
-                    if start >= 0 and _joined(left, right, gap) and not _RUN_ON.search(left[-2:] + right[:2]):
+                for end, start, brk, c in candidates(t):
+                    if start >= 0 and c[7] == "odd":
                         continue
-                    ys.append(int(para))
-                    ks.append(SCRIPTS.index(_kind(left)))
-                    fs.append(hashed(*context(left, right)))
+                    ys.append(int(brk))
+                    ks.append(SCRIPTS.index(_script_before(t, 0, end)))
+                    fs.append(hashed(*c[:7]))
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int8()), pa.array(ks, pa.int8()), pa.array(fs, pa.list_(pa.int32()))], names=["y", "k", "f"])
 
     got = d.mapInArrow(run, "y byte, k byte, f array<int>").toArrow()
@@ -308,44 +332,47 @@ def units(text: str, w: np.ndarray, known: dict | None = None) -> list[tuple[int
     if not text or not text.strip():
         return []
     cuts = [(m.start(), m.end()) for m in _BREAK.finditer(text)]
-    for c in candidates(text):
-        if c[1] >= 0:
-            k = context(c[3], c[4])
-            z = known.get(k)
+    for left, right, _, c in candidates(text):
+        if right >= 0:
+            z = known.get(c)
             if z is None:
-                z = known[k] = float(w[list(hashed(*k))].sum())
-            if z >= (JOINED if _joined(c[3], c[4], c[5]) else 0):
-                cuts.append((c[0], c[1]))
+                z = known[c] = float(w[list(hashed(*c[:7]))].sum()) - (JOINED if c[7] else 0)
+            if z >= 0:
+                cuts.append((left, right))
     cuts.sort()
     out, at = [], 0
     for a, b in [*cuts, (len(text), len(text))]:
-        s, e = at, a
-        while s < e and text[s].isspace():
+        s = at
+        while s < a and text[s].isspace():
             s += 1
-        while e > s and text[e - 1].isspace():
-            e -= 1
-        if e > s:
-            out.append((s, e))
+        while a > s and text[a - 1].isspace():
+            a -= 1
+        if a > s:
+            out.append((s, a))
         at = max(at, b)
     return out
 
 
-def split_sentences(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def split_sentences(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", fit_docs: int = FIT_DOCS, train_on: DataFrame | None = None) -> DataFrame:
     """``(doc_id, start_char, end_char)``: the units of every document; offsets count code points, the end is exclusive.
 
-    Null, empty or blank texts have no units. Texts are processed whole. Rows repeated under one id give their units
-    again. The model is trained on the texts themselves and broadcast (2 MB, whatever the corpus).
+    Null, empty or blank texts have no units. Texts are processed whole, in time and memory that follow their length. Rows
+    repeated under one id give their units again. The model is trained on the texts themselves, or on those of another
+    table of the same columns, and broadcast (2 MB, whatever the corpus).
     """
     spark = documents.sparkSession
-    b = spark.sparkContext.broadcast(train(documents, text, doc_id))
+    b = spark.sparkContext.broadcast(train(documents if train_on is None else train_on, text, doc_id, fit_docs))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, known = b.value, {}
-        for pdf in batches:
+        for batch in batches:
             if len(known) > 200_000:
                 known.clear()
-            out = [(d, s, e) for d, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()) if t for s, e in units(t, w, known)]
-            yield pd.DataFrame(out, columns=["doc_id", "start_char", "end_char"])
+            found = [units(t, w, known) if t else [] for t in batch.column("text").to_pylist()]
+            n = np.array([len(u) for u in found])
+            flat = np.array([x for u in found for x in u], np.int32).reshape(-1, 2)
+            ids = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(n)), n)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["doc_id", "start_char", "end_char"])
 
     kind = documents.schema[doc_id].dataType.simpleString()
-    return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, f"doc_id {kind}, start_char int, end_char int")
+    return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, start_char int, end_char int")

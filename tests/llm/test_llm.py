@@ -496,6 +496,19 @@ def test_sentences_without_blank_after_the_mark():
     assert len(sentences.units("It held 2.55 of 13.62 there.", sure)) == 1
 
 
+def test_sentences_of_one_long_paragraph():
+    """Memory follows the length: no copies of what stands to the left and right of a mark."""
+    import tracemalloc
+
+    w = np.zeros(sentences.WIDTH)
+    p = 'Wort eins. Noch 3.5 eins? "Zitat. Ja!" Ende (so. hier) da, '
+    tracemalloc.start()
+    got = sentences.units(p * 20_000, w)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40e6 and len(got) > 20_000 and got[-1][1] == len((p * 20_000).rstrip())
+
+
 def test_sentences_learn_from_whole_texts(spark):
     t = spark.createDataFrame([(1, "word " * 45_000 + "end.\n\nNext one.\n\n" * 50)], "doc_id bigint, text string")
     assert sentences.train(t).any()
