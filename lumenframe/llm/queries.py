@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumenframe.llm import clusters, group_splits, leaks, mixing, neighbours, quantiles, sentences, subset
 from lumenframe.runtime import materialize, table
 
-EVERY = {"probes": 128, "beam": 16, "margin": 0.2}  # of p5_every: loners look far around, rows in a crowd but in a few cells
+EVERY = {"probes": 160, "beam": 23, "margin": 0.25}  # of p5_every: loners look far around, rows in a crowd but in a few cells
 PROPERTIES = ["area", "perimeter", "intensity_mean", "texture_contrast", "eccentricity", "solidity", "orientation", "blob_count"]
 
 

@@ -436,8 +436,10 @@ class OneBitCodes:
         common = np.zeros((len(q), len(self.bits)), np.uint16)
         for k in range(self.PLANES):
             plane = self._pack((level >> k) & 1 > 0)
-            for w in range(plane.shape[1]):
-                common += np.bitwise_count(plane[:, w, None] & self.bits[None, :, w]).astype(np.uint16) << np.uint16(k)
+            n = np.bitwise_count(plane[:, 0, None] & self.bits[None, :, 0])
+            for w in range(1, plane.shape[1]):  # beyond 255 bits a byte may be too small
+                n = (n if self.d < 256 else n.astype(np.uint16)) + np.bitwise_count(plane[:, w, None] & self.bits[None, :, w])
+            common += n.astype(np.uint16) << np.uint16(k)
         est = common.astype(np.float32)
         est *= 2 * unit_.astype(np.float32)
         est += (2 * lo).astype(np.float32) * self.ones[None, :] - (level.sum(1, keepdims=True) * unit_ + self.d * lo).astype(np.float32)
