@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenframe.llm import vectors as V
+from lumenframe.operators.blocks import stream_groups
 from lumenframe.operators.graph import connected_components
 from lumenframe.runtime import materialize, partitions
 
@@ -126,10 +127,10 @@ def leaves(df: DataFrame, id_col: str, vec_col: str, dim: int, within: float, fa
         keep = t.largest(LEAVES)
         return _leaf_batch(t, keep, int(pdf["part"].min()) // fan_in).to_pandas()
 
-    out = df.mapInArrow(grow, LEAF)
-    n = max(1, df.rdd.getNumPartitions())
+    out = materialize(df.mapInArrow(grow, LEAF), "leaves")
+    n = (out.agg(F.max("part")).first()[0] or 0) + 1
     while n > fan_in:
-        out = out.groupBy((F.col("part") / fan_in).cast("int").alias("g")).applyInPandas(join, LEAF)
+        out = materialize(out.groupBy((F.col("part") / fan_in).cast("int").alias("g")).applyInPandas(join, LEAF), "leaves")
         n = -(-n // fan_in)
     # at most fan_in x LEAVES leaves remain
     return _merged(out.toPandas(), dim, within)
@@ -156,20 +157,36 @@ def ward(n: np.ndarray, centre: np.ndarray, least: float) -> np.ndarray:
     alive = np.ones(k, bool)
     dot = c @ c.T
     sq = np.diag(dot).copy()
-    while alive.sum() > 1:
-        cost = (size[:, None] * size[None, :] / np.maximum(size[:, None] + size[None, :], 1)) * (sq[:, None] + sq[None, :] - 2 * dot)
-        ok = alive[:, None] & alive[None, :] & (dot >= least * np.sqrt(sq[:, None] * sq[None, :]))
-        np.fill_diagonal(ok, False)
-        if not ok.any():
-            break
-        cost[~ok] = np.inf
-        a, b = divmod(int(cost.argmin()), k)
+
+    def costs(i: int) -> np.ndarray:
+        cost = size[i] * size / np.maximum(size[i] + size, 1) * (sq[i] + sq - 2 * dot[i])
+        cost[~(alive & (dot[i] >= least * np.sqrt(sq[i] * sq)))] = np.inf
+        cost[i] = np.inf
+        return cost
+
+    # each cluster keeps its cheapest partner, so that a merge looks at few rows again
+    best, to = np.full(k, np.inf), np.zeros(k, int)
+    for i in range(k):
+        r = costs(i)
+        to[i] = r.argmin()
+        best[i] = r[to[i]]
+    while k and np.isfinite(best).any():
+        a = int(best.argmin())
+        b = int(to[a])
         c[a] = (size[a] * c[a] + size[b] * c[b]) / (size[a] + size[b])
         size[a] += size[b]
-        alive[b] = False
+        alive[b], best[b] = False, np.inf
         label[label == label[b]] = label[a]
         dot[a] = dot[:, a] = c @ c[a]
         sq[a] = dot[a, a]
+        r = costs(a)
+        stale = np.flatnonzero(alive & ((to == a) | (to == b)))
+        nearer = alive & (r < best)
+        best[nearer], to[nearer] = r[nearer], a
+        for i in {a, *stale.tolist()}:
+            x = costs(i)
+            to[i] = x.argmin()
+            best[i] = x[to[i]]
     return label
 
 
@@ -309,7 +326,7 @@ def linked_clusters(df: DataFrame, id_col: str, vec_col: str, dim: int = 128, li
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(len(oid), np.int8), np.ones(len(links), np.int8)])), pa.array(np.concatenate([oid, np.array([a for a, _ in links], np.int64)])), pa.array(np.concatenate([node, np.array([c for _, c in links], np.int64)]))], schema=out_schema)
 
         state, ties = [], _Sets()
-        for new, t in V.stream_groups(batches, ["cell", "block"]):
+        for new, t in stream_groups(batches, ["cell", "block"]):
             if int(t.column("cell")[0].as_py()) < 0:
                 yield pa.RecordBatch.from_arrays([pa.array(np.where(np.asarray(t.column("kind")) == 3, 3, 1).astype(np.int8)), t.column("id").combine_chunks(), t.column("tag").combine_chunks()], schema=out_schema)
                 continue
@@ -423,23 +440,38 @@ def describe(df: DataFrame, members: DataFrame, id_col: str, vec_col: str, dim:
     """
     v = df.select(F.col(id_col).alias("id"), vec_col).dropDuplicates(["id"]).join(members, "id")
     v = materialize(v, "clustered")
+    names = ["head", "s"]
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             heads = np.asarray(batch.column("head"))
             _, x = V.read_batch(batch, "id", vec_col, dim)
-            u = V.unit(x)
-            for h in np.unique(heads):
-                s = u[heads == h].sum(0)
-                sums[int(h)] = sums[int(h)] + s if int(h) in sums else s
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.list_(pa.float64()))], names=["head", "s"])
-
-    sums = v.mapInArrow(partial, "head bigint, s array<double>")
-    add = lambda a, x: F.when(F.size(a) == 0, x).otherwise(F.zip_with(a, x, lambda p, q: p + q))
-    centre = sums.groupBy("head").agg(F.aggregate(F.collect_list("s"), F.array().cast("array<double>"), add).alias("s"))
+            order = np.argsort(heads, kind="stable")
+            cuts = np.flatnonzero(np.diff(heads[order], prepend=heads[order][:1] - 1)) if len(order) else np.empty(0, int)
+            for h, s in zip(heads[order][cuts].tolist(), np.add.reduceat(V.unit(x)[order], cuts, axis=0) if len(cuts) else ()):
+                sums[h] = sums[h] + s if h in sums else s
+            if len(sums) > 8 * BLOCK:
+                yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.list_(pa.float64()))], names=names)
+                sums = {}
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.list_(pa.float64()))], names=names)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums arrive sorted by cluster: one is held at a time."""
+        now, s = None, None
+        for new, t in stream_groups(batches, ["head"]):
+            if new and s is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([s], pa.list_(pa.float64()))], names=names)
+            x = np.asarray(t.column("s").combine_chunks().flatten()).reshape(-1, dim).sum(0)
+            now, s = t.column("head")[0].as_py(), x if new or s is None else s + x
+        if s is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([s], pa.list_(pa.float64()))], names=names)
+
+    kind = "head bigint, s array<double>"
+    centre = v.mapInArrow(partial, kind).repartition(partitions(df.sparkSession), "head").sortWithinPartitions("head").mapInArrow(total, kind)
     dot = F.aggregate(F.zip_with(vec_col, "s", lambda a, c: a.cast("double") * c), F.lit(0.0), lambda a, x: a + x)
     norm = lambda c: F.sqrt(F.aggregate(F.transform(c, lambda a: a.cast("double") * a.cast("double")), F.lit(0.0), lambda a, x: a + x))
     near = v.join(centre, "head").select("head", "size", "id", (dot / (norm(F.col(vec_col)) * norm(F.col("s")))).alias("similarity"))
+    # Spark keeps the first ``typical`` of each partition before the shuffle, so a large cluster is no hot group
     w = Window.partitionBy("head").orderBy(F.desc("similarity"), "id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= typical)

@@ -78,7 +78,7 @@ def tied_batches(fold_labels: DataFrame) -> DataFrame:
 
 
 class _Flow:
-    """Min-cost flow by successive shortest paths with potentials, on a small graph of float capacities."""
+    """Min-cost flow: shortest paths with potentials, and all paths of one cost pushed at once, on float capacities."""
 
     def __init__(self, n: int):
         self.n, self.to, self.cap, self.cost, self.out = n, [], [], [], [[] for _ in range(n)]
@@ -92,90 +92,146 @@ class _Flow:
         return len(self.to) - 2
 
     def run(self, s: int, t: int) -> None:
-        pot = [0.0] * self.n
+        pot, to, cap, cost, eps = [0.0] * self.n, self.to, self.cap, self.cost, 1e-7
         while True:
-            dist, back, heap = [float("inf")] * self.n, [-1] * self.n, [(0.0, s)]
+            dist, heap = [float("inf")] * self.n, [(0.0, s)]
             dist[s] = 0.0
             while heap:
                 d, u = heapq.heappop(heap)
                 if d > dist[u] + 1e-12:
                     continue
                 for e in self.out[u]:
-                    if self.cap[e] > 1e-9 and (nd := d + self.cost[e] + pot[u] - pot[self.to[e]]) < dist[self.to[e]] - 1e-12:
-                        dist[self.to[e]], back[self.to[e]] = nd, e
-                        heapq.heappush(heap, (nd, self.to[e]))
+                    if cap[e] > eps and (nd := d + cost[e] + pot[u] - pot[to[e]]) < dist[to[e]] - 1e-12:
+                        dist[to[e]] = nd
+                        heapq.heappush(heap, (nd, to[e]))
             if dist[t] == float("inf"):
                 return
             pot = [p + min(d, dist[t]) for p, d in zip(pot, dist)]
-            push, v = float("inf"), t
-            while v != s:
-                push, v = min(push, self.cap[back[v]]), self.to[back[v] ^ 1]
-            v = t
-            while v != s:
-                self.cap[back[v]] -= push
-                self.cap[back[v] ^ 1] += push
-                v = self.to[back[v] ^ 1]
+            while self._push(s, t, pot, eps):
+                pass
+
+    def _push(self, s: int, t: int, pot: list[float], eps: float) -> float:
+        """A blocking flow over the edges that lie on cheapest paths, by levels."""
+        to, cap, cost, out = self.to, self.cap, self.cost, self.out
+        level, queue = [-1] * self.n, [s]
+        level[s] = 0
+        for u in queue:
+            for e in out[u]:
+                if cap[e] > eps and level[to[e]] < 0 and abs(cost[e] + pot[u] - pot[to[e]]) < 1e-9:
+                    level[to[e]] = level[u] + 1
+                    queue.append(to[e])
+        if level[t] < 0:
+            return 0.0
+        at, path, done = [0] * self.n, [], 0.0
+        u = s
+        while True:
+            if u == t:
+                push = min(cap[e] for e in path)
+                done += push
+                for e in path:
+                    cap[e] -= push
+                    cap[e ^ 1] += push
+                k = next(i for i, e in enumerate(path) if cap[e] <= eps)
+                u = to[path[k] ^ 1]
+                del path[k:]
+                continue
+            while at[u] < len(out[u]):
+                e = out[u][at[u]]
+                if cap[e] > eps and level[to[e]] == level[u] + 1 and abs(cost[e] + pot[u] - pot[to[e]]) < 1e-9:
+                    break
+                at[u] += 1
+            if at[u] < len(out[u]):
+                path.append(e)
+                u = to[e]
+            elif path:
+                e = path.pop()
+                u = to[e ^ 1]
+                at[u] += 1
+            else:
+                return done
+
+
+def _divide(size: np.ndarray, n: np.ndarray, prof: np.ndarray, want: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Rows of each bundle per split by min-cost flow: source -> bundle -> split within profile (what is wanted there free,
+    beyond that at cost 1) -> split (what is wanted free, beyond that at cost 2) -> sink."""
+    nb, (np_, k) = len(size), want.shape
+    f = _Flow(2 + nb + np_ * k + k)
+    s, t, mid, end, mass = 0, 1, 2 + nb, 2 + nb + np_ * k, size * n
+    arcs: list = [None] * nb
+    # many divisions cost the same; with large bundles first those are kept whole and small ones fill what is left
+    for b in np.argsort(-size, kind="stable").tolist():
+        f.edge(s, 2 + b, mass[b], 0.0)
+        arcs[b] = [f.edge(2 + b, mid + prof[b] * k + j, mass[b], 0.0) for j in range(k)]
+    for p in range(np_):
+        for j in range(k):
+            f.edge(mid + p * k + j, end + j, max(want[p, j], 0.0), 0.0)
+            f.edge(mid + p * k + j, end + j, mass.sum(), 1.0)
+    for j in range(k):
+        f.edge(end + j, t, max(total[j], 0.0), 0.0)
+        f.edge(end + j, t, mass.sum(), 2.0)
+    f.run(s, t)
+    return np.array([[f.cap[e ^ 1] for e in a] for a in arcs])
 
 
-def split_quotas(bundles: pd.DataFrame, shares: list[float]) -> np.ndarray:
+def split_quotas(bundles: pd.DataFrame, shares: list[float], large: float = 0.002) -> np.ndarray:
     """Groups of each bundle per split: ``bundles`` has size, profile, n; the result is (bundles, splits) of whole numbers.
 
-    Flow: source -> profile (its rows) -> split within profile (wanted rows free, beyond that at cost 1) -> split (wanted
-    rows free, beyond that at cost 2) -> sink. Bundles of one profile cost the same everywhere, so the flow runs on
-    profiles, and each profile's row quotas are then filled by its bundles, largest size first, always into the split
-    with the largest remaining deficit; what is left of the total deficits decides ties, then the order of the splits.
+    Rows are divided by min-cost flow (see :func:`_divide`). A bundle gets the whole groups of its flow; a group that the
+    flow divides goes where the deviations of split and profile together grow least, as the flow of the bundles not yet
+    rounded stands. Groups of more than ``large`` of all rows are settled first, and the flow is run again for the others
+    with what these leave. Ties go to the split that lacks most, then to the first.
     """
-    k = len(shares)
-    out = np.zeros((len(bundles), k), dtype=np.int64)
-    if not len(bundles):
+    k, nb = len(shares), len(bundles)
+    out = np.zeros((nb, k), dtype=np.int64)
+    if not nb:
         return out
     share = np.asarray(shares, float) / max(sum(shares), 1e-300)
-    mass = (bundles["size"] * bundles["n"]).astype(float)
-    profiles = mass.groupby(bundles["profile"]).sum()
-    total, names = float(mass.sum()), list(profiles.index)
-    f = _Flow(2 + len(names) + k)
-    s, t = 0, 1
-    arcs = {}
-    for i, name in enumerate(names):
-        f.edge(s, 2 + i, float(profiles[name]), 0.0)
-        for j in range(k):
-            arcs[i, j] = (f.edge(2 + i, 2 + len(names) + j, float(profiles[name] * share[j]), 0.0), f.edge(2 + i, 2 + len(names) + j, float(profiles[name]), 1.0))
-    for j in range(k):
-        f.edge(2 + len(names) + j, t, total * share[j], 0.0)
-        f.edge(2 + len(names) + j, t, total, 2.0)
-    f.run(s, t)
-    want = np.array([[sum(f.cap[e ^ 1] for e in arcs[i, j]) for j in range(k)] for i in range(len(names))])
-    left_total = total * share
-    place = {name: i for i, name in enumerate(names)}
-    for b in np.argsort(-bundles["size"].to_numpy(), kind="stable"):
-        size, n, w = int(bundles["size"].iloc[b]), int(bundles["n"].iloc[b]), want[place[bundles["profile"].iloc[b]]]
-        # whole groups by the deficits, in bulk; the rest one by one
-        need = np.maximum(np.minimum(w, left_total), 0)
-        bulk = np.floor(need / size).astype(np.int64)
-        if bulk.sum() > n:
-            bulk = np.floor(bulk * (n / bulk.sum())).astype(np.int64)
-        for j in range(k):
-            out[b, j] += bulk[j]
-            w[j] -= bulk[j] * size
-            left_total[j] -= bulk[j] * size
-        for _ in range(n - int(bulk.sum())):
-            j = max(range(k), key=lambda j: (round(left_total[j], 6), w[j], -j))
-            out[b, j] += 1
-            w[j] -= size
-            left_total[j] -= size
+    size, n = bundles["size"].to_numpy(float), bundles["n"].to_numpy(np.int64)
+    names, prof = np.unique(bundles["profile"].to_numpy(), return_inverse=True)
+    mass = size * n
+    want, total = np.bincount(prof, mass, minlength=len(names))[:, None] * share, mass.sum() * share
+    big = size > large * mass.sum()
+    for turn in (big, ~big):
+        if not turn.any():
+            continue
+        rest = np.flatnonzero(turn | ~big)
+        flow = np.zeros((nb, k))
+        flow[rest] = _divide(size[rest], n[rest], prof[rest], want, total)
+        mine = np.flatnonzero(turn)
+        has, all_ = np.zeros_like(want), flow[mine].sum(0)
+        np.add.at(has, prof[mine], flow[mine])
+        # what large groups leave open the others can fill, so only what is too much counts
+        off = (lambda x: np.maximum(x, 0.0)) if turn is big and (~big).any() else np.abs
+        for b in mine[np.argsort(-size[mine], kind="stable")]:
+            p = prof[b]
+            whole = np.floor(flow[b] / size[b] + 1e-6).astype(np.int64)
+            change = whole * size[b] - flow[b]
+            has[p] += change
+            all_ += change
+            out[b] = whole
+            for _ in range(int(n[b] - whole.sum())):
+                grow = 2 * (off(all_ + size[b] - total) - off(all_ - total)) + off(has[p] + size[b] - want[p]) - off(has[p] - want[p])
+                j = int(np.lexsort((np.arange(k), np.round(all_ - total, 6), np.round(grow, 6)))[0])
+                out[b, j] += 1
+                has[p, j] += size[b]
+                all_[j] += size[b]
+        done = out[mine] * size[mine, None]
+        total = total - done.sum(0)
+        np.subtract.at(want, prof[mine], done)
     return out
 
 
-def assign_splits(groups: DataFrame, targets: list[tuple[str, float]], profile: Column | None = None, seed: int = 17, ranges: int = 1024) -> DataFrame:
+def assign_splits(groups: DataFrame, targets: list[tuple[str, float]], profile: Column | None = None, step: float = 0.5, seed: int = 17, ranges: int = 1024) -> DataFrame:
     """``(image_index, group, split_name)`` for rows ``(image_index, group)``; whole groups go to one split.
 
-    ``profile`` (optional) is a column of the group's rows whose rounded mean, in tenths, is the label profile of the
-    bundle. The bundles are few: sizes add up to the rows, so there are at most ~sqrt(2 rows) of them per profile.
+    ``profile`` (optional) is a number of the group's rows: its mean over the group, in steps of ``step`` and at most eight
+    of them to either side of 0, is the label profile of the group; groups without a number have a profile of their own.
+    The bundles are few: sizes add up to the rows, so there are at most ~sqrt(2 rows) of them per profile.
     Members of a bundle are ordered by hash; a position is the count of all lower hash ranges plus the rank in the own
     range, so no bundle is ever sorted in one task. An empty table gives an empty result.
     """
     spark = groups.sparkSession
-    prof = F.lit(0) if profile is None else F.coalesce(F.round(F.avg(profile) * 10), F.lit(-1)).cast("int")
+    prof = F.lit(0) if profile is None else F.coalesce(F.greatest(F.lit(-8), F.least(F.lit(8), F.round(F.avg(profile) / step))), F.lit(-99)).cast("int")
     sized = groups.groupBy("group").agg(F.count("*").alias("size"), prof.alias("profile"))
     sized = materialize(sized.withColumn("h", F.xxhash64("group", F.lit(seed))).withColumn("range", F.pmod("h", F.lit(ranges)).cast("int")), "sizes")
     bundles = sized.groupBy("size", "profile").agg(F.count("*").alias("n")).toPandas().sort_values(["size", "profile"]).reset_index(drop=True)

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from lumenframe.functions.vectors import is_usable
 from lumenframe.llm import vectors as V
+from lumenframe.operators.blocks import stream_groups
 from lumenframe.runtime import materialize, partitions
 
 OUT = "query bigint, neighbour bigint, similarity double"
@@ -141,7 +142,7 @@ def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim
             return pa.RecordBatch.from_arrays([pa.array(np.full(m, cell, np.int64)), pa.array(np.full(m, block, np.int32)), pa.array(kind), pa.array(out)], names=["cell", "block", "kind", "id"])
 
         base, state = [], None
-        for new, t in V.stream_groups(batches, ["cell", "block"]):
+        for new, t in stream_groups(batches, ["cell", "block"]):
             if new:
                 if base or state:
                     yield close(state or begin(base))
@@ -207,7 +208,7 @@ def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim
             waiting.clear()
 
         base, waiting = [], []
-        for new, t in V.stream_groups(batches, ["cell", "block"]):
+        for new, t in stream_groups(batches, ["cell", "block"]):
             if new:
                 if base:
                     yield from flush(base, waiting)

@@ -18,6 +18,19 @@ def p1_subset(spark: SparkSession, d: str) -> DataFrame:
     return subset.varied_subset(t, "image_index", "embedding", size=max(1, t.count() // 10))
 
 
+def p1_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Size and repeats of the subset; clusters of at least 8 images without a chosen one; whether every cluster with a
+    twentieth of the images or more makes up at most half that share of the subset."""
+    chosen = materialize(p1_subset(spark, d).select("image_index"), "chosen")
+    c = materialize(p4_found(spark, d), "clusters")
+    usable = subset.bucket_keys(table(spark, d, "image_vectors"), "image_index", "embedding", tables=1).count()
+    took = chosen.count()
+    n = c.groupBy("cluster_head").agg(F.count("*").alias("n")).join(c.join(chosen, "image_index").groupBy("cluster_head").agg(F.count("*").alias("m")), "cluster_head", "left").fillna(0)
+    big = F.col("n") >= usable / 20
+    k = n.agg(F.count(F.when(F.col("m") == 0, 1)).alias("kinds_missed"), F.coalesce(F.min(F.when(big, F.col("m") / took <= F.col("n") / usable / 2)), F.lit(True)).alias("crowds_cut"))
+    return chosen.agg(F.count("*").alias("chosen"), (F.count("*") - F.count_distinct("image_index")).alias("repeated")).crossJoin(k)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     c = clusters.linked_clusters(table(spark, d, "image_vectors"), "image_index", "embedding", least_size=8)
     return c.select(F.col("id").alias("image_index"), F.col("head").alias("cluster_head"))
@@ -58,10 +71,16 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return group_splits.tied_batches(table(spark, d, "fold_labels"))
 
 
+def _split_targets(spark: SparkSession, d: str) -> list[tuple[str, float]]:
+    return [(r[0], r[1]) for r in table(spark, d, "split_targets").select("split_name", "row_share").orderBy(F.desc("row_share"), "split_name").collect()]
+
+
 def p2_splits(spark: SparkSession, d: str) -> DataFrame:
-    groups = materialize(group_splits.batch_groups(table(spark, d, "fold_labels")), "groups")
-    targets = [(r[0], r[1]) for r in table(spark, d, "split_targets").select("split_name", "row_share").orderBy(F.desc("row_share"), "split_name").collect()]
-    return group_splits.assign_splits(groups, targets).select("image_index", "group", "split_name")
+    """Splits by row shares and by the mean target value of the groups."""
+    t = table(spark, d, "fold_labels")
+    value = t.where(F.col("image_index").isNotNull()).groupBy("image_index").agg(F.min(F.when(~F.isnan("target_value"), F.col("target_value"))).alias("target_value"))
+    groups = materialize(group_splits.batch_groups(t).select("image_index", "group").join(value, "image_index", "left"), "groups")
+    return group_splits.assign_splits(groups, _split_targets(spark, d), F.col("target_value")).select("image_index", "group", "split_name")
 
 
 def p2_shares(spark: SparkSession, d: str) -> DataFrame:
@@ -69,6 +88,16 @@ def p2_shares(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("split_name").agg(F.count("*").alias("n_rows"), F.count_distinct("group").alias("n_groups"))
 
 
+def p2_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each split has whole groups alone, and its share of the rows to within the largest group."""
+    s = materialize(p2_splits(spark, d), "splits")
+    g = s.groupBy("group").agg(F.count("*").alias("n"), F.count_distinct("split_name").alias("splits"), F.first("split_name").alias("split_name"))
+    whole = g.agg(F.sum("n").alias("all"), F.max("n").alias("largest"), F.max("splits").alias("most"))
+    t = table(spark, d, "split_targets").join(g.groupBy("split_name").agg(F.sum("n").alias("n")), "split_name", "left").crossJoin(whole)
+    near = F.abs(F.coalesce("n", F.lit(0)) - F.col("row_share") * F.col("all")) <= F.greatest("largest", F.lit(1))
+    return t.select("split_name", (F.col("most") == 1).alias("whole"), near.alias("near"))
+
+
 def _objects(spark: SparkSession, d: str, props: list[str], keys: list[str]) -> DataFrame:
     """Objects without their repeats. Rows meet by compound and a salt, which the repeats of a row share."""
     from lumenframe.runtime import partitions
@@ -172,7 +201,7 @@ def _planted_rows() -> list[tuple[int, int, int]]:
     return out
 
 
-QUERIES = {f.__name__: f for f in (p1_subset, p2_found, p2_splits, p2_shares, p3_found, p3_percentiles, p4_found, p4_clusters, p5_found, p5_neighbours, p5_every, p5_recall, p6_found, p6_items, p6_planted, p7_found, p7_mix, p7_plan, p7_limits, p8_found, p8_planted)}
+QUERIES = {f.__name__: f for f in (p1_subset, p1_cover, p2_found, p2_splits, p2_shares, p2_kept, p3_found, p3_percentiles, p4_found, p4_clusters, p5_found, p5_neighbours, p5_every, p5_recall, p6_found, p6_items, p6_planted, p7_found, p7_mix, p7_plan, p7_limits, p8_found, p8_planted)}
 
 _VEC = """vec AS (SELECT image_index, any_value(embedding)::DOUBLE[] AS e FROM image_vectors WHERE len(embedding) = 128
   AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0)) GROUP BY 1),
@@ -206,6 +235,8 @@ SELECT DISTINCT image_index, group_batch FROM (SELECT image_index, coalesce(n.b,
     "SELECT a AS image_index, least(a, min(b)) AS cluster_head FROM reach GROUP BY a HAVING count(*) >= 8",
     "p6_planted": "SELECT item_id * 10 + form AS doc_id, item_id FROM benchmark_items, (VALUES (0), (1), (2)) f(form)",
     "p5_recall": f"WITH {_VEC} SELECT count(*) AS queries, true AS enough FROM unit WHERE i % 50 = 0",
+    "p2_kept": "SELECT split_name, true AS whole, true AS near FROM split_targets",
+    "p1_cover": f"WITH {_VEC} SELECT greatest(1, (SELECT count(*) FROM image_vectors) // 10)::BIGINT AS chosen, 0::BIGINT AS repeated, 0::BIGINT AS kinds_missed, true AS crowds_cut",
     "p8_planted": "SELECT doc_id::BIGINT AS doc_id, start_char, end_char FROM (VALUES " + ", ".join(map(str, _planted_rows())) + ") t(doc_id, start_char, end_char)",
     "p5_neighbours": f"WITH {_VEC} SELECT a AS query, b AS neighbour, s AS similarity, r::INTEGER AS rank FROM (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM pair WHERE a % 50 = 0) WHERE r <= 10",
     # any measure of length gives the same cases, so bytes stand for tokens

@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lumenframe.llm import vectors as V
+from lumenframe.llm.cuts import lowest
 from lumenframe.runtime import materialize
 
 BITS = (24, 12)  # planes of a fine and a coarse table
@@ -60,22 +60,9 @@ def varied_subset(df: DataFrame, id_col: str, vec_col: str, size: int, dim: int
     probability inverse to its density, without replacement.
 
     Every vector gets an exponential waiting time with rate 1/density from a hash of its id; the ``size`` shortest win,
-    ties by id. The time that cuts is found from counts of 4,096 logarithmic ranges, and only the range it falls in is
-    ranked, so the rows are never sorted as a whole. The draw is repeatable. ``weight`` is the rate.
+    ties by id. The time that cuts is narrowed down by counting (see :func:`lowest`), so neither all rows nor a share of
+    them is ever sorted in one task. The draw is repeatable. ``weight`` is the rate.
     """
     u = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    t = densities(df, id_col, vec_col, dim, tables).withColumn("wait", -F.log(u) * F.col("density"))
-    t = materialize(t.withColumn("range", F.greatest(F.lit(0), F.least(F.lit(4095), F.floor((F.log2("wait") + 40) * 40))).cast("int")), "waits")
-    per = t.groupBy("range").agg(F.count("*").alias("c")).orderBy("range").collect()  # at most 4,096 rows
-    cut, taken = -1, 0
-    for r in per:
-        if taken + r["c"] > size:
-            cut = r["range"]
-            break
-        taken += r["c"]
-    rows = t.where(F.col("range") < cut) if cut >= 0 else t
-    if cut >= 0 and size > taken:
-        w = Window.orderBy("wait", "id")
-        last = t.where(F.col("range") == cut).withColumn("r", F.row_number().over(w)).where(F.col("r") <= size - taken).drop("r")
-        rows = rows.unionByName(last)
-    return rows.select(F.col("id").alias("image_index"), "density", (1 / F.col("density")).alias("weight"))
+    t = materialize(densities(df, id_col, vec_col, dim, tables).withColumn("wait", -F.log(u) * F.col("density")), "waits")
+    return lowest(t, {0: size}, "wait", "id").select(F.col("id").alias("image_index"), "density", (1 / F.col("density")).alias("weight"))

@@ -216,6 +216,38 @@ def test_splits_keep_groups_and_meet_shares(spark):
     assert empty.count() == 0
 
 
+def test_quotas_meet_shares_and_profiles():
+    import pandas as pd
+
+    rng = np.random.default_rng(7)
+    share = [0.8, 0.1, 0.1]
+    for trial in range(12):
+        b = pd.DataFrame({"size": rng.zipf(1.5, 300).clip(1, 900), "profile": rng.integers(-3, 4, 300)}).groupby(["size", "profile"]).size().reset_index(name="n")
+        if trial % 3 == 0:  # one group of a third of all rows
+            b.loc[len(b)] = [int((b["size"] * b["n"]).sum() // 2), 0, 1]
+        q = group_splits.split_quotas(b, share)
+        assert (q.sum(1) == b["n"]).all() and (q >= 0).all()
+        rows = q * b["size"].to_numpy()[:, None]
+        all_ = rows.sum()
+        assert np.abs(rows.sum(0) - all_ * np.array(share)).max() <= 0.01 * all_
+        # profiles follow the shares as far as their own group sizes allow
+        for p in np.unique(b["profile"]):
+            mine = (b["profile"] == p).to_numpy()
+            if b["size"][mine].max() < 0.05 * rows[mine].sum():
+                assert np.abs(rows[mine].sum(0) / rows[mine].sum() - share).max() < 0.06
+    # without profiles the answer is another one: they take part
+    q2 = group_splits.split_quotas(b.assign(profile=0), share)
+    assert (q2 != q).any()
+
+
+def test_flow_costs_least():
+    f = group_splits._Flow(4)
+    a, b = f.edge(0, 1, 5, 1.0), f.edge(0, 2, 5, 3.0)
+    f.edge(1, 3, 3, 0.0), f.edge(1, 2, 5, 1.0), f.edge(2, 3, 4, 0.0)
+    f.run(0, 3)
+    assert f.cap[a ^ 1] == 5 and f.cap[b ^ 1] == 2
+
+
 # --- percentiles ----------------------------------------------------------------------------------------------------
 
 
