@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from lumenframe.runtime import partitions
 
 K, B = 512, 8
+FAN_IN = 64  # partitions whose sketches of a group are merged at a time
 
 
 class Sketch:
@@ -112,18 +114,26 @@ def _schema(df: DataFrame, group_cols: list[str]) -> T.StructType:
     return s
 
 
-def sketch_by_group(df: DataFrame, group_cols: list[str], value_cols: list[str], spread_col: str | None = None, k: int = K, b: int = B, salts: int = 8) -> DataFrame:
+def buffer_size(error: float, rows: int, b: int = B) -> int:
+    """Buffer length (a power of 2) with which the bound of ``rows`` values stays under ``error`` times their number.
+
+    A level holds rows / (b^level k) buffers' worth of weight once, so its collapses add at most rows / 2k; levels are as
+    many as rows / k has digits to base b, and two to spare for sketches that are merged while they are not full.
+    """
+    k = 16
+    while k < rows and (np.log(max(rows / k, 1)) / np.log(b) + 3) / (2 * k) > error:
+        k *= 2
+    return k
+
+
+def sketch_by_group(df: DataFrame, group_cols: list[str], value_cols: list[str], k: int = K, b: int = B) -> DataFrame:
     """One sketch row per group and property: ``(*group_cols, property, n, err, levels, weights, lens, values)``.
 
     Nulls, NaN and infinities are not counted; groups with no finite value have no row; a null group value is a group.
-    Rows meet by group key and one of ``salts`` salts of ``spread_col`` (else of the row's content), are sketched where
-    they are, and at most ``salts`` sketches a group are merged, so a group with a third of all rows is no hot task.
-    Sketches of any partitions or days combine with :func:`merge_sketches`.
+    Rows are sketched where they are, and only sketches are shuffled, so a group with a third of all rows is no hot task.
+    Sketches of any partitions or days combine with :func:`merge_sketches`. ``k`` for a wanted error: :func:`buffer_size`.
     """
-    spark = df.sparkSession
-    salt = F.pmod(F.xxhash64(*([spread_col] if spread_col else value_cols)), F.lit(salts)).cast("int")
-    placed = df.select(*group_cols, *[F.col(c).cast("double").alias(c) for c in value_cols], salt.alias("_salt")).repartition(partitions(spark), *group_cols, "_salt")
-    return merge_sketches(sketch_partitions(placed.drop("_salt"), group_cols, value_cols, k, b), group_cols, k, b)
+    return merge_sketches(sketch_partitions(df.select(*group_cols, *[F.col(c).cast("double").alias(c) for c in value_cols]), group_cols, value_cols, k, b), group_cols, k, b)
 
 
 def sketch_partitions(df: DataFrame, group_cols: list[str], value_cols: list[str], k: int = K, b: int = B, chunk: int = 200_000) -> DataFrame:
@@ -191,7 +201,11 @@ def _batch(rows: list[tuple], names: list[str], arrow: pa.Schema) -> pa.RecordBa
 
 
 def merge_sketches(sketches: DataFrame, group_cols: list[str], k: int = K, b: int = B) -> DataFrame:
-    """Combine sketches that share ``group_cols`` and property: partitions of one table, or any set of days."""
+    """Combine sketches that share ``group_cols`` and property: partitions of one table, or any set of days.
+
+    By a tree: FAN_IN partitions' sketches of a group at a time, then what these leave, so that no task reads a group's
+    sketches from all partitions of a large table.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = _schema(sketches, group_cols)
@@ -224,11 +238,16 @@ def merge_sketches(sketches: DataFrame, group_cols: list[str], k: int = K, b: in
         if out:
             yield _batch(out, names, arrow)
 
-    placed = sketches.select(*names).repartition(partitions(sketches.sparkSession), *keys)
-    return placed.sortWithinPartitions(*keys, "n", "err").mapInArrow(run, schema)
+    parts = partitions(sketches.sparkSession)
+    s = sketches.select(*names)
+    while (salts := -(-parts // FAN_IN)) > 1:
+        near = s.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts))).repartition(partitions(s.sparkSession), *keys, "_salt")
+        s = near.sortWithinPartitions(*keys, "_salt", "n", "err").drop("_salt").mapInArrow(run, schema)
+        parts = salts
+    return s.repartition(partitions(s.sparkSession), *keys).sortWithinPartitions(*keys, "n", "err").mapInArrow(run, schema)
 
 
-def percentiles(sketches: DataFrame, group_cols: list[str], pcts: list[int]) -> DataFrame:
+def percentiles(sketches: DataFrame, group_cols: list[str], pcts: list[int], k: int = K, b: int = B) -> DataFrame:
     """``(*group_cols, property, pct, n, value, rank_error)``: the smallest value of rank ``ceil(pct/100 n)`` or more.
 
     ``rank_error`` bounds the distance in ranks to the exact answer; 0 where nothing was collapsed.
@@ -240,7 +259,7 @@ def percentiles(sketches: DataFrame, group_cols: list[str], pcts: list[int]) ->
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                s = Sketch.load(r.n, r.err, r.levels, r.weights, r.lens, r.values)
+                s = Sketch.load(r.n, r.err, r.levels, r.weights, r.lens, r.values, k, b)
                 v, w = s.parts()
                 o = np.argsort(v, kind="stable")
                 cum = np.cumsum(w[o])
@@ -302,25 +321,28 @@ def outlying_days(sketches: DataFrame, key: str, day: str, pcts: list[int], fact
 
 
 def decide_exactly(rows: DataFrame, open_cases: DataFrame, key: str, day: str, value_cols: list[str], factor: float = 3.0) -> DataFrame:
-    """The open cases of :func:`outlying_days` that hold, by counting values below each bound and ranking those between."""
+    """The open cases of :func:`outlying_days` that hold, by counting values below each bound and ranking those between.
+
+    Equal values are counted together before they meet; a task ranks the distinct values between the bounds of a case,
+    which are a share of its rows as small as the error of the sketches, and sorts them on disk where they are many.
+    """
     long = rows.select(F.col(key), F.col(day).alias("_day"), F.explode(F.array(*[F.struct(F.lit(c).alias("property"), F.col(c).cast("double").alias("v")) for c in value_cols])).alias("x"))
     long = long.select(key, "_day", "x.property", "x.v").where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf")))
     j = long.join(F.broadcast(open_cases) if open_cases.count() <= 20_000 else open_cases, [key, "property"])
 
     def side(own: bool, lo: str, hi: str, n: str) -> DataFrame:
+        """The interpolated percentile: the values of two ranks, from running counts over the values between the bounds."""
         s = j.where((F.col("_day") == F.col(day)) if own else (F.col("_day") != F.col(day)))
         ids = [key, "property", day, "pct"]
-        below = s.groupBy(*ids, n).agg(F.count(F.when(F.col("v") < F.col(lo), 1)).alias("below"))
-        vals = s.where((F.col("v") >= F.col(lo)) & (F.col("v") <= F.col(hi))).groupBy(*ids, "v").agg(F.count("*").alias("c"))
-        run = vals.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("v", "c"))).alias("vs"))
+        # one pass: what is below the bounds is counted under no value, what lies between under its own
+        v = F.when((F.col("v") >= F.col(lo)) & (F.col("v") <= F.col(hi)), F.col("v"))
+        c = s.where(F.col("v") <= F.col(hi)).groupBy(*ids, n, v.alias("v")).agg(F.count("*").alias("c"))
+        upto = F.sum("c").over(Window.partitionBy(*ids).orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0))
         h = (F.col(n) - 1) * F.col("pct") / 100.0
-
-        def at(rank: Column) -> Column:
-            step = F.aggregate("vs", F.struct((rank - F.col("below")).cast("bigint").alias("left"), F.lit(None).cast("double").alias("got")), lambda a, x: F.when(a["got"].isNotNull(), a).otherwise(F.struct((a["left"] - x["c"]).alias("left"), F.when(a["left"] - x["c"] <= 0, x["v"]).alias("got"))))
-            return step["got"]
-
-        a, c = at(F.floor(h) + 1), at(F.ceil(h) + 1)
-        return below.join(run, ids).select(*ids, (a + (c - a) * (h - F.floor(h))).alias("d" if own else "o"))
+        c = c.withColumn("upto", upto).where("v IS NOT NULL")
+        at = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("v")))
+        c = c.groupBy(*ids, n).agg(at(F.floor(h) + 1).alias("a"), at(F.ceil(h) + 1).alias("c"))
+        return c.select(*ids, (F.col("a") + (F.col("c") - F.col("a")) * (h - F.floor(h))).alias("d" if own else "o"))
 
     ids = [key, "property", day, "pct"]
     both = side(True, "d_lo", "d_hi", "n_day").join(side(False, "o_lo", "o_hi", "n_rest"), ids)

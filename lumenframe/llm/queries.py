@@ -99,18 +99,15 @@ def p2_kept(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _objects(spark: SparkSession, d: str, props: list[str], keys: list[str]) -> DataFrame:
-    """Objects without their repeats. Rows meet by compound and a salt, which the repeats of a row share."""
-    from lumenframe.runtime import partitions
-
+    """Objects without their repeats, which agree in all but the time of arrival; rows meet by their whole content, so a
+    compound with many rows is spread like any other."""
     t = table(spark, d, "image_properties").where(F.col("compound").isNotNull())
-    t = t.select("compound", F.pmod(F.xxhash64("image_index"), F.lit(8)).cast("int").alias("_salt"), "image_index", "object_no", *[k for k in keys if k != "compound"], *props)
-    return t.repartition(partitions(spark), "compound", "_salt").distinct()
+    return t.select("compound", "image_index", "object_no", *[k for k in keys if k != "compound"], *props).distinct()
 
 
-def daily_sketches(spark: SparkSession, d: str, props: list[str]) -> DataFrame:
+def daily_sketches(spark: SparkSession, d: str, props: list[str], k: int = quantiles.K, b: int = quantiles.B) -> DataFrame:
     keys = ["compound", "run_day"]
-    objects = _objects(spark, d, props, keys).select(*keys, *props)
-    return quantiles.merge_sketches(quantiles.sketch_partitions(objects, keys, props), keys)
+    return quantiles.sketch_by_group(_objects(spark, d, props, keys).select(*keys, *props), keys, props, k, b)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -129,6 +126,21 @@ def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.percentiles(all_days, ["compound"], [5, 25, 50, 75, 95])
 
 
+def p3_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Small buffers, so that groups collapse even in small tables: whether each answer keeps the error it states."""
+    k, b, props = 16, 4, PROPERTIES[:4]
+    s = quantiles.merge_sketches(daily_sketches(spark, d, props, k, b).drop("run_day"), ["compound"], k, b)
+    q = materialize(quantiles.percentiles(s, ["compound"], [25, 50, 75], k, b), "percentiles")
+    o = _objects(spark, d, props, ["run_day"])
+    v = o.select("compound", F.explode(F.array(*[F.struct(F.lit(p).alias("property"), F.col(p).alias("v")) for p in props])).alias("x")).select("compound", "x.property", "x.v")
+    v = v.where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf"))).join(q, ["compound", "property"])
+    ids = ["compound", "property", "pct", "n", "value", "rank_error"]
+    r = v.groupBy(*ids).agg(F.count(F.when(F.col("v") < F.col("value"), 1)).alias("under"), F.count(F.when(F.col("v") <= F.col("value"), 1)).alias("upto"))
+    rank = F.greatest(F.lit(1), F.ceil(F.col("pct") * F.col("n") / 100))
+    held = F.greatest(F.col("under") + 1 - rank, rank - F.col("upto"), F.lit(0)) <= F.col("rank_error")
+    return r.select("compound", "property", "pct", "n", held.alias("held"), ((F.col("rank_error") > 0) | (F.col("n") < 2 * k * b)).alias("collapsed"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked(table(spark, d, "documents"), table(spark, d, "benchmark_items")).select("doc_id", "item_id")
 
@@ -201,7 +213,7 @@ def _planted_rows() -> list[tuple[int, int, int]]:
     return out
 
 
-QUERIES = {f.__name__: f for f in (p1_subset, p1_cover, p2_found, p2_splits, p2_shares, p2_kept, p3_found, p3_percentiles, p4_found, p4_clusters, p5_found, p5_neighbours, p5_every, p5_recall, p6_found, p6_items, p6_planted, p7_found, p7_mix, p7_plan, p7_limits, p8_found, p8_planted)}
+QUERIES = {f.__name__: f for f in (p1_subset, p1_cover, p2_found, p2_splits, p2_shares, p2_kept, p3_found, p3_percentiles, p3_bounds, p4_found, p4_clusters, p5_found, p5_neighbours, p5_every, p5_recall, p6_found, p6_items, p6_planted, p7_found, p7_mix, p7_plan, p7_limits, p8_found, p8_planted)}
 
 _VEC = """vec AS (SELECT image_index, any_value(embedding)::DOUBLE[] AS e FROM image_vectors WHERE len(embedding) = 128
   AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0)) GROUP BY 1),
@@ -237,6 +249,7 @@ SELECT DISTINCT image_index, group_batch FROM (SELECT image_index, coalesce(n.b,
     "p5_recall": f"WITH {_VEC} SELECT count(*) AS queries, true AS enough FROM unit WHERE i % 50 = 0",
     "p2_kept": "SELECT split_name, true AS whole, true AS near FROM split_targets",
     "p1_cover": f"WITH {_VEC} SELECT greatest(1, (SELECT count(*) FROM image_vectors) // 10)::BIGINT AS chosen, 0::BIGINT AS repeated, 0::BIGINT AS kinds_missed, true AS crowds_cut",
+    "p3_bounds": f"WITH {_values(PROPERTIES[:4])}, g AS (SELECT compound, property, count(*) AS n FROM val GROUP BY ALL) SELECT compound, property, pct::INTEGER AS pct, n, true AS held, true AS collapsed FROM g, (VALUES (25), (50), (75)) p(pct)",
     "p8_planted": "SELECT doc_id::BIGINT AS doc_id, start_char, end_char FROM (VALUES " + ", ".join(map(str, _planted_rows())) + ") t(doc_id, start_char, end_char)",
     "p5_neighbours": f"WITH {_VEC} SELECT a AS query, b AS neighbour, s AS similarity, r::INTEGER AS rank FROM (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM pair WHERE a % 50 = 0) WHERE r <= 10",
     # any measure of length gives the same cases, so bytes stand for tokens

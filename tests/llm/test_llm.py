@@ -276,6 +276,27 @@ def test_sketch_error_is_bounded(n):
     assert n > 4096 or total.bound() == 0
 
 
+def test_buffer_size_keeps_the_error_asked_for():
+    rng = np.random.default_rng(8)
+    for n, error in ((20_000, 0.02), (200_000, 0.01), (200_000, 0.002)):
+        k = quantiles.buffer_size(error, n)
+        total = quantiles.Sketch(k)
+        for part in np.array_split(rng.normal(size=n), 37):
+            s = quantiles.Sketch(k)
+            s.add(part)
+            total.merge(quantiles.Sketch.load(*s.row(), k))
+        assert total.n == n and total.bound() <= error * n
+
+
+@pytest.mark.parametrize("fan_in", [64, 2])
+def test_sketches_of_a_hot_group_merge_by_a_tree(spark, monkeypatch, fan_in):
+    monkeypatch.setattr(quantiles, "FAN_IN", fan_in)
+    t = spark.range(30_000, numPartitions=9).select(F.when(F.col("id") % 3 == 0, "rare").otherwise("hot").alias("g"), F.pmod(F.xxhash64("id"), F.lit(10**6)).cast("double").alias("x"))
+    r = {x["g"]: x for x in quantiles.percentiles(quantiles.sketch_by_group(t, ["g"], ["x"], 64, 4), ["g"], [50], 64, 4).collect()}
+    x = np.sort([v["x"] for v in t.where("g = 'hot'").collect()])
+    assert r["hot"]["n"] == 20_000 and abs(np.searchsorted(x, r["hot"]["value"]) - 10_000) <= r["hot"]["rank_error"] + 1
+
+
 def test_percentiles_by_group(spark):
     rows = [("a", 1, float(i % 97), None) for i in range(500)] + [("a", 2, float("nan"), 1.0), ("b", 1, float("inf"), 2.0), (None, 1, 3.0, 1e300)]
     t = spark.createDataFrame(rows, "compound string, run_day int, area double, perimeter double").withColumn("n", F.lit(1)).withColumn("err", F.lit(2))
