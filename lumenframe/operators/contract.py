@@ -94,3 +94,9 @@ def column_profile(df: DataFrame, cols: list[str]) -> DataFrame:
         kind = "discrete" if not num or c.lower() in ("cluster", "class") or whole and d <= 256 else "continuous"
         rows.append((c, d, r["n"], whole, kind, d >= 2 and not (kind == "discrete" and r["n"] > 10 and d > 0.9 * r["n"])))
     return df.sparkSession.createDataFrame(rows, "column string, n_distinct bigint, n_rows bigint, all_whole boolean, kind string, informative boolean")
+
+
+def compact_types(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Doubles stored smaller: columns whose finite values are all whole become bigint, others float (NaN and infinities stay)."""
+    whole = df.agg(*[F.min(F.when(F.col(c).isNotNull(), (F.col(c) == F.floor(c)) & (F.abs(c) < 2.0**53))).alias(c) for c in cols]).first()
+    return df.withColumns({c: F.col(c).cast("bigint" if whole[c] else "float") for c in cols})

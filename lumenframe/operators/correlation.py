@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from lumenframe.functions.special import digamma
 from lumenframe.operators.predicates import finite_or_null
 from lumenframe.operators.stats import long_properties
+from lumenframe.runtime import materialize, partitions
 
 
 def pearson(x: Column, y: Column, least: int = 3) -> Column:
@@ -73,28 +74,57 @@ def correlation_summary(corr: DataFrame) -> DataFrame:
     return ok.groupBy("property").agg(F.avg("r").alias("mean_r"), F.stddev_pop("r").alias("std_r"), F.avg(F.abs("r")).alias("mean_abs_r"), F.max(F.abs("r")).alias("max_abs_r"), F.min(F.abs("r")).alias("min_abs_r"))
 
 
-def average_rank(col: str, by: list[str]) -> Column:
-    """1-based rank, ties sharing their mean rank."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    return F.rank().over(w.orderBy(col)) + (F.count("*").over((Window.partitionBy(*by, col))) - 1) / 2.0
+def ranks(df: DataFrame, by: list[str], col: str) -> DataFrame:
+    """``(*by, col, rank)``: the 1-based rank of each distinct value within its group, ties sharing their mean rank.
+
+    Values are counted, range-partitioned by group and value, and numbered within their range; the counts of the ranges
+    before, one number a range and group, are added. No task sorts a whole column or group. Nulls have no rank.
+    """
+    c = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("_c"))
+    r = materialize(c.repartitionByRange(partitions(df.sparkSession), *by, col).withColumn("_p", F.spark_partition_id()), "ranks")
+    before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    base = r.groupBy("_p", *by).agg(F.sum("_c").alias("_n")).select("_p", *[F.col(b).alias(f"_b_{b}") for b in by], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    run = F.sum("_c").over(Window.partitionBy("_p", *by).orderBy(col).rowsBetween(Window.unboundedPreceding, 0))
+    on = F.col("a._p") == F.col("b._p")
+    for b in by:
+        on = on & F.col(f"a.{b}").eqNullSafe(F.col(f"b._b_{b}"))
+    j = r.withColumn("_run", run).alias("a").join(F.broadcast(base).alias("b") if not by else base.alias("b"), on)
+    return j.select(*[F.col(f"a.{b}").alias(b) for b in by], F.col(f"a.{col}").alias(col), (F.col("_base") + F.col("_run") - F.col("_c") + (F.col("_c") + 1) / 2.0).alias("rank"))
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
-    """Spearman's rho of finite pairs per group."""
+    """Spearman's rho of finite pairs per group; ranks are looked up by value, so hot values are joined like any other."""
     by = by or []
     d = df.select(*by, finite_or_null(F.col(x)).alias("x"), finite_or_null(F.col(y)).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
-    d = d.withColumn("rx", average_rank("x", by)).withColumn("ry", average_rank("y", by))
+    for c in "xy":
+        r = ranks(d, by, c).select(*[F.col(b).alias(f"_{b}") for b in by], F.col(c).alias("_v"), F.col("rank").alias(f"r{c}"))
+        on = F.col(c) == F.col("_v")
+        for b in by:
+            on = on & F.col(b).eqNullSafe(F.col(f"_{b}"))
+        d = d.join(r, on).drop("_v", *[f"_{b}" for b in by])
     agg = [F.count("*").alias("n"), pearson(F.col("rx"), F.col("ry")).alias("rho")]
     return d.groupBy(*by).agg(*agg) if by else d.agg(*agg)
 
 
-def component_correlation(components: DataFrame, comps: list[str], images: DataFrame, props: list[str], key: str = "image_index") -> DataFrame:
-    """``property, component_1..k``: Pearson with each component, pairwise complete."""
+def component_correlation(components: DataFrame, comps: list[str], images: DataFrame, props: list[str], key: str = "image_index", method: str = "pearson") -> DataFrame:
+    """``property, component_1..k``: the correlation with each component, pairwise complete."""
     j = components.select(key, *comps).join(images.select(key, *props), key)
+    if method != "pearson":
+        pairs = [F.struct(F.lit(p).alias("property"), F.lit(c).alias("component"), finite_or_null(F.col(p)).alias("x"), finite_or_null(F.col(c)).alias("y")) for p in props for c in comps]
+        long = j.select(F.explode(F.array(*pairs)).alias("x")).select("x.*").where("x IS NOT NULL AND y IS NOT NULL")
+        r = correlate_groups(long, ["property", "component"], method)
+        return r.groupBy("property").agg(*[F.max(F.when(F.col("component") == c, F.col("r"))).alias(c) for c in comps])
     one = j.agg(*[pearson(F.col(p), F.col(c)).alias(f"{p}|{c}") for p in props for c in comps])
     return one.select(F.explode(F.array(*[F.struct(F.lit(p).alias("property"), *[F.col(f"`{p}|{c}`").alias(c) for c in comps]) for p in props])).alias("x")).select("x.*")
 
 
+def top_correlations(corr: DataFrame, comps: list[str], k: int = 10) -> DataFrame:
+    """``(component, property, correlation, rank)``: the ``k`` properties with the largest correlations of each component."""
+    long = corr.select("property", F.explode(F.array(*[F.struct(F.lit(c).alias("component"), F.col(c).alias("correlation")) for c in comps])).alias("x")).select("x.component", "property", "x.correlation")
+    w = Window.partitionBy("component").orderBy(F.desc_nulls_last(F.abs("correlation")), "property")
+    return long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 # --- methods that need whole columns of a group ---------------------------------------------------------------------
 
 

@@ -93,6 +93,13 @@ def distance_summary(d: DataFrame, group_by: list[str], lo: float | None = None,
     return x.groupBy(*group_by).agg(F.avg("distance").alias("mean"), F.stddev_samp("distance").alias("std"), F.min("distance").alias("min"), F.max("distance").alias("max"), F.count("*").alias("count"))
 
 
+def distribution(d: DataFrame, group: str | None = None, reference: bool = False, key: str = "image_index") -> DataFrame:
+    """``(key, group, is_reference, distance)`` for plots of distances: rows with one, without the reference unless asked."""
+    x = d.where(F.col("distance").isNotNull() & (F.lit(reference) | ~F.col("is_reference")))
+    g = F.lit("All") if group is None else F.coalesce(F.nullif(F.trim(F.col(group).cast("string")), F.lit("")), F.lit("N/A"))
+    return x.select(key, g.alias("group"), "is_reference", "distance")
+
+
 def extremes(d: DataFrame, n: int, key: str = "image_index") -> DataFrame:
     """The n closest and n farthest rows, ties by key; a top-k, so no full sort."""
     x = d.where("distance IS NOT NULL").select(key, "distance")

@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.operators.correlation import ranks
 from lumenframe.operators.predicates import finite_or_null
-
-
-def _prepared(df: DataFrame, props: list[str], target: str, key: str, folds: int) -> DataFrame:
-    d = df.select(key, *[finite_or_null(F.col(p)).alias(p) for p in props], finite_or_null(F.col(target)).alias("_y")).na.drop()
-    return d.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)).cast("int"))
+from lumenframe.runtime import materialize
+
+
+def _prepared(df: DataFrame, props: list[str], target: str, key: str, folds: int, stratify: str | None = None) -> DataFrame:
+    """Complete rows with a fold by the hash of their key. With ``stratify`` the rows of each label take the folds in turn, in
+    hash order; a missing label is one too. Where a label has fewer rows than folds, labels are not used (with a warning)."""
+    label = [] if stratify is None else [F.coalesce(F.col(stratify).cast("string"), F.lit("__missing__")).alias("_label")]
+    d = df.select(key, *[finite_or_null(F.col(p)).alias(p) for p in props], finite_or_null(F.col(target)).alias("_y"), *label).na.drop()
+    plain = d.drop("_label").withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)).cast("int"))
+    if stratify is None:
+        return plain
+    least = d.groupBy("_label").agg(F.count("*").alias("n")).agg(F.min("n")).first()[0]
+    if least is None or least < folds:
+        warnings.warn(f"a label of {stratify} has fewer rows than there are folds; folds don't follow it", stacklevel=3)
+        return plain
+    d = materialize(d.withColumn("_h", F.xxhash64(key)), "labelled")
+    r = ranks(d, ["_label"], "_h").withColumnsRenamed({"_label": "_l", "_h": "_g"})
+    return d.join(r, (F.col("_label") == F.col("_l")) & (F.col("_h") == F.col("_g"))).withColumn("fold", F.pmod(F.floor("rank"), F.lit(folds)).cast("int")).drop("_label", "_l", "_h", "_g", "rank")
 
 
 def _folds(d: DataFrame, props: list[str]) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
@@ -61,15 +77,16 @@ def _r2(part: tuple, mean: np.ndarray, sd: np.ndarray, w: np.ndarray) -> tuple[f
     return float(res), float(x[-1, -1] - 2 * mean[-1] * s[-1] + n * mean[-1] ** 2)
 
 
-def lasso_axis(df: DataFrame, props: list[str], target: str, key: str = "image_index", folds: int = 5, alphas: int = 40) -> tuple[DataFrame, float | None]:
+def lasso_axis(df: DataFrame, props: list[str], target: str, key: str = "image_index", folds: int = 5, alphas: int = 40, stratify: str | None = None) -> tuple[DataFrame, float | None]:
     """(``(feature, weight)`` of non-zero weights by size, out-of-fold R2 or None).
 
     The path of penalties is chosen by the mean out-of-fold error. One pass gathers each fold's cross products; the model
-    is solved on those, so rows are never collected. Fewer than 2 rows per fold give no features.
+    is solved on those, so rows are never collected. Folds may follow a label (``stratify``). No features where there are
+    fewer rows than the folds of folds need: max(folds + 1, folds (folds + 1) / (folds - 1)).
     """
-    f = _folds(_prepared(df, props, target, key, folds), props)
+    f = _folds(_prepared(df, props, target, key, folds, stratify), props)
     spark = df.sparkSession
-    if len(f) < 2 or sum(p[0] for p in f.values()) < 2 * folds:
+    if len(f) < 2 or sum(p[0] for p in f.values()) < max(folds + 1, -(-folds * (folds + 1) // max(folds - 1, 1))):
         return spark.createDataFrame([], "feature string, weight double"), None
     _, _, g = _standard(list(f.values()))
     top = max(np.abs(g[:-1, -1]).max(), 1e-9)

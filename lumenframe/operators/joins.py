@@ -35,6 +35,15 @@ def align_by_index(left: DataFrame, right: DataFrame, key: str = "image_index")
     return left.join(right, key)
 
 
+def rows_align(left: DataFrame, right: DataFrame, key: str = "image_index", path: str = "image_path") -> bool:
+    """Whether two tables have the same keys, each once, and files of the same name under them (case and folders aside)."""
+    name = lambda c: F.lower(F.element_at(F.split(posix(F.col(c)), "/"), -1))
+    a = left.groupBy(key).agg(F.count("*").alias("_n"), F.min(name(path)).alias("_a"))
+    b = right.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_m"), F.min(name(path)).alias("_b"))
+    off = a.join(b, F.col(key) == F.col("_k"), "full_outer").where(~(F.col("_n").eqNullSafe(F.lit(1)) & F.col("_m").eqNullSafe(F.lit(1)) & F.col("_a").eqNullSafe(F.col("_b"))))
+    return off.isEmpty()
+
+
 def not_done(catalog: DataFrame, done: DataFrame, key: str, require_overlap: bool = False) -> DataFrame:
     """Rows of the catalog whose key is not stored yet; null keys count as not stored."""
     if require_overlap and not done.isEmpty() and catalog.join(done, key, "left_semi").isEmpty():

@@ -179,13 +179,16 @@ def umap(x: np.ndarray, k: int = 2, neighbours: int = 15, min_dist: float = 0.1,
 def reduce_dimensions(df: DataFrame, key: str, vec: str, dim: int, method: str = "pca", k: int = 2, sample: int | None = None, seed: int = 42, **options) -> DataFrame:
     """``(key, component_1..k)``. ``sample`` bounds the rows; PCA takes all without it. t-SNE and UMAP map at most SAMPLE rows
     chosen by hash (the methods are for maps of a few thousand points), in one task of numpy. Without ``sample`` every other
-    row is placed at the mean of its PLACE nearest mapped rows, weighted by 1 / distance, so each row has coordinates."""
+    row is placed at the mean of its PLACE nearest mapped rows, weighted by 1 / distance, so each row has coordinates. A larger
+    ``sample`` is an error."""
     if method == "pca":
         d = hash_sample(df, key, sample, seed) if sample else df
         return pca(d, vec, dim, k).transform(d, key, vec)
     if method not in ("tsne", "umap"):
         raise ValueError(f"unknown method {method!r}")
-    d = hash_sample(df.where(F.col(vec).isNotNull()).select(key, vec), key, min(sample or SAMPLE, SAMPLE), seed)
+    if sample and sample > SAMPLE:
+        raise ValueError(f"{method} maps at most {SAMPLE} rows; without sample the others are placed by these")
+    d = hash_sample(df.where(F.col(vec).isNotNull()).select(key, vec), key, sample or SAMPLE, seed)
     names = [f"component_{i + 1}" for i in range(k)]
     kind = df.schema[key].dataType.simpleString()
     f = {"tsne": tsne, "umap": umap}[method]

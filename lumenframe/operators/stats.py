@@ -65,9 +65,10 @@ def crosstab(df: DataFrame, row: str, col: str, values: list[str]) -> DataFrame:
 
 
 def nan_profile(df: DataFrame, props: list[str]) -> DataFrame:
-    """``(property, n_missing, n_rows)``."""
-    long = long_properties(df, [], props)
-    return long.groupBy("property").agg(F.count(F.when(F.col("value").isNull(), 1)).alias("n_missing"), F.count("*").alias("n_rows"))
+    """``(property, n_missing, n_rows)``; one row of counts is turned, the data is not."""
+    one = df.agg(F.count("*").alias("_n"), *[F.count(finite_or_null(F.col(p))).alias(f"_c{i}") for i, p in enumerate(props)])
+    cells = [F.struct(F.lit(p).alias("property"), (F.col("_n") - F.col(f"_c{i}")).alias("n_missing"), F.col("_n").alias("n_rows")) for i, p in enumerate(props)]
+    return one.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
 
 
 def distinct_values(df: DataFrame, col: str) -> DataFrame:
@@ -108,8 +109,10 @@ def confidence_band(df: DataFrame, group_by: list[str], value: str, level: float
 
 def moments_by_group(df: DataFrame, group: str, props: list[str]) -> DataFrame:
     """``(group, property, n, mean, m2)`` with m2 the sum of squared deviations; missing groups are dropped."""
-    long = long_properties(df.where(F.col(group).isNotNull()), [group], props).where("value IS NOT NULL")
-    return long.groupBy(group, "property").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), (F.var_pop("value") * F.count("*")).alias("m2"))
+    x = {i: finite_or_null(F.col(p)) for i, p in enumerate(props)}
+    g = df.where(F.col(group).isNotNull()).groupBy(group).agg(*[a for i, c in x.items() for a in (F.count(c).alias(f"_n{i}"), F.avg(c).alias(f"_m{i}"), F.var_pop(c).alias(f"_v{i}"))])
+    cells = [F.struct(F.lit(p).alias("property"), F.col(f"_n{i}").alias("n"), F.col(f"_m{i}").alias("mean"), (F.col(f"_v{i}") * F.col(f"_n{i}")).alias("m2")) for i, p in enumerate(props)]
+    return g.select(group, F.explode(F.array(*cells)).alias("x")).select(group, "x.*").where("n > 0")
 
 
 def group_enrichment(df: DataFrame, group: str, props: list[str], alpha: float = 0.05, with_p: bool = True) -> DataFrame:
@@ -139,6 +142,17 @@ def group_enrichment(df: DataFrame, group: str, props: list[str], alpha: float =
     return benjamini_hochberg(out.withColumn("p_value", t_pvalue(F.col("t"), F.col("df"))), "p_value", alpha)
 
 
+def sorted_enrichment(e: DataFrame) -> DataFrame:
+    """By group, then by the size of the score."""
+    return e.orderBy("group", F.desc(F.abs("score")), "property")
+
+
+def top_enriched(e: DataFrame, n: int = 5) -> DataFrame:
+    """The ``n`` properties of each group with the largest scores by size: adds ``rank``."""
+    w = Window.partitionBy("group").orderBy(F.desc(F.abs("score")), "property")
+    return e.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
 def benjamini_hochberg(df: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
     """Adds ``significant``: p at most the largest p(k) with p(k) <= k/m alpha. Rows without p are not significant.
 

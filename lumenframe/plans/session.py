@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
+from functools import reduce as fold
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +14,22 @@ from pyspark.sql import functions as F
 from lumenframe.functions import image_properties as ip
 from lumenframe.functions.vectors import l2_normalize
 from lumenframe.operators import batch, cluster, contract, correlation, distance, explain, joins, predicates, reduce, stats
+from lumenframe.runtime import materialize
 from lumenframe.sources import discovery, images, store
 
 
+class ImageFailures(RuntimeError):
+    """Some images could not be processed; the others are stored."""
+
+    def __init__(self, n: int, some: list[tuple[int, str]]):
+        super().__init__(f"{n} images could not be processed, such as {some}")
+        self.n, self.some = n, some
+
+
+def reduce_or(tests: list) -> Any:
+    return fold(lambda a, b: a | b, tests)
+
+
 @dataclass(frozen=True)
 class Session:
     """``catalog`` (image_index, image_path, metadata), ``embeddings`` (image_index, embedding), ``properties``
@@ -24,6 +39,7 @@ class Session:
     embeddings: DataFrame | None = None
     properties: DataFrame | None = None
     dim: int | None = None
+    batch_stats: DataFrame | None = None
     log: tuple = field(default_factory=tuple)
 
     # --- building -----------------------------------------------------------------------------------------------------
@@ -38,11 +54,12 @@ class Session:
 
     @staticmethod
     def load(st: store.ResultStore) -> Session:
-        s = Session(st.read("catalog"), *[st.read(n) if st.has(n) else None for n in ("embeddings", "properties")])
+        got = {n: st.read(n) if st.has(n) else None for n in ("embeddings", "properties", "batch_stats")}
+        s = Session(st.read("catalog"), **got)
         return s._with_dim()._did("load", path=st.path)
 
     def save(self, st: store.ResultStore) -> None:
-        for name in ("catalog", "embeddings", "properties"):
+        for name in ("catalog", "embeddings", "properties", "batch_stats"):
             t = getattr(self, name)
             if t is not None:
                 st.write(name, t)
@@ -58,24 +75,64 @@ class Session:
 
     # --- computing ----------------------------------------------------------------------------------------------------
 
-    def process_images(self, root: str, make_model, filters: dict | None = None, exclude: dict | None = None, **options) -> Session:
-        """Embeddings of images that have none yet."""
+    def process_images(self, root: str | None, make_model, filters: dict | None = None, exclude: dict | None = None, st: store.ResultStore | None = None, force: bool = False, **options) -> Session:
+        """Embeddings of images that have none yet; with ``force`` of all that pass the filters, in place of older ones.
+
+        With a store the settings must be those of earlier runs, and what could be computed is committed; if images failed,
+        ImageFailures is raised after that. Without one failed images leave the catalog, with a warning.
+        """
         todo = predicates.file_table_filter(self.catalog, filters, exclude)
-        if self.embeddings is not None:
-            todo = joins.not_done(todo, self.embeddings, "image_index")
-        new = images.extract_embeddings(images.read_files(todo, root), make_model, **options).where("error IS NULL").drop("error")
-        both = new if self.embeddings is None else self.embeddings.unionByName(new)
-        return replace(self, embeddings=both)._with_dim()._did("process_images", filters=filters, exclude=exclude)
-
-    def compute_properties(self, root: str, preset: str = "standard", extra: list | None = None, channels: list[str] | None = None) -> Session:
-        masks = None
-        if "mask_path" in self.catalog.columns:
-            m = self.catalog.where("mask_path IS NOT NULL").select("image_index", F.col("mask_path").alias("image_path"))
-            masks = images.read_files(m, root)
-        got = images.compute_properties(images.read_files(self.catalog, root), masks, ip.preset(preset) + (extra or []), channels).drop("error")
+        done = self.embeddings if st is None or not st.has("embeddings") else st.read("embeddings")
+        if done is not None and not force:
+            todo = joins.not_done(todo, done, "image_index")
+        settings = {k: options[k] for k in ("size", "channel_mode") if k in options}
+        if st is not None:
+            st.validate_params(settings)
+        got = materialize(images.extract_embeddings(todo, make_model, root=root, **options), "embeddings")
+        new, lost = got.where("error IS NULL").drop("error"), got.where("error IS NOT NULL")
+        if done is None:
+            both = new
+        else:
+            both = (done.join(new, "image_index", "left_anti") if force else done).unionByName(new)
+        if st is not None:
+            if done is None or not force:
+                st.append("embeddings", new)
+            else:
+                st.write("embeddings", both)
+            st.set_params({**st.params(), **settings})
+            both = st.read("embeddings")
+        s = replace(self, embeddings=both)._with_dim()._did("process_images", filters=filters, exclude=exclude, force=force)
+        n = lost.count()
+        if not n:
+            return s
+        some = [(r["image_index"], r["error"]) for r in lost.orderBy("image_index").limit(3).collect()]
+        if st is not None:
+            raise ImageFailures(n, some)
+        warnings.warn(f"{n} images could not be read and leave the catalog, such as {some}", stacklevel=2)
+        return replace(s, catalog=self.catalog.join(lost.select("image_index"), "image_index", "left_anti"))
+
+    def append(self, cohort: DataFrame) -> Session:
+        """The catalog with the images of another one whose paths it lacks."""
+        return replace(self, catalog=joins.append_new(self.catalog, cohort)[0])._did("append")
+
+    def compute_properties(self, root: str | None, preset: str = "standard", extra: list | None = None, channels: list[str] | None = None) -> Session:
+        """Properties by preset and own functions; an image that cannot be read has nulls, with a warning."""
+        mask = "mask_path" if "mask_path" in self.catalog.columns else None
+        got = materialize(images.compute_properties(self.catalog, ip.preset(preset) + (extra or []), channels, root, mask), "properties")
+        n = got.where("error IS NOT NULL").count()
+        if n:
+            warnings.warn(f"{n} images could not be measured", stacklevel=2)
+        got = got.drop("error")
         both = got if self.properties is None else joins.merge_properties(self.properties, got)
         return replace(self, properties=both)._did("compute_properties", preset=preset)
 
+    def reset_properties(self) -> Session:
+        return replace(self, properties=None)._did("reset_properties")
+
+    def reset(self) -> Session:
+        """The catalog alone."""
+        return Session(self.catalog)._did("reset")
+
     # --- features -----------------------------------------------------------------------------------------------------
 
     def property_names(self) -> list[str]:
@@ -143,16 +200,24 @@ class Session:
         return stats.top_properties_different(self.catalog.select("image_index", group_by).join(self.properties, "image_index"), group_by, reference, self.property_names(), k, metric)
 
     def group_enrichment(self, group_by: str = "cluster", props: list[str] | None = None) -> DataFrame:
+        return stats.sorted_enrichment(self._enrichment(group_by, props))
+
+    def _enrichment(self, group_by: str, props: list[str] | None = None) -> DataFrame:
         return stats.group_enrichment(self.catalog.select("image_index", group_by).join(self.properties, "image_index"), group_by, props or self.property_names())
 
     def embedding_property_correlations(self, props: list[str] | None = None, method: str = "pearson", normalize: bool = True) -> DataFrame:
         j = self.embeddings.join(self.properties, "image_index")
         return correlation.embedding_property_correlations(j, "embedding", props or self.property_names(), self.dim, method, normalize)
 
-    def component_correlation(self, method: str = "pca", k: int = 2, props: list[str] | None = None) -> DataFrame:
+    def component_correlation(self, method: str = "pca", k: int = 2, props: list[str] | None = None, correlation_method: str = "pearson") -> DataFrame:
         f, dim = self.features()
         y = reduce.reduce_dimensions(f, "image_index", "features", dim, method, k)
-        return correlation.component_correlation(y, [f"component_{i + 1}" for i in range(k)], self.properties, props or self.property_names())
+        return correlation.component_correlation(y, [f"component_{i + 1}" for i in range(k)], self.properties, props or self.property_names(), method=correlation_method)
+
+    def embedding_frame(self, method: str = "pca", k: int = 2, max_points: int = 1_000_000, **options) -> DataFrame:
+        """Components beside the catalog, for a map: at most ``max_points`` images, chosen by hash."""
+        y = self.reduce(method, k, **options)
+        return y if y.count() <= max_points else reduce.hash_sample(y, "image_index", max_points)
 
     def interpret_axis(self, axis: int = 1, model: str = "lasso", method: str = "pca", props: list[str] | None = None) -> tuple[DataFrame, float | None]:
         """Properties that explain a component; properties with missing values are left out."""
@@ -164,16 +229,29 @@ class Session:
         run = {"lasso": explain.lasso_axis, "forest": explain.forest_axis}[model]
         return run(y.join(p, "image_index"), names, f"component_{axis}")
 
-    def correct_batches(self, batch_key: str, controls: dict | None = None, method: str = "sphering", **options) -> tuple[Session, DataFrame]:
-        """Corrected embeddings, and the statistics; a second correction must be asked for with ``force=True``."""
-        if any(x["step"] == "correct_batches" for x in self.log) and not options.pop("force", False):
-            raise ValueError("the embeddings are corrected already")
+    def correct_batches(self, batch_key: str, controls: dict | None = None, method: str = "sphering", source: str = "embeddings", props: list[str] | None = None, **options) -> tuple[Session, DataFrame]:
+        """Corrected embeddings (or properties), and the statistics, which the session keeps; a second correction must be
+        asked for with ``force=True``. A property that is not finite in some row is an error."""
+        if any(x["step"] == "correct_batches" and x["source"] == source for x in self.log) and not options.pop("force", False):
+            raise ValueError(f"the {source} are corrected already")
         options.pop("force", None)
         ctl = predicates.metadata_filter(self.catalog, controls).select("image_index", F.lit(True).alias("_ctl"))
-        j = self.embeddings.join(self.catalog.select("image_index", batch_key), "image_index").join(ctl, "image_index", "left")
-        out, st = batch.correct_batches(j, batch_key, "embedding", self.dim, F.coalesce("_ctl", F.lit(False)), method, **options)
-        e = out.select("image_index", F.col("corrected").alias("embedding"))
-        return replace(self, embeddings=e)._did("correct_batches", key=batch_key, method=method), st
+        if source == "embeddings":
+            rows, dim = self.embeddings.select("image_index", "embedding"), self.dim
+        elif source == "properties":
+            names = contract.match_names(props or self.property_names(), self.property_names())
+            if self.properties.where(reduce_or([predicates.finite_or_null(F.col(n)).isNull() for n in names])).limit(1).count():
+                raise ValueError("properties to correct must be finite in every row")
+            rows, dim = self.properties.select("image_index", F.array(*[F.col(n).cast("double") for n in names]).alias("embedding")), len(names)
+        else:
+            raise ValueError(f"unknown source {source!r}")
+        j = rows.join(self.catalog.select("image_index", batch_key), "image_index").join(ctl, "image_index", "left")
+        out, st = batch.correct_batches(j, batch_key, "embedding", dim, F.coalesce("_ctl", F.lit(False)), method, **options)
+        done = self._did("correct_batches", key=batch_key, method=method, source=source)
+        if source == "embeddings":
+            return replace(done, embeddings=out.select("image_index", F.col("corrected").alias("embedding")), batch_stats=st), st
+        new = out.select("image_index", *[F.col("corrected")[i].alias(n) for i, n in enumerate(names)])
+        return replace(done, properties=self.properties.drop(*names).join(new, "image_index", "left"), batch_stats=st), st
 
     def process_temporal(self, new: DataFrame) -> Session:
         """Session rows with embeddings; cleared by :meth:`clear_temporal`."""
@@ -195,5 +273,9 @@ class Session:
             t = t.join(self.embeddings, "image_index", "left")
         return store.export_frame(contract.tier_a(t), distances, "embedding" if include_embeddings else None, self.dim)
 
-    def export(self, path: str, distances: DataFrame | None = None, include_embeddings: bool = False, fmt: str | None = None) -> str:
+    def export(self, path: str, distances: DataFrame | None = None, include_embeddings: bool | str = False, fmt: str | None = None) -> str:
+        """With ``include_embeddings="separate"`` vectors go as .npy files into a folder beside the table."""
+        if include_embeddings == "separate":
+            store.export_embeddings(self.embeddings, f"{path.rsplit('.', 1)[0]}_embeddings")
+            include_embeddings = False
         return store.export_table(self.table(distances, include_embeddings), path, fmt)

@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lumenframe.functions.text import basename, identifier_keys, path_to_id, posix, strip_full_extension, template_columns
@@ -63,6 +65,32 @@ def template_metadata(files: DataFrame, template: str, path: str = "file_path",
     return out
 
 
+def callable_metadata(files: DataFrame, fn, names: list[str], path: str = "file_path", on_missing: str = "drop") -> DataFrame:
+    """Columns ``names`` (texts) from a function of a path that returns a dict, called in the tasks.
+
+    None, or a ValueError, KeyError or FileNotFoundError, means that a file has no metadata: its row is dropped, or kept
+    with nulls. Any other error ends the job.
+    """
+    if on_missing not in ("drop", "keep"):
+        raise ValueError(f"on_missing must be 'drop' or 'keep', not {on_missing!r}")
+    schema = T.StructType([*files.schema.fields, *[T.StructField(n, T.StringType()) for n in names]])
+
+    def run(batches):
+        for pdf in batches:
+            rows, keep = [], []
+            for p in pdf[path].tolist():
+                try:
+                    got = fn(p)
+                except (ValueError, KeyError, FileNotFoundError):
+                    got = None
+                keep.append(got is not None or on_missing == "keep")
+                rows.append({n: None if (got or {}).get(n) is None else str(got[n]) for n in names})
+            out = pdf.assign(**{n: [r[n] for r in rows] for n in names})
+            yield out[pd.Series(keep, index=out.index, dtype=bool)]
+
+    return files.mapInPandas(run, schema)
+
+
 def lookup_metadata(files: DataFrame, lookup: DataFrame, filename: str | list[str], path: str = "file_path", on_missing: str = "drop") -> DataFrame:
     """Metadata from a table by file name: path, basename, each with and without extension; the most specific match wins.
 
@@ -126,10 +154,32 @@ def resolve_paths(wanted: DataFrame, files: DataFrame, path: str = "image_path")
     return wanted.join(f, F.lower(posix(F.col(path))) == F.col("_k"), "left").drop("_k")
 
 
-def rebase(df: DataFrame, old_root: str, new_root: str, cols: list[str]) -> DataFrame:
-    """Paths under ``old_root`` moved below ``new_root``; others stay. Array columns are mapped."""
+def common_root(df: DataFrame, path: str) -> str:
+    """The longest folder that all paths lie below; what the smallest and the largest share, all share."""
+    r = df.where(F.col(path).isNotNull()).agg(F.min(posix(F.col(path))), F.max(posix(F.col(path)))).first()
+    if r[0] is None:
+        return ""
+    n = next((i for i, (a, b) in enumerate(zip(r[0], r[1])) if a != b), min(len(r[0]), len(r[1])))
+    return r[0][:n].rpartition("/")[0]
+
+
+def rebase_to_current(stored: DataFrame, current: DataFrame, path: str = "image_path", key: str = "image_index") -> DataFrame:
+    """Stored rows with the paths of the current run, where a suffix of both paths names the same file; others stay."""
+    from lumenframe.operators.joins import portable_path_join
+
+    hit = portable_path_join(stored, current.select(F.col(key).alias("_now"), F.col(path).alias("_there")), path, "_there", key, "_now")
+    new = hit.join(current.select(F.col(key).alias("_now"), F.col(path).alias("_there")), "_now").select(key, "_there")
+    return stored.join(new, key, "left").withColumn(path, F.coalesce("_there", path)).drop("_there")
+
+
+def rebase(df: DataFrame, old_root: str | None, new_root: str | None, cols: list[str]) -> DataFrame:
+    """Paths under ``old_root`` (by default the folder all paths of the first column share) moved below ``new_root``; others
+    stay. Without ``new_root`` they become relative. Array columns are mapped."""
+    if old_root is None:
+        old_root = common_root(df, cols[0])
     pat = "^" + re.escape(old_root.rstrip("/")) + "/"
-    f = lambda c: F.regexp_replace(posix(c), pat, new_root.rstrip("/") + "/")
+    to = "" if new_root is None else new_root.rstrip("/").replace("\\", "\\\\").replace("$", "\\$") + "/"
+    f = lambda c: F.regexp_replace(posix(c), pat, to)
     return df.withColumns({c: F.transform(c, f) if df.schema[c].dataType.simpleString().startswith("array") else f(F.col(c)) for c in cols})
 
 
@@ -146,11 +196,14 @@ def catalog_from_table(table: DataFrame) -> DataFrame:
     return index_by_path(t.withColumnRenamed("file_path", "image_path"))
 
 
-def discover(spark: SparkSession, path: str, extensions: list[str] | None = None, template: str | None = None, lookup: DataFrame | None = None, filename: str | list[str] | None = None, on_missing: str = "drop") -> DataFrame:
-    """Scan, extract metadata, merge channels, give ids and indices."""
+def discover(spark: SparkSession, path: str, extensions: list[str] | None = None, template: str | None = None, lookup: DataFrame | None = None, filename: str | list[str] | None = None, on_missing: str = "drop", metadata_fn=None, names: list[str] | None = None) -> DataFrame:
+    """Scan, extract metadata (by template, table, or a function of the path that gives ``names``), merge channels, give ids
+    and indices."""
     f = scan(spark, path, extensions).select("file_path")
     if template:
         f = template_metadata(f, template, on_missing=on_missing)
+    elif metadata_fn is not None:
+        f = callable_metadata(f, metadata_fn, names or [], on_missing=on_missing)
     elif lookup is not None:
         f = lookup_metadata(f, lookup, filename, on_missing=on_missing)
     else:
@@ -176,5 +229,20 @@ def preflight(observed: DataFrame, required: list[str]) -> DataFrame:
     return observed.agg(F.count("*").alias("n"), *tests)
 
 
+def findings(checks: DataFrame) -> DataFrame:
+    """``(level, finding)`` of what :func:`preflight` counted: unreadable files and missing columns are errors, mixed shapes
+    or types warnings. No row where all is well."""
+    lost = [c for c in checks.columns if c.startswith("missing_")]
+    say = lambda level, test, text: F.when(test, F.struct(F.lit(level).alias("level"), text.alias("finding")))
+    all_ = [
+        say("error", F.col("n") == 0, F.lit("no images")),
+        say("error", F.col("n_errors") > 0, F.concat(F.col("n_errors").cast("string"), F.lit(" files cannot be read"))),
+        say("warning", F.col("n_shapes") > 1, F.concat(F.col("n_shapes").cast("string"), F.lit(" different shapes"))),
+        say("warning", F.col("n_dtypes") > 1, F.concat(F.col("n_dtypes").cast("string"), F.lit(" different types"))),
+        *[say("error", F.col(c) > 0, F.concat(F.lit(c.removeprefix("missing_") + " is missing in "), F.col(c).cast("string"))) for c in lost],
+    ]
+    return checks.select(F.explode(F.array_compact(F.array(*all_))).alias("x")).select("x.*")
+
+
 def all_of(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, tests)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -13,13 +14,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions import image_properties as ip
+from lumenframe.runtime import partitions
+
+
+def _unfilter(raw: np.ndarray, step: int) -> np.ndarray:
+    """Rows of filtered bytes (the first of each is the kind) to plain bytes; ``step`` bytes make a pixel."""
+    kinds, rows = raw[:, 0], raw[:, 1:]
+    h, stride = rows.shape
+    if kinds.max(initial=0) > 4:
+        raise ValueError("unknown PNG filter")
+    w = -(-stride // step)
+    x = np.zeros((h + 1, w + 1, step), np.int16)  # a row of zeros above, a pixel of zeros on the left
+    data = np.zeros((h, w * step), np.int16)
+    data[:, :stride] = rows
+    data = data.reshape(h, w, step)
+    if kinds.max(initial=0) <= 2:
+        for y in range(h):
+            x[y + 1, 1:] = np.cumsum(data[y], axis=0, dtype=np.int64) & 255 if kinds[y] == 1 else (data[y] + (x[y, 1:] if kinds[y] == 2 else 0)) & 255
+    else:
+        # a pixel needs those to its left and above: all pixels of a diagonal are ready together
+        for d in range(h + w - 1):
+            y = np.arange(max(0, d - w + 1), min(h - 1, d) + 1)
+            c = d - y
+            left, up, corner, k = x[y + 1, c], x[y, c + 1], x[y, c], kinds[y][:, None]
+            p = left + up - corner
+            pa, pb, pc = np.abs(p - left), np.abs(p - up), np.abs(p - corner)
+            paeth = np.where((pa <= pb) & (pa <= pc), left, np.where(pb <= pc, up, corner))
+            x[y + 1, c + 1] = (data[y, c] + np.select([k == 1, k == 2, k == 3, k == 4], [left, up, (left + up) // 2, paeth], 0)) & 255
+    return x[1:, 1:].reshape(h, w * step)[:, :stride].astype(np.uint8)
+
+
+# fixed values: the seven passes of an interlaced PNG, as (first row, row step, first column, column step)
+PASSES = [(0, 8, 0, 8), (0, 8, 4, 8), (4, 8, 0, 4), (0, 4, 2, 4), (2, 4, 0, 2), (0, 2, 1, 2), (1, 2, 0, 1)]
 
 
 def decode_png(b: bytes) -> np.ndarray:
-    """PNG of any bit depth without interlace: gray, gray+alpha, RGB, RGBA, palette."""
+    """PNG of any bit depth, interlaced or not: gray, gray+alpha, RGB, RGBA, palette."""
     if b[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("not a PNG")
-    at, data, palette = 8, b"", None
+    at, data, palette = 8, [], None
     while at < len(b):
         n, kind = struct.unpack(">I4s", b[at : at + 8])
         body = b[at + 8 : at + 8 + n]
@@ -28,43 +61,32 @@ def decode_png(b: bytes) -> np.ndarray:
         elif kind == b"PLTE":
             palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
         elif kind == b"IDAT":
-            data += body
+            data.append(body)
         at += 12 + n
-    if lace:
-        raise ValueError("interlaced PNG is not supported")
     c = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[color]
-    step, stride = max(1, c * depth // 8), (w * c * depth + 7) // 8
-    raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(h, stride + 1)
-    out = np.zeros((h, stride), np.uint8)
-    prev = np.zeros(stride, np.int64)
-    for y in range(h):
-        kind, row = raw[y, 0], raw[y, 1:].astype(np.int64)
-        if kind == 1:
-            for i in range(step):
-                row[i::step] = np.cumsum(row[i::step])
-        elif kind == 2:
-            row = row + prev
-        elif kind in (3, 4):
-            for i in range(stride):
-                left = row[i - step] & 255 if i >= step else 0
-                up, ul = prev[i], prev[i - step] if i >= step else 0
-                if kind == 3:
-                    row[i] += (left + up) // 2
-                else:
-                    p = left + up - ul
-                    pa, pb, pc = abs(p - left), abs(p - up), abs(p - ul)
-                    row[i] += left if pa <= pb and pa <= pc else up if pb <= pc else ul
-                row[i] &= 255
-        prev = row & 255
-        out[y] = prev
-    if depth == 16:
-        x = out.view(">u2").astype(np.uint16)
-    elif depth == 8:
-        x = out
+    flat = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8)
+
+    def plane(flat: np.ndarray, h: int, w: int) -> np.ndarray:
+        stride = (w * c * depth + 7) // 8
+        out = _unfilter(flat[: h * (stride + 1)].reshape(h, stride + 1), max(1, c * depth // 8))
+        if depth == 16:
+            x = np.ascontiguousarray(out).view(">u2").astype(np.uint16)
+        elif depth == 8:
+            x = out
+        else:
+            x = np.unpackbits(out, axis=1).reshape(h, -1, depth) @ (1 << np.arange(depth)[::-1])
+            x = x[:, : w * c].astype(np.uint8)
+        return x.reshape(h, w, c)
+
+    if not lace:
+        x = plane(flat, h, w)
     else:
-        x = np.unpackbits(out, axis=1).reshape(h, -1, depth) @ (1 << np.arange(depth)[::-1])
-        x = x[:, : w * c].astype(np.uint8)
-    x = x.reshape(h, w, c)
+        x, at = np.zeros((h, w, c), np.uint16 if depth == 16 else np.uint8), 0
+        for y0, ys, x0, xs in PASSES:
+            ph, pw = len(range(y0, h, ys)), len(range(x0, w, xs))
+            if ph and pw:
+                x[y0::ys, x0::xs] = plane(flat[at:], ph, pw)
+                at += ph * ((pw * c * depth + 7) // 8 + 1)
     return palette[x[..., 0]] if color == 3 else x
 
 
@@ -144,41 +166,55 @@ def ensure_hwc(x: np.ndarray) -> np.ndarray:
     return np.moveaxis(x, a, 2) if x.shape[a] <= 16 and x.shape[2] != x.shape[a] else x
 
 
-def read_files(catalog: DataFrame, root: str, path: str = "image_path", key: str = "image_index") -> DataFrame:
-    """``(key, path, part, content)``: the bytes of each record's files, one row a file; a missing file has null content.
+def read_bytes(path: str) -> bytes:
+    """The bytes of one file, by its path on this machine or on any file system Arrow knows; read where it is wanted."""
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", path):
+        from pyarrow import fs
+
+        system, at = fs.FileSystem.from_uri(path if "://" in path else path.replace(":/", ":///", 1))
+        with system.open_input_stream(at) as f:
+            return f.read()
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def file_rows(catalog: DataFrame, root: str | None = None, path: str = "image_path", key: str = "image_index", mask: str | None = None, per_task: int = 64) -> DataFrame:
+    """``(key, paths, mask)``: the files of each record, spread over tasks of about ``per_task`` records.
 
-    The file source lists ``root`` and the join picks the wanted paths, so bytes never pass through the driver.
+    Only paths travel; the task that needs an image reads its files. Relative paths lie below ``root``.
     """
+    below = lambda c: F.when(c.rlike(r"^(/|[A-Za-z][A-Za-z0-9+.-]*:/)"), c).otherwise(F.concat(F.lit(f"{root.rstrip('/')}/"), c)) if root else c
     paths = F.coalesce(F.col("channel_paths"), F.array(path)) if "channel_paths" in catalog.columns else F.array(path)
-    want = catalog.select(key, F.posexplode(paths).alias("part", "path"))
-    have = catalog.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), "content")
-    return want.join(have, "path", "left")
+    r = catalog.select(key, F.transform(paths, below).alias("paths"), (below(F.col(mask)) if mask else F.lit(None).cast("string")).alias("mask"))
+    return r.repartition(max(partitions(catalog.sparkSession), -(-r.count() // per_task)))
 
 
-def _load(files: pd.DataFrame) -> np.ndarray:
-    parts = []
-    for r in files.sort_values("part").itertuples(index=False):
-        if r.content is None:
-            raise FileNotFoundError(r.path)
-        parts.append(ensure_hwc(decode(bytes(r.content), r.path)))
-    return np.concatenate(parts, 2)
+def load(paths: list[str]) -> np.ndarray:
+    """An image of one or more files, channels in their order; a missing file raises."""
+    return np.concatenate([ensure_hwc(decode(read_bytes(p), p)) for p in paths], 2)
 
 
-def inspect(files: DataFrame, key: str = "image_index") -> DataFrame:
-    """``(path, height, width, channels, dtype, min, max, error)`` per file; unreadable files keep their row with the error."""
+def _why(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"[:200]
+
+
+def inspect(catalog: DataFrame, root: str | None = None, path: str = "image_path", key: str = "image_index") -> DataFrame:
+    """``(key, path, height, width, channels, dtype, min, max, error)`` per file; unreadable files keep their row with the error."""
+    kind = catalog.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for r in pdf.itertuples(index=False):
-                try:
-                    x = _load(pd.DataFrame([r]))
-                    out.append((r.path, *x.shape, str(x.dtype), float(x.min()), float(x.max()), None))
-                except Exception as e:
-                    out.append((r.path, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:200]))
-            yield pd.DataFrame(out, columns=["path", "height", "width", "channels", "dtype", "min", "max", "error"])
+            for k, paths in zip(pdf[key].tolist(), pdf["paths"]):
+                for p in paths:
+                    try:
+                        x = load([p])
+                        out.append((k, p, *x.shape, str(x.dtype), float(x.min()), float(x.max()), None))
+                    except Exception as e:
+                        out.append((k, p, None, None, None, None, None, None, _why(e)))
+            yield pd.DataFrame(out, columns=[key, "path", "height", "width", "channels", "dtype", "min", "max", "error"])
 
-    return files.mapInPandas(run, "path string, height int, width int, channels int, dtype string, min double, max double, error string")
+    return file_rows(catalog, root, path, key).mapInPandas(run, f"{key} {kind}, path string, height int, width int, channels int, dtype string, min double, max double, error string")
 
 
 def property_names(functions: list[tuple[str, ip.PropertyFunction]], channels: list[str]) -> list[str]:
@@ -193,26 +229,20 @@ def property_names(functions: list[tuple[str, ip.PropertyFunction]], channels: l
     return out
 
 
-def compute_properties(images: DataFrame, masks: DataFrame | None, functions: list[tuple[str, ip.PropertyFunction]], channels: list[str] | None = None, key: str = "image_index") -> DataFrame:
+def compute_properties(catalog: DataFrame, functions: list[tuple[str, ip.PropertyFunction]], channels: list[str] | None = None, root: str | None = None, mask: str | None = None, key: str = "image_index") -> DataFrame:
     """``(key, <properties>, error)``: one row per image; a function that fails leaves nulls, an unreadable image an error.
 
-    ``images`` and ``masks`` are tables of file bytes. Image and mask meet by key; every image is one small group.
+    ``mask`` names the column with the mask's path. Images and masks are read, measured and dropped one at a time in the
+    task that holds their row; nothing but the numbers is shuffled.
     """
     channels = channels or ["0"]
     names = property_names(functions, channels)
-    kind = images.schema[key].dataType.simpleString()
-    f = images.select(key, "part", "path", "content", F.lit(0).alias("m"))
-    if masks is not None:
-        f = f.unionByName(masks.select(key, "part", "path", "content", F.lit(1).alias("m")))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = dict.fromkeys(names)
-        row |= {key: pdf[key].iloc[0], "error": None}
-        try:
-            x = _load(pdf[pdf["m"] == 0]).astype(np.float32)
-            msk = _load(pdf[pdf["m"] == 1])[..., 0] if (pdf["m"] == 1).any() else None
-        except Exception as e:
-            return pd.DataFrame([row | {"error": f"{type(e).__name__}: {e}"[:200]}])
+    kind = catalog.schema[key].dataType.simpleString()
+
+    def measure(paths: list[str], mask_path: str | None) -> dict:
+        row = {}
+        x = load(paths).astype(np.float32)
+        msk = load([mask_path])[..., 0] if mask_path else None
         for need, fn in functions:
             if need in ("mask", "both") and msk is None:
                 continue
@@ -223,53 +253,74 @@ def compute_properties(images: DataFrame, masks: DataFrame | None, functions: li
                     continue
                 for n, v in got.items():
                     row[n if need == "mask" or len(channels) < 2 else f"{n}_{channels[c]}"] = None if v is None or not np.isfinite(v) else float(v)
-        return pd.DataFrame([row])
+        return row
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for k, paths, m in zip(pdf[key].tolist(), pdf["paths"], pdf["mask"].tolist()):
+                try:
+                    rows.append(measure(list(paths), m) | {key: k, "error": None})
+                except Exception as e:
+                    rows.append({key: k, "error": _why(e)})
+            yield pd.DataFrame(rows, columns=[key, *names, "error"])
 
     schema = f"{key} {kind}, " + ", ".join(f"`{n}` double" for n in names) + ", error string"
-    return f.groupBy(key).applyInPandas(lambda p: run(p)[[key, *names, "error"]], schema)
+    return file_rows(catalog, root, key=key, mask=mask).mapInPandas(run, schema)
 
 
-def extract_embeddings(images: DataFrame, make_model: Callable[[], Callable[[np.ndarray], np.ndarray]], size: int = 224, channel_mode: str = "combined", batch_size: int = 32, key: str = "image_index", preprocess: Callable | None = None) -> DataFrame:
-    """``(key, embedding, error)``: a model maps (B, C, H, W) float32 to (B, D); it is made once per Python worker.
+def extract_embeddings(catalog: DataFrame, make_model: Callable[[], Callable[[np.ndarray], np.ndarray]], size: int = 224, channel_mode: str = "combined", batch_size: int = 32, root: str | None = None, key: str = "image_index", preprocess: Callable | None = None, transforms: list[Callable] | None = None) -> DataFrame:
+    """``(key, embedding, error)``: a model maps (B, C, H, W) float32 to (B, D); it is made once per Python worker and gets up
+    to ``batch_size`` images at a time.
 
     combined feeds three channels; split feeds every channel as gray RGB, normalises each vector and concatenates them.
-    Images that cannot be read keep their row with the error.
+    ``preprocess`` works on the scaled image before it is resized, ``transforms`` follow one after the other on (H, W, 3)
+    planes. Images that cannot be read keep their row with the error; a model that fails ends the job.
     """
-    from lumenframe.sources.images import _load as load
-
-    kind = images.schema[key].dataType.simpleString()
-
-    def prepared(pdf: pd.DataFrame) -> pd.DataFrame:
-        try:
-            x = load(pdf)
-            lo, div = ip.resolve_scale(float(x.min()), float(x.max()), x.dtype)
-            x = (x.astype(np.float32) - lo) / div
-            x = preprocess(x) if preprocess else x
-            x = ip.resize(x, size).astype(np.float32)
-            return pd.DataFrame({key: [pdf[key].iloc[0]], "x": [x.tobytes()], "c": [x.shape[2]], "error": [None]})
-        except Exception as e:
-            return pd.DataFrame({key: [pdf[key].iloc[0]], "x": [None], "c": [0], "error": [f"{type(e).__name__}: {e}"[:200]]})
+    kind = catalog.schema[key].dataType.simpleString()
+
+    def planes(paths: list[str]) -> list[np.ndarray]:
+        x = load(paths)
+        lo, div = ip.resolve_scale(float(x.min()), float(x.max()), x.dtype)
+        x = (x.astype(np.float32) - lo) / div
+        x = preprocess(x) if preprocess else x
+        x = ip.resize(x, size).astype(np.float32)
+        out = [ip.to_rgb(x)] if channel_mode == "combined" else [ip.to_rgb(x[..., i : i + 1]) for i in range(x.shape[2])]
+        for t in transforms or ():
+            out = [np.asarray(t(p), np.float32) for p in out]
+        return [p.transpose(2, 0, 1) for p in out]
 
     def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = None
+
+        def flush(rows: list[tuple]) -> pd.DataFrame:
+            nonlocal model
+            stack = [p for _, ps, _ in rows for p in ps]
+            y = np.zeros((0, 0), np.float32)
+            if stack:
+                model = model or make_model()
+                y = np.asarray(model(np.stack(stack)), np.float32)
+                if y.ndim != 2 or len(y) != len(stack):
+                    raise ValueError(f"the model returned {y.shape} for {len(stack)} images")
+                if channel_mode != "combined":
+                    y = y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
+            at, vecs = 0, []
+            for _, ps, _ in rows:
+                vecs.append(y[at : at + len(ps)].ravel() if ps else None)
+                at += len(ps)
+            return pd.DataFrame({key: [r[0] for r in rows], "embedding": vecs, "error": [r[2] for r in rows]})
+
         for pdf in batches:
-            for lo in range(0, len(pdf), batch_size):
-                part = pdf.iloc[lo : lo + batch_size]
-                vecs: list = []
-                for r in part.itertuples(index=False):
-                    if r.error is not None or r.x is None:
-                        vecs.append(None)
-                        continue
-                    model = model or make_model()
-                    x = np.frombuffer(r.x, np.float32).reshape(size, size, r.c)
-                    planes = [ip.to_rgb(x)] if channel_mode == "combined" else [ip.to_rgb(x[..., i : i + 1]) for i in range(r.c)]
-                    y = np.asarray(model(np.stack([p.transpose(2, 0, 1) for p in planes])), np.float32)
-                    if y.ndim != 2 or len(y) != len(planes):
-                        raise ValueError(f"the model returned {y.shape} for {len(planes)} images")
-                    if channel_mode != "combined":
-                        y = y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
-                    vecs.append(y.ravel())
-                yield pd.DataFrame({key: part[key], "embedding": vecs, "error": part["error"]})
-
-    ready = images.groupBy(key).applyInPandas(prepared, f"{key} {kind}, x binary, c int, error string")
-    return ready.mapInPandas(embed, f"{key} {kind}, embedding array<float>, error string")
+            held: list[tuple] = []
+            for k, paths in zip(pdf[key].tolist(), pdf["paths"]):
+                try:
+                    held.append((k, planes(list(paths)), None))
+                except Exception as e:
+                    held.append((k, [], _why(e)))
+                if len(held) >= batch_size:
+                    yield flush(held)
+                    held = []
+            if held:
+                yield flush(held)
+
+    return file_rows(catalog, root, key=key).mapInPandas(embed, f"{key} {kind}, embedding array<float>, error string")

@@ -1,49 +1,84 @@
-"""Results on disk: parquet tables with a small manifest; appends are atomic, since files appear only on commit."""
+"""Results on disk: parquet tables with small numbered manifests; appends are atomic, since files count only on commit."""
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
+from collections.abc import Iterator
 from datetime import datetime, timezone
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION = "1.0"
 
 
+class ConcurrentWriteError(RuntimeError):
+    """Another writer has changed the store since this one read it; nothing of this write counts, and it may be repeated."""
+
+
 class ResultStore:
     """Tables ``catalog``, ``embeddings``, ``properties`` and ``batch_stats`` below one folder of any Hadoop file system.
 
-    A manifest names the folder versions that count; it is replaced last, so a failed or repeated write leaves the former
-    state. Folders it does not name are ignored.
+    A manifest names the folder versions that count. Manifests are numbered and never replaced: a write makes the next
+    number, which fails if another writer has made it, and readers take the highest. So a writer that dies leaves the former
+    state, a reader always finds a whole manifest, and of two writers the later one gets an error instead of undoing the
+    earlier. Folders that no manifest names are ignored.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         jvm = spark.sparkContext._jvm
         self._Path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._Path(self.path).getFileSystem(conf)
+
+    def _numbers(self) -> list[int]:
+        at = self._Path(f"{self.path}/manifests")
+        names = [f.getPath().getName() for f in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
     def _manifest(self) -> dict:
-        p = self._Path(f"{self.path}/manifest.json")
-        if not self._fs.exists(p):
-            return {"version": VERSION, "tables": {}, "params": {}, "log": []}
-        text = self.spark.read.text(f"{self.path}/manifest.json", wholetext=True).first()[0]
+        numbers = self._numbers()
+        if not numbers:
+            return {"version": VERSION, "number": 0, "tables": {}, "params": {}, "log": []}
+        text = self.spark.read.text(f"{self.path}/manifests/{numbers[-1]:012d}.json", wholetext=True).first()[0]
         m = json.loads(text)
         if m["version"] != VERSION:
             raise ValueError(f"stored version {m['version']}, expected {VERSION}")
         return m
 
     def _commit(self, m: dict) -> None:
-        tmp, to = self._Path(f"{self.path}/manifest-{uuid.uuid4().hex}.tmp"), self._Path(f"{self.path}/manifest.json")
+        """Write manifest ``m`` as the one after that it was read from."""
+        m = m | {"number": m["number"] + 1}
+        name = f"{self.path}/manifests/{m['number']:012d}"
+        tmp, claim, to = self._Path(f"{name}-{uuid.uuid4().hex}.tmp"), self._Path(f"{name}.claim"), self._Path(f"{name}.json")
+        self._fs.mkdirs(to.getParent())
+        if (self._numbers() or [0])[-1] >= m["number"]:
+            raise ConcurrentWriteError(f"another writer has changed {self.path}")
         out = self._fs.create(tmp, True)
         out.write(bytearray(json.dumps(m, default=str).encode()))
         out.close()
-        if self._fs.exists(to):
-            self._fs.delete(to, False)
-        if not self._fs.rename(tmp, to):
-            raise OSError("another writer holds the store")
+        mine = False
+        try:
+            # the claim is made by one writer only; it is the writer that may put the whole file in its place
+            mine = self._fs.createNewFile(claim)
+            if not mine or self._fs.exists(to) or not self._fs.rename(tmp, to):
+                raise ConcurrentWriteError(f"another writer has changed {self.path}")
+        finally:
+            if mine:
+                self._fs.delete(claim, False)
+            self._fs.delete(tmp, False)
+
+    def break_claim(self) -> None:
+        """Take away the claim of a writer that died between claiming a manifest and writing it."""
+        at = self._Path(f"{self.path}/manifests")
+        for f in self._fs.listStatus(at) if self._fs.exists(at) else ():
+            if f.getPath().getName().endswith(".claim"):
+                self._fs.delete(f.getPath(), False)
 
     def _put(self, name: str, df: DataFrame, append: bool, note: str) -> None:
         m = self._manifest()
@@ -79,6 +114,15 @@ class ResultStore:
 
         self._put("embeddings", update_vectors(self.read("embeddings"), changed), False, "update")
 
+    def table_lengths(self) -> dict[str, int]:
+        """Rows of each table. Properties of images that the catalog lacks are an error."""
+        n = {name: self.read(name).count() for name in self._manifest()["tables"]}
+        if "catalog" in n and "properties" in n:
+            lost = self.read("properties").join(self.read("catalog"), "image_index", "left_anti").limit(1)
+            if not lost.isEmpty():
+                raise ValueError("properties of images that the catalog lacks")
+        return n
+
     def clear_properties(self) -> None:
         m = self._manifest()
         m["tables"].pop("properties", None)
@@ -88,9 +132,7 @@ class ResultStore:
         to = ResultStore(self.spark, path)
         for name in self._manifest()["tables"]:
             to.write(name, self.read(name))
-        m = to._manifest()
-        m["params"] = self._manifest()["params"]
-        to._commit(m)
+        to._commit(to._manifest() | {"params": self._manifest()["params"]})
         return to
 
     def set_params(self, params: dict) -> None:
@@ -98,6 +140,9 @@ class ResultStore:
         m["params"] = params
         self._commit(m)
 
+    def params(self) -> dict:
+        return self._manifest()["params"]
+
     def validate_params(self, params: dict) -> None:
         """A resumed run must use the stored settings."""
         have = self._manifest()["params"]
@@ -129,12 +174,45 @@ def export_frame(images: DataFrame, distances: DataFrame | None = None, vec: str
     return out
 
 
+EXCEL_ROWS = 1_048_575  # fixed value: the most rows an Excel sheet holds below its head
+
+
+def export_embeddings(embeddings: DataFrame, path: str, key: str = "image_index", vec: str = "embedding") -> list[str]:
+    """Vectors as .npy files beside a table, one a partition in the order of the keys, with their keys in ``*.keys.npy``.
+
+    Tasks write them; ``path`` is a folder that all executors share. Null vectors are left out. Returns the files' names.
+    """
+    os.makedirs(path, exist_ok=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        ids, rows = [], []
+        for b in batches:
+            ids += b.column(key).to_pylist()
+            rows += [np.asarray(v, np.float32) for v in b.column(vec).to_pylist()]
+        if not rows:
+            return
+        name = f"{path}/part-{TaskContext.get().partitionId():05d}"
+        for at, x in ((f"{name}.keys.npy", np.asarray(ids)), (f"{name}.npy", np.stack(rows))):
+            tmp = f"{at}.{uuid.uuid4().hex}"
+            with open(tmp, "wb") as f:
+                np.save(f, x)
+            os.replace(tmp, at)
+        yield pa.RecordBatch.from_arrays([pa.array([f"{name}.npy"])], names=["file"])
+
+    e = embeddings.where(F.col(vec).isNotNull()).select(key, vec).repartitionByRange(key).sortWithinPartitions(key)
+    return sorted(r[0] for r in e.mapInArrow(write, "file string").collect())
+
+
 def export_table(df: DataFrame, path: str, fmt: str | None = None) -> str:
-    """Write csv, parquet, json or excel; the extension of the path beats ``fmt``. Excel goes through the driver and needs an
-    Excel writer; arrays become JSON text in csv. Returns the format used."""
+    """Write csv, parquet, json or excel; the extension of the path beats ``fmt``. Excel goes through the driver, needs an
+    Excel writer and is refused beyond what a sheet holds; arrays become JSON text in csv. Returns the format used."""
     ext = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
     kind = {"csv": "csv", "parquet": "parquet", "json": "json", "xlsx": "excel", "xls": "excel"}.get(ext, fmt or "csv")
     if kind == "excel":
+        if df.limit(EXCEL_ROWS + 1).count() > EXCEL_ROWS:
+            raise ValueError(f"an Excel sheet holds at most {EXCEL_ROWS} rows")
         try:
             df.toPandas().to_excel(path, index=False)
         except ImportError as e:

@@ -364,7 +364,7 @@ def test_image_properties():
 
 def test_files_end_to_end(spark, tmp_path):
     from lumenframe.plans.report import generate_report
-    from lumenframe.plans.session import Session
+    from lumenframe.plans.session import ImageFailures, Session
     from lumenframe.sources.store import ResultStore
 
     for drug in ("A", "B"):
@@ -377,14 +377,26 @@ def test_files_end_to_end(spark, tmp_path):
     (tmp_path / "in" / "A" / "24h" / "bad.png").write_bytes(b"not an image")
     s = Session.find_files(spark, str(tmp_path / "in"), template=".../(drug)/(time)/(name).*")
     assert s.catalog.count() == 7 and [r["image_index"] for r in s.catalog.orderBy("image_path").collect()] == list(range(7))
-    seen = images.inspect(images.read_files(s.catalog, str(tmp_path / "in"))).collect()
+    seen = images.inspect(s.catalog).collect()
     assert sum(r["error"] is not None for r in seen) == 1 and {r["channels"] for r in seen if r["error"] is None} == {3}
 
     def model():
         return lambda b: np.stack([np.append(b.mean((2, 3)), 1.0)[: 4] if False else np.r_[b[i].mean((1, 2)), 1.0] for i in range(len(b))])
 
-    s = s.process_images(str(tmp_path / "in"), model, size=32)
-    assert s.dim == 4 and s.embeddings.count() == 6
+    # stored: the good ones are kept, then the failure is told; in memory failed images leave with a warning
+    keep = ResultStore(spark, str(tmp_path / "kept"))
+    with pytest.raises(ImageFailures) as e:
+        s.process_images(str(tmp_path / "in"), model, size=32, st=keep)
+    assert e.value.n == 1 and keep.read("embeddings").count() == 6 and keep.params() == {"size": 32}
+    with pytest.raises(ImageFailures):  # only the failed one is tried again
+        s.process_images(str(tmp_path / "in"), model, size=32, st=keep)
+    assert keep.read("embeddings").count() == 6
+    with pytest.raises(ValueError):
+        s.process_images(str(tmp_path / "in"), model, size=64, st=keep)
+    with pytest.warns(UserWarning, match="1 images"):
+        s = s.process_images(str(tmp_path / "in"), model, size=32, batch_size=2)
+    assert s.dim == 4 and s.embeddings.count() == 6 and s.catalog.count() == 6
+    assert s.process_images(str(tmp_path / "in"), model, {"drug": "A"}, size=32, force=True).embeddings.count() == 6
     s = s.compute_properties(str(tmp_path / "in"), "basic", channels=["r", "g", "b"])
     names = s.property_names()
     assert "intensity_mean_r" in names and "area" in names
@@ -397,12 +409,120 @@ def test_files_end_to_end(spark, tmp_path):
     st.set_params({"size": 32})
     with pytest.raises(ValueError):
         st.validate_params({"size": 64})
+    files = t.export(str(tmp_path / "s.parquet"), include_embeddings="separate") and sorted((tmp_path / "s_embeddings").glob("*.npy"))
+    keys = np.concatenate([np.load(f) for f in files if f.name.endswith(".keys.npy")])
+    assert len(keys) == 6 and sum(len(np.load(f)) for f in files if not f.name.endswith(".keys.npy")) == 6
+    c, st2 = t.correct_batches("drug", method="zscore", source="properties", props=["intensity_mean_r"])
+    assert abs(c.properties.agg(F.avg("intensity_mean_r")).first()[0]) < 1e-9 and st2.count() == 2
     page = generate_report(t, str(tmp_path / "r.html"))
     assert "Values of drug" in open(page).read()
     one = {r["drug"]: r for r in t.property_stats_by_group(["drug"], ["intensity_mean_r"]).collect()}
     assert one["B"]["intensity_mean_r_mean"] > one["A"]["intensity_mean_r_mean"]
 
 
+def test_store_has_one_writer(spark, tmp_path):
+    from lumenframe.sources.store import ConcurrentWriteError, ResultStore
+
+    path = str(tmp_path / "st")
+    a, b = ResultStore(spark, path), ResultStore(spark, path)
+    a.append("t", spark.range(3))
+    stale = b._manifest()
+    a.append("t", spark.range(3, 5))
+    with pytest.raises(ConcurrentWriteError):
+        b._commit(stale | {"tables": {}})
+    assert b.read("t").count() == 5
+    # a writer that dies before its manifest is in place leaves the former state, and its claim can be broken
+    claim = tmp_path / "st" / "manifests" / f"{a._manifest()['number'] + 1:012d}.claim"
+    claim.write_text("")
+    with pytest.raises(ConcurrentWriteError):
+        a.append("t", spark.range(9))
+    assert a.read("t").count() == 5
+    a.break_claim()
+    a.append("t", spark.range(9))
+    assert ResultStore(spark, path).read("t").count() == 14 and a.table_lengths() == {"t": 14}
+
+
+def test_png_filters_and_interlace():
+    rng = np.random.default_rng(3)
+
+    def pack(x, lace):
+        h, w, c = x.shape
+
+        def plane(p):
+            flat = p.reshape(len(p), -1).astype(np.int64)
+            out, prev = b"", np.zeros(flat.shape[1], np.int64)
+            for y, row in enumerate(flat):
+                left, up, corner = np.r_[[0] * c, row[:-c]], prev, np.r_[[0] * c, prev[:-c]]
+                est = left + up - corner
+                pa, pb, pc = abs(est - left), abs(est - up), abs(est - corner)
+                paeth = np.where((pa <= pb) & (pa <= pc), left, np.where(pb <= pc, up, corner))
+                k = y % 5
+                out += bytes([k]) + ((row - [0, left, up, (left + up) // 2, paeth][k]) % 256).astype(np.uint8).tobytes()
+                prev = row
+            return out
+
+        raw = b"".join(plane(x[y0::ys, x0::xs]) for y0, ys, x0, xs in images.PASSES if x[y0::ys, x0::xs].size) if lace else plane(x)
+        part = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
+        return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, {1: 0, 3: 2}[c], 0, 0, lace)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+
+    for h, w, c in ((13, 9, 3), (5, 21, 1), (1, 1, 3), (16, 16, 3)):
+        x = rng.integers(0, 256, (h, w, c), dtype=np.uint8)
+        for lace in (0, 1):
+            assert (images.decode(pack(x, lace), "x.png") == x).all()
+
+
+def test_metadata_by_function_and_roots(spark, tmp_path):
+    f = spark.createDataFrame([("/d/a/1.tif",), ("/d/b/2.tif",), ("/d/b/bad.tif",)], "file_path string")
+
+    def meta(p):
+        n = int(p.rsplit("/", 1)[1].split(".")[0])  # a ValueError where there is no number
+        return {"n": n, "dir": p.split("/")[2]}
+
+    assert {tuple(r) for r in discovery.callable_metadata(f, meta, ["n", "dir"]).collect()} == {("/d/a/1.tif", "1", "a"), ("/d/b/2.tif", "2", "b")}
+    assert discovery.callable_metadata(f, meta, ["n"], on_missing="keep").where("n IS NULL").count() == 1
+    with pytest.raises(Exception, match="ZeroDivision"):
+        discovery.callable_metadata(f, lambda p: {"n": 1 / 0}, ["n"]).collect()
+    assert discovery.common_root(f, "file_path") == "/d"
+    assert {r[0] for r in discovery.rebase(f, None, None, ["file_path"]).collect()} == {"a/1.tif", "b/2.tif", "b/bad.tif"}
+    assert {r[0] for r in discovery.rebase(f, None, "/n$1", ["file_path"]).collect()} == {"/n$1/a/1.tif", "/n$1/b/2.tif", "/n$1/b/bad.tif"}
+    was = spark.createDataFrame([(0, "/old/a/1.tif"), (1, "/old/q/9.tif")], "image_index bigint, image_path string")
+    now = spark.createDataFrame([(5, "/new/a/1.tif")], "image_index bigint, image_path string")
+    assert {tuple(r) for r in discovery.rebase_to_current(was, now).select("image_index", "image_path").collect()} == {(0, "/new/a/1.tif"), (1, "/old/q/9.tif")}
+    assert joins.rows_align(was, was) and not joins.rows_align(was, now)
+    assert not joins.rows_align(was, was.union(was)) and joins.rows_align(was, was.withColumn("image_path", F.concat(F.lit("/x"), "image_path")))
+    seen = spark.createDataFrame([(1, 2, "u1", None, None), (3, 2, "u1", "bad", "x")], "height int, width int, dtype string, error string, drug string")
+    assert {r["level"] for r in discovery.findings(discovery.preflight(seen, ["drug"])).collect()} == {"error", "warning"}
+
+
+def test_ranks_and_top_lists(spark):
+    rng = np.random.default_rng(9)
+    rows = [(None if g == 0 else f"g{g}", float(x), float(y)) for g, x, y in zip(rng.integers(0, 3, 400), rng.integers(0, 60, 400), rng.normal(size=400))]
+    df = spark.createDataFrame(rows, "g string, x double, y double").repartition(5)
+    got = {(r["g"], r["x"]): r["rank"] for r in correlation.ranks(df, ["g"], "x").collect()}
+    for g in (None, "g1", "g2"):
+        v = np.array([x for k, x, _ in rows if k == g])
+        for x in np.unique(v):
+            assert got[g, x] == (v < x).sum() + ((v == x).sum() + 1) / 2
+    x, y = (np.array([r[i] for r in rows]) for i in (1, 2))
+    rank = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+    assert abs(correlation.spearman(df, "x", "y").first()["rho"] - np.corrcoef(rank(x), rank(y))[0, 1]) < 1e-9
+    c = spark.createDataFrame([("a", 0.1, -0.9), ("b", -0.5, None), ("c", 0.3, 0.2)], "property string, component_1 double, component_2 double")
+    top = {(r["component"], r["rank"]): r["property"] for r in correlation.top_correlations(c, ["component_1", "component_2"], 2).collect()}
+    assert top == {("component_1", 1): "b", ("component_1", 2): "c", ("component_2", 1): "a", ("component_2", 2): "c"}
+    t = contract.compact_types(spark.createDataFrame([(1.0, 0.5), (None, 2.0)], "a double, b double"), ["a", "b"])
+    assert dict(t.dtypes) == {"a": "bigint", "b": "float"}
+
+
+def test_folds_follow_labels(spark):
+    from lumenframe.operators.explain import _prepared
+
+    df = spark.createDataFrame([(i, float(i), float(i), "a" if i < 60 else "b" if i < 80 else None) for i in range(90)], "image_index bigint, x double, y double, lab string")
+    n = _prepared(df, ["x"], "y", "image_index", 5, "lab").groupBy("fold").count().collect()
+    assert sorted(r["count"] for r in n) == [18] * 5
+    with pytest.warns(UserWarning):
+        assert _prepared(df.where("image_index < 82"), ["x"], "y", "image_index", 5, "lab").count() == 82
+
+
 def test_stream_appends_once(spark, tmp_path):
     from lumenframe.sources.store import ResultStore
     from lumenframe.streaming.ingest import append_stream
