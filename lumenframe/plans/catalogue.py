@@ -619,11 +619,23 @@ def multichannel_merge(s, d):
     return m.select("image_index", F.size("channel_paths").cast("bigint").alias("n_channels"), F.col("image_path").alias("first"))
 
 
-@query("SELECT image_index, mask_path FROM img WHERE mask_path IS NOT NULL")
+_STRIP = "lower(regexp_replace({p}, '(?i)\\.(nii\\.gz|tif|tiff|png|jpg|jpeg|bmp|npy|npz|nii|gif|webp|csv)$', ''))"
+
+
+@query(
+    "SELECT i.image_index, coalesce(r.f, b.f) AS mask_path FROM ki i LEFT JOIN (SELECT rel, min(f) AS f FROM km GROUP BY 1 HAVING count(*) = 1) r USING (rel) LEFT JOIN (SELECT base, min(f) AS f FROM km GROUP BY 1 HAVING count(*) = 1) b USING (base)",
+    mk="SELECT DISTINCT regexp_replace(image_path, '^/data/', '/masks/') || '.png' AS f FROM img WHERE image_index % 2 = 0 UNION SELECT DISTINCT '/masks/other/' || regexp_replace(image_path, '^.*/', '') || '.tif' FROM img WHERE image_index % 5 = 0",
+    km="SELECT f, " + _STRIP.format(p="regexp_replace(f, '^/masks/', '')") + " AS rel, " + _STRIP.format(p="regexp_replace(f, '^.*/', '')") + " AS base FROM mk",
+    ki="SELECT image_index, " + _STRIP.format(p="regexp_replace(image_path || '.tif', '^/data/', '')") + " AS rel, " + _STRIP.format(p="regexp_replace(image_path || '.tif', '^.*/', '')") + " AS base FROM img",
+)
 def mask_resolution(s, d):
+    """Masks under another root, some with their relative path, some by name alone, some by both."""
     i = _images(s, d)
-    masks = i.where("mask_path IS NOT NULL").select(F.col("mask_path").alias("file_path")).distinct()
-    return Y.resolve_masks(i.select("image_index", "image_path", "mask_path"), masks).where("mask_path IS NOT NULL").select("image_index", "mask_path")
+    p = F.col("image_path")
+    masks = i.where("image_index % 2 = 0").select(F.concat(F.regexp_replace(p, "^/data/", "/masks/"), F.lit(".png")).alias("file_path"))
+    masks = masks.union(i.where("image_index % 5 = 0").select(F.concat(F.lit("/masks/other/"), X.basename(p), F.lit(".tif")))).distinct()
+    c = i.select("image_index", F.concat(p, F.lit(".tif")).alias("image_path"))
+    return Y.resolve_masks(c, masks, root="/data", mask_root="/masks").select("image_index", "mask_path")
 
 
 @query("SELECT image_index, coalesce(CASE WHEN NOT regexp_matches(nullif(trim(id), ''), '[/\\\\]') THEN nullif(trim(id), '') END, image_index::VARCHAR) AS key FROM img")
