@@ -7,6 +7,7 @@ part meets the items by the seeds that are rarest in the corpus, and a local ali
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.runtime import materialize
+from lumenframe.runtime import materialize, partitions
 
 WORDS, CHARS = 16, 30  # least stretch, in words and in characters of scripts without spaces
 EDIT = 8  # one unit in EDIT may differ
@@ -26,6 +27,8 @@ SEED_WORDS, SEED_CHARS = 5, 6  # the longest runs that every allowed stretch is
 # places, over all L from the least on two of words (L = 16, e = 2) and three of characters (L = 32, e = 4)
 LEAST_SEEDS = {False: 2, True: 3}
 REACH = {False: 2 * WORDS + 4, True: 2 * CHARS + 8}  # units in which a stretch shorter than twice the least lies, edits included
+# beyond its outermost seeds such a stretch goes on for as long as its edits can spoil seeds: n units and one an edit
+BEYOND = {False: (2 * WORDS - 1) // EDIT * (SEED_WORDS + 1), True: (2 * CHARS - 1) // EDIT * (SEED_CHARS + 1)}
 PIECE = 400  # units by which long parts are cut
 MAX_BITS = 26
 
@@ -36,6 +39,7 @@ _LINK = regex.compile(r"!?\[([^\[\]]+)\]\([^()\s]+\)")
 _MARK = regex.compile(r"[*_`~]+")
 _HYPHEN = regex.compile(r"(?<=\w)[-‐‑](?:\s*\n\s*)?(?=\w)")
 _WORD = regex.compile(r"\w+")
+_ASCII_WORD = re.compile(r"\w+")  # the same there, and faster
 _DENSE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
 
 
@@ -47,14 +51,16 @@ def plain(text: str) -> str:
         text = html.unescape(text)
     if "](" in text:
         text = _LINK.sub(r"\1", text)
-    text = _INVISIBLE.sub("", unicodedata.normalize("NFKD", text).replace("­", ""))
+    plain_already = text.isascii()
+    if not plain_already:
+        text = _INVISIBLE.sub("", unicodedata.normalize("NFKD", text).replace("­", ""))
     text = _MARK.sub("", text)
     text = _HYPHEN.sub("", text)
-    return unicodedata.normalize("NFC", text).casefold()
+    return text.lower() if plain_already else unicodedata.normalize("NFC", text).casefold()
 
 
 def words(plain_text: str) -> list[str]:
-    return _WORD.findall(plain_text)
+    return (_ASCII_WORD if plain_text.isascii() else _WORD).findall(plain_text)
 
 
 def dense(tokens: list[str]) -> bool:
@@ -302,8 +308,9 @@ def best_stretch(item: _Item, units: str, by_chars: bool, memo: dict) -> tuple[i
         # by counting, an allowed stretch keeps this many seeds at different places of the item: fewer are chance
         if len(np.unique(run[:, 1])) < LEAST_SEEDS[by_chars]:
             continue
-        d = doc[max(0, run[0, 0] - reach) : run[-1, 0] + n + reach]
-        lo, hi = max(0, int(run[:, 1].min()) - reach), int(run[:, 1].max()) + n + reach
+        more = BEYOND[by_chars]
+        d = doc[max(0, run[0, 0] - more) : run[-1, 0] + n + more]
+        lo, hi = max(0, int(run[:, 1].min()) - more), int(run[:, 1].max()) + n + more
         key = (lo, hi, d.tobytes())
         if key not in memo:
             memo[key] = align(item.units[lo:hi], d, CHARS if by_chars else WORDS)
@@ -349,6 +356,8 @@ def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
                     out.append((d, i, m, e))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((b.schema.field("doc_id").type, pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "item_id", "stretch", "edits"])
 
-    found = j.select("doc_id", "item_id", "by_chars", "units", "item").mapInArrow(run, f"doc_id {kind}, item_id bigint, stretch int, edits int")
+    # a stated number of tasks: aligning costs far more than these few bytes let the planner think
+    j = j.select("doc_id", "item_id", "by_chars", "units", "item").repartition(partitions(parts.sparkSession), "doc_id", "item_id")
+    found = j.mapInArrow(run, f"doc_id {kind}, item_id bigint, stretch int, edits int")
     w = found.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("stretch") - EDIT * F.col("edits")).alias("s"), "stretch", "edits")).alias("x"))
     return w.select("doc_id", "item_id", "x.stretch", "x.edits")
