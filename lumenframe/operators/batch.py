@@ -6,10 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenframe.functions.text import stable_batch_id
+from lumenframe.runtime import materialize
+
+
+FAN_IN = 32
+WHITEN_MB = 64  # most megabytes of whitening matrices that are broadcast
 
 
 def with_batch_id(df: DataFrame, batch: str, name: str = "batch_id") -> DataFrame:
@@ -69,7 +77,21 @@ def batch_stats(df: DataFrame, batch: str, vec: str, dim: int, controls: Column
         white = (q * (1 / np.sqrt(np.maximum(w, extra)))) @ q.T
         return pd.DataFrame({"batch_id": [pdf["batch_id"].iloc[0]], "method": ["sphering"], "n_controls": [int(k)], "mean": [m], "std": [None], "whiten": [[list(row) for row in white]]})
 
-    sums = c.select("batch_id", "_v").mapInPandas(partial, "batch_id string, n bigint, m array<double>, s array<double>")
+    kind = "batch_id string, n bigint, m array<double>, s array<double>"
+
+    def together(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = None
+        for r in pdf.itertuples(index=False):
+            one = [r.n, np.asarray(r.m), np.asarray(r.s).reshape(dim, dim)]
+            total = one if total is None else _merge(total, one)
+        return pd.DataFrame({"batch_id": [pdf["batch_id"].iloc[0]], "n": [total[0]], "m": [total[1]], "s": [total[2].ravel()]})
+
+    sums = c.select("batch_id", "_v").mapInPandas(partial, kind)
+    # by a tree: FAN_IN partitions' matrices of a batch are added first, so that no task holds those of all partitions
+    parts = c.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] or 0
+    while parts >= FAN_IN:
+        parts //= FAN_IN
+        sums = sums.withColumn("_g", F.pmod(F.spark_partition_id(), F.lit(parts + 1))).groupBy("batch_id", "_g").applyInPandas(lambda p: together(p.drop(columns="_g")), kind)
     return sums.groupBy("batch_id").applyInPandas(finish, "batch_id string, method string, n_controls int, mean array<double>, std array<double>, whiten array<array<double>>")
 
 
@@ -82,8 +104,36 @@ def _merge(a: list, b: list) -> list:
 def apply_correction(df: DataFrame, stats: DataFrame, batch: str, vec: str, out: str = "corrected") -> DataFrame:
     """Adds the corrected vector; a batch without statistics is an error when its row is computed.
 
-    The statistics are joined on the batch (Spark broadcasts them only if they are under its size threshold).
+    Whitening is a matrix product per batch of rows (numpy), with the matrices broadcast while they have WHITEN_MB or less.
+    Beyond, and for zscore, the statistics are joined on the batch (broadcast by Spark only under its size threshold).
     """
+    stats = materialize(stats, "batch_stats")
+    shape = stats.where("whiten IS NOT NULL").agg(F.count("*"), F.max(F.size("mean"))).first()
+    if shape[0] and shape[0] * shape[1] ** 2 * 8 <= WHITEN_MB * 1e6:
+        rows = stats.collect()  # bounded by the line above
+        known = {r["batch_id"]: (np.asarray(r["mean"]), np.asarray(r["whiten"])) for r in rows}
+        b = df.sparkSession.sparkContext.broadcast(known)
+        names = df.columns
+        schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rb in batches:
+                ids, col = np.asarray(rb.column("_bid").to_pylist(), object), rb.column(vec)
+                lost = set(ids.tolist()) - set(b.value)
+                if lost:
+                    raise ValueError(f"no statistics for batch {sorted(map(str, lost))[0]}")
+                size = np.asarray(pc.fill_null(pc.list_value_length(col), -1))
+                got = np.full(len(ids), None, object)
+                for k in set(ids.tolist()):
+                    mean, white = b.value[k]
+                    at = np.flatnonzero((ids == k) & (size == len(mean)))
+                    if len(at):
+                        x = np.asarray(col.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False), float).reshape(len(at), -1)
+                        got[at] = list((x - mean) @ white.T)
+                cols = [rb.column(c) for c in names] + [pa.array(got.tolist(), pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=[*names, out])
+
+        return with_batch_id(df, batch, "_bid").mapInArrow(run, schema)
     s = stats.select(F.col("batch_id").alias("_b"), F.col("mean").alias("_m"), F.col("std").alias("_s"), F.col("whiten").alias("_w"))
     j = with_batch_id(df, batch, "_bid").join(s, F.col("_bid") == F.col("_b"), "left")
     v = F.when(F.col("_b").isNull(), F.raise_error(F.concat(F.lit("no statistics for batch "), F.col("_bid"))).cast("array<double>")).otherwise(F.transform(vec, lambda x: x.cast("double")))

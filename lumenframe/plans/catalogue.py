@@ -198,9 +198,13 @@ def hist_entropy(s, d):
     return S.histogram_entropy(table(s, d, "lineitem"), ["l_quantity", "l_tax", "l_extendedprice"])
 
 
-@query()
+_Z = "1.959963984540054"
+
+
+@query(f"SELECT l_returnflag, n, round(m, 6) AS mean, round(sd / sqrt(n) * ({_Z} + ({_Z} ** 3 + {_Z}) / (4 * (n - 1)) + (5 * {_Z} ** 5 + 16 * {_Z} ** 3 + 3 * {_Z}) / (96.0 * (n - 1) ** 2)), 6) AS half_width FROM (SELECT l_returnflag, count(l_quantity) AS n, avg(l_quantity) AS m, stddev_samp(l_quantity) AS sd FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY 1)")
 def confidence_band(s, d):
-    return S.confidence_band(table(s, d, "lineitem"), ["l_returnflag"], "l_quantity")
+    """The SQL has Student's quantile as a series in 1 / df, exact to 1e-9 for groups of this size."""
+    return _r(S.confidence_band(table(s, d, "lineitem"), ["l_returnflag"], "l_quantity"), "mean", "half_width")
 
 
 # --- vectors and distances ------------------------------------------------------------------------------------------
@@ -310,9 +314,10 @@ def outliers_zscore_grouped(s, d):
     return _r(D.outliers(_grouped(s, d, "compound"), "compound", DIM, "z-score", 2.0), "distance_to_centroid", "threshold")
 
 
-@query(_OUT_I, **_own("compound"))
+@query(_OUT_I.replace("1.5", "0.5"), **_own("compound"))
 def outliers_iqr_grouped(s, d):
-    return _r(D.outliers(_grouped(s, d, "compound"), "compound", DIM, "iqr", 1.5), "distance_to_centroid", "threshold")
+    """With a narrow fence, so that there are some."""
+    return _r(D.outliers(_grouped(s, d, "compound"), "compound", DIM, "iqr", 0.5), "distance_to_centroid", "threshold")
 
 
 @query(_OUT_Z, **{**_OWN, "g": "SELECT image_index, 'All' AS g0, v FROM vn"})
@@ -428,10 +433,9 @@ def spearman(s, d):
 
 
 def _image_means(s, d):
-    """Mean of plausible object properties per image."""
+    """Median of the finite object properties per image, which a few absurd values do not move."""
     o = _objects(s, d)
-    ok = lambda c: F.when(W.finite(F.col(c)) & (F.abs(c) < 1e5), F.col(c))
-    return o.groupBy("image_index").agg(*[F.avg(ok(c)).alias(c) for c in _PROPS])
+    return o.groupBy("image_index").agg(*[F.median(F.when(W.finite(F.col(c)), F.col(c))).alias(c) for c in _PROPS])
 
 
 @query()
@@ -489,6 +493,102 @@ def pca_total_variance(s, d):
     return s.createDataFrame([(round(float(sc.trace()) / (n - 1), 6),)], "total_variance double")
 
 
+@query("SELECT round(sum(v), 6) AS total_variance, true AS uncorrelated, true AS ordered FROM (SELECT var_samp(x) AS v FROM (SELECT unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM vec) GROUP BY pos)")
+def pca_full(s, d):
+    """All 128 components: together they have the variance of the data, no two of the first three are correlated, and
+    variances fall."""
+    v = _vectors(s, d, "features")
+    c = materialize(C.pca(v, "features", DIM, DIM).transform(v, "image_index", "features"), "components")
+    names = [f"component_{i + 1}" for i in range(DIM)]
+    r = c.agg(*[F.var_samp(n).alias(n) for n in names], *[F.corr(names[i], names[j]).alias(f"c{i}{j}") for i in range(3) for j in range(i)])
+    falls = F.forall(F.sequence(F.lit(1), F.lit(DIM - 1)), lambda i: F.element_at(F.array(*names), i) >= F.element_at(F.array(*names), i + 1) - 1e-9)
+    flat = [F.abs(f"c{i}{j}") < 1e-6 for i in range(3) for j in range(i)]
+    return r.select(F.round(sum((F.col(n) for n in names), F.lit(0.0)), 6).alias("total_variance"), (flat[0] & flat[1] & flat[2]).alias("uncorrelated"), falls.alias("ordered"))
+
+
+@query("SELECT replicate::VARCHAR AS batch_id, count(*) AS n, true AS centred, true AS shrunk FROM vec JOIN img USING (image_index) GROUP BY replicate")
+def sphering_moments(s, d):
+    """Per batch: whether the mean is 0, and no variance beyond 1 (the ridge takes a little away), after sphering."""
+    c, _ = B.correct_batches(_batched(s, d), "replicate", "embedding", DIM, None, "sphering")
+    x = c.select(F.col("replicate").cast("string").alias("batch_id"), F.posexplode("corrected").alias("pos", "x"))
+    g = x.groupBy("batch_id", "pos").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.var_samp("x").alias("v"))
+    return g.groupBy("batch_id").agg(F.max("n").alias("n"), (F.max(F.abs("m")) < 1e-6).alias("centred"), (F.max("v") <= 1 + 1e-6).alias("shrunk"))
+
+
+@query("SELECT method, 8::BIGINT AS clusters, (SELECT count(*) FROM vec) AS labelled, (SELECT count(*) FROM img WHERE image_index NOT IN (SELECT image_index FROM vec)) AS without, true AS tight FROM (VALUES ('kmeans'), ('gmm')) t(method)")
+def clustering_invariants(s, d):
+    """Every image with features has one of eight labels, and rows are nearer to their cluster's mean than to the mean of all."""
+    out = None
+    for method in ("kmeans", "gmm"):
+        c = {"kmeans": kmeans, "gmm": gmm_diag}[method](s, d)
+        v = _vectors(s, d, "features").select("image_index", V.l2_normalize(F.col("features")).alias("features")).join(c, "image_index")
+        own = D.own_centroid_distances(v, "cluster", DIM).agg(F.avg("distance").alias("own"))
+        whole = D.own_centroid_distances(v.withColumn("cluster", F.lit(0)), "cluster", DIM).agg(F.avg("distance").alias("whole"))
+        n = c.agg(F.count_distinct("cluster").alias("clusters"), F.count("cluster").alias("labelled"), (F.count("*") - F.count("cluster")).alias("without"))
+        r = n.crossJoin(own).crossJoin(whole).select(F.lit(method).alias("method"), "clusters", "labelled", "without", (F.col("own") < F.col("whole")).alias("tight"))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@query("SELECT method, (SELECT count(*) FROM vec) AS n_rows, true AS finite FROM (VALUES ('tsne'), ('umap')) t(method)")
+def map_rows(s, d):
+    """t-SNE and UMAP give every image finite coordinates."""
+    one = lambda m, f: f(s, d).agg(F.lit(m).alias("method"), F.count_distinct("image_index").alias("n_rows"), F.min(W.finite(F.col("component_1")) & W.finite(F.col("component_2"))).alias("finite"))
+    return one("tsne", tsne_map).unionByName(one("umap", umap_map))
+
+
+@query("SELECT p_brand, p_type, n FROM (SELECT p_brand, p_type, n, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_type) AS r FROM (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY ALL)) WHERE r = 1 AND n > 0")
+def group_top_value(s, d):
+    """The most frequent value of each group."""
+    from pyspark.sql.window import Window
+
+    n = table(s, d, "part").groupBy("p_brand", "p_type").agg(F.count("*").alias("n"))
+    return n.withColumn("r", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("n"), "p_type"))).where("r = 1").drop("r")
+
+
+@query("SELECT g AS \"group\", property, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY abs(score) DESC, property) AS rank FROM (SELECT g, property, (m1 - m2) / sqrt(v2) AS score FROM en WHERE n1 >= 3)) WHERE rank <= 1", **_ENR)
+def top_enriched(s, d):
+    t = table(s, d, "part").withColumn("p_size", F.col("p_size").cast("double"))
+    return _r(S.top_enriched(S.group_enrichment(t, "p_brand", ["p_size", "p_retailprice"], with_p=False), 1).select("group", "property", "score", "rank"), "score")
+
+
+@query("SELECT 'component_' || c AS component, property, rank FROM (SELECT c, property, row_number() OVER (PARTITION BY c ORDER BY abs(r) DESC NULLS LAST, property) AS rank FROM (SELECT 1 AS c, 'p_size' AS property, corr(p_retailprice, p_size) AS r FROM part UNION ALL SELECT 1, 'own', 1.0 UNION ALL SELECT 2, 'p_size', 1.0 UNION ALL SELECT 2, 'own', corr(p_retailprice, p_size) FROM part))")
+def top_correlations(s, d):
+    """Properties ordered by their correlation with two columns that stand for components."""
+    t = table(s, d, "part").select(F.col("p_partkey").alias("image_index"), F.col("p_size").cast("double").alias("p_size"), F.col("p_retailprice").alias("own"))
+    c = R.component_correlation(t.select("image_index", F.col("own").alias("component_1"), F.col("p_size").alias("component_2")), ["component_1", "component_2"], t, ["p_size", "own"])
+    return R.top_correlations(c, ["component_1", "component_2"]).select("component", "property", "rank")
+
+
+@query("SELECT count(*) AS n, round(corr(rx, ry), 6) AS rho FROM (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM (SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem))")
+def spearman_global(s, d):
+    return _r(R.spearman(table(s, d, "lineitem"), "l_quantity", "l_extendedprice"), "rho")
+
+
+@query("SELECT v.image_index, coalesce(nullif(trim(i.mechanism), ''), 'N/A') AS \"group\", round(dd, 6) AS distance FROM img i JOIN (SELECT image_index, list_distance(v, c) AS dd FROM vn, refc) v USING (image_index) WHERE compound IS DISTINCT FROM 'vehicle'")
+def distance_distribution(s, d):
+    i = _images(s, d).select("image_index", "compound", "mechanism")
+    r = D.reference_distances(i, _vectors(s, d, "features"), F.col("compound") == "vehicle", DIM)
+    return _r(D.distribution(r, "mechanism").drop("is_reference"), "distance")
+
+
+@query("SELECT 'same' AS case_, true AS aligned UNION ALL SELECT 'moved', true UNION ALL SELECT 'other', false UNION ALL SELECT 'fewer', false")
+def row_alignment(s, d):
+    """Whether stored rows belong to a catalog: the same, in another folder, with another file, with a row less."""
+    i = _images(s, d).select("image_index", "image_path").where("image_path IS NOT NULL").dropDuplicates(["image_index"])
+    moved = i.withColumn("image_path", F.concat(F.lit("/copy"), "image_path"))
+    other = i.withColumn("image_path", F.when(F.col("image_index") == 5, F.lit("x.tif")).otherwise(F.col("image_path")))
+    rows = [(c, J.rows_align(i, t)) for c, t in (("same", i), ("moved", moved), ("other", other), ("fewer", i.where("image_index <> 5")))]
+    return s.createDataFrame(rows, "case_ string, aligned boolean")
+
+
+@query("SELECT max(length(root)) > 0 AS found, min(starts_with(p, root)) AS shared FROM (SELECT replace(image_path, '\\', '/') AS p, '/data' AS root FROM img WHERE image_path LIKE '/data/%')")
+def common_root(s, d):
+    i = _images(s, d).where(F.col("image_path").startswith("/data/"))
+    root = Y.common_root(i, "image_path")
+    return i.agg((F.lit(len(root)) > 0).alias("found"), F.min(F.replace("image_path", F.lit("\\"), F.lit("/")).startswith(root)).alias("shared"))
+
+
 @query()
 def component_centroids(s, d):
     v = _vectors(s, d, "features")
@@ -543,12 +643,36 @@ def silhouette(s, d):
 
 @query()
 def lasso_axis(s, d):
-    return E.lasso_axis(_image_means(s, d), _PROPS[1:], "area")[0]
+    return E.lasso_axis(_image_means(s, d), [p for p in _PROPS if p != "perimeter"], "perimeter")[0]
+
+
+_AXIS = "SELECT p_brand, p_size::DOUBLE AS size, p_retailprice AS price, (p_partkey % 17)::DOUBLE AS turn, 3.0 * p_size + ((p_partkey * 7919) % 100) / 10.0 AS y FROM part"
+_FIRST = "SELECT feature, r > 0 AS positive FROM (SELECT * FROM (SELECT 'size' AS feature, corr(y, size) AS r FROM ax UNION ALL SELECT 'price', corr(y, price) FROM ax UNION ALL SELECT 'turn', corr(y, turn) FROM ax) ORDER BY abs(r) DESC LIMIT 1)"
+
+
+def _axis(s, d):
+    """Parts with an axis that follows the size, and a little noise."""
+    k = F.col("p_partkey")
+    return table(s, d, "part").select("p_partkey", "p_brand", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"), (k % 17).cast("double").alias("turn"), (3.0 * F.col("p_size") + F.pmod(k * 7919, F.lit(100)) / 10.0).alias("y"))
+
+
+@query(_FIRST, ax=_AXIS)
+def lasso_first(s, d):
+    """The property with the largest weight."""
+    w, _ = E.lasso_axis(_axis(s, d), ["size", "price", "turn"], "y", key="p_partkey", stratify="p_brand")
+    return w.orderBy(F.desc(F.abs("weight"))).limit(1).select("feature", (F.col("weight") > 0).alias("positive"))
+
+
+@query(_FIRST, ax=_AXIS)
+def forest_first(s, d):
+    """The property with the largest importance; importances have no sign but are positive."""
+    w, _ = E.forest_axis(_axis(s, d), ["size", "price", "turn"], "y", key="p_partkey")
+    return w.orderBy(F.desc("weight")).limit(1).select("feature", (F.col("weight") > 0).alias("positive"))
 
 
 @query()
 def forest_axis(s, d):
-    return E.forest_axis(_image_means(s, d), _PROPS[1:], "area", trees=20)[0]
+    return E.forest_axis(_image_means(s, d), [p for p in _PROPS if p != "perimeter"], "perimeter")[0]
 
 
 # --- joins, paths, persistence --------------------------------------------------------------------------------------

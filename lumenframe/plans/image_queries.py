@@ -123,7 +123,10 @@ def image_discover_function(s, d):
     return f.select(F.regexp_extract("file_path", r"([^/]+)\.png$", 1).alias("name"), "number")
 
 
-SEEN = [("mixed/a/deep.png", 3, 4, 1, "uint16", 0.0, 55000.0), ("mixed/a/gray.npy", 2, 4, 3, "uint16", 0.0, 23.0), ("mixed/b/broken.png", -1, -1, -1, None, -1.0, -1.0), ("mixed/b/plate.tif", 3, 4, 1, "uint16", 0.0, 77.0), ("mixed/b/ramp.png", 16, 16, 1, "uint8", 0.0, 255.0)]
+SEEN = [
+    ("mixed/a/deep.png", 3, 4, 1, "uint16", 0.0, 55000.0), ("mixed/a/gray.npy", 4, 3, 2, "uint16", 0.0, 23.0),  # the smallest axis is the channels
+    ("mixed/b/broken.png", -1, -1, -1, None, -1.0, -1.0), ("mixed/b/plate.tif", 3, 4, 1, "uint16", 0.0, 77.0), ("mixed/b/ramp.png", 16, 16, 1, "uint8", 0.0, 255.0),
+]
 
 
 @query("SELECT file, height::INTEGER AS height, width::INTEGER AS width, channels::INTEGER AS channels, dtype, low::DOUBLE AS low, high::DOUBLE AS high, height < 0 AS failed FROM (" + _values(SEEN, "file, height, width, channels, dtype, low, high") + ")")
