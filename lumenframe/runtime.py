@@ -51,6 +51,16 @@ def release(df: DataFrame | None) -> None:
         _owned.discard((id(df.sparkSession), path))
 
 
+def clear(spark: SparkSession) -> int:
+    """Delete all tables that :func:`materialize` wrote in this session, and say how many. For long sessions, between
+    results: DataFrames planned on them can't be computed any more. At exit this happens by itself."""
+    mine = [(k, path) for k, path in _owned if k == id(spark)]
+    for key, path in mine:
+        _delete(spark, path)
+        _owned.discard((key, path))
+    return len(mine)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lumenframe.functions.text import basename, identifier_keys, path_to_id, posix, strip_full_extension, template_columns
-from lumenframe.runtime import materialize
+from lumenframe.operators.blocks import numbered
 
 # fixed values: extensions that are read as images
 IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "bmp", "tif", "tiff", "npy", "npz", "nii", "nii.gz")
@@ -32,22 +32,11 @@ def scan(spark: SparkSession, path: str, extensions: list[str] | None = None) ->
 def index_by_path(files: DataFrame, path: str = "image_path", ties: list[str] | None = None) -> DataFrame:
     """Adds ``image_index`` 0..n-1 in the order of the path; equal paths by ``ties`` (by default all other plain columns).
 
-    Rows are range-partitioned and numbered within their range, and written once, since another run of a range
-    partitioning may draw other borders. The counts of the ranges, one number each, then say where a range begins. No task
-    sorts more than its range; a path that many rows share is split by the ties.
+    No task sorts more than a range of the paths (see :func:`numbered`); a path that many rows share is split by the ties.
     """
-    n = max(1, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if ties is None:
         ties = [f.name for f in files.schema if f.name != path and not f.dataType.simpleString().startswith(("map", "struct", "array", "variant"))]
-    by = [path, *ties]
-    s = materialize(files.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_m", F.monotonically_increasing_id()), "indexed")
-    part, rank = F.shiftright("_m", 33), F.col("_m").bitwiseAND((1 << 33) - 1)
-    base, at = [], 0
-    for r in s.groupBy(part.alias("p")).agg(F.count("*").alias("c")).orderBy("p").collect():  # one row a range
-        base.append((r["p"], at))
-        at += r["c"]
-    starts = F.broadcast(files.sparkSession.createDataFrame(base, "_p bigint, _base bigint"))
-    return s.withColumn("_p", part).join(starts, "_p").select((rank + F.col("_base")).cast("bigint").alias("image_index"), *files.columns)
+    return numbered(files, [path, *ties], "image_index")
 
 
 def default_metadata(files: DataFrame, path: str = "file_path") -> DataFrame:

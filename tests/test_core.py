@@ -363,7 +363,7 @@ def test_image_properties():
 
 
 def test_files_end_to_end(spark, tmp_path):
-    from lumenframe.plans.report import generate_report
+    from lumenframe.plans.report import ReportConfig, generate_report
     from lumenframe.plans.session import ImageFailures, Session
     from lumenframe.sources.store import ResultStore
 
@@ -414,8 +414,9 @@ def test_files_end_to_end(spark, tmp_path):
     assert len(keys) == 6 and sum(len(np.load(f)) for f in files if not f.name.endswith(".keys.npy")) == 6
     c, st2 = t.correct_batches("drug", method="zscore", source="properties", props=["intensity_mean_r"])
     assert abs(c.properties.agg(F.avg("intensity_mean_r")).first()[0]) < 1e-9 and st2.count() == 2
-    page = generate_report(t, str(tmp_path / "r.html"))
-    assert "Values of drug" in open(page).read()
+    page = open(generate_report(t, str(tmp_path / "r.html"), ReportConfig(group_by=["drug"], reference={"drug": "A"}))).read()
+    for part in ("Values of drug", "Map of 6 images by drug", "Typical images by drug", "Properties that follow a component", "Properties that explain component 1", "Distances by group"):
+        assert part in page
     one = {r["drug"]: r for r in t.property_stats_by_group(["drug"], ["intensity_mean_r"]).collect()}
     assert one["B"]["intensity_mean_r_mean"] > one["A"]["intensity_mean_r_mean"]
 
@@ -537,6 +538,15 @@ def test_stream_appends_once(spark, tmp_path):
     assert sorted(r[0] for r in st.read("rows").collect()) == list(range(8))
 
 
+def test_clear_deletes_written_tables(spark):
+    from lumenframe import runtime
+
+    df = runtime.materialize(spark.range(3))
+    assert df.count() == 3 and runtime.clear(spark) >= 1
+    with pytest.raises(Exception, match="(?i)exist|not found"):
+        df.collect()
+
+
 def test_entry_and_catalogue(spark):
     import __spark_entry__ as entry
 
