@@ -256,5 +256,9 @@ SELECT DISTINCT image_index, group_batch FROM (SELECT image_index, coalesce(n.b,
     "p7_found": "WITH n AS (SELECT trim(source) AS source, sum(octet_length(encode(text)))::DOUBLE AS t FROM documents WHERE trim(source) <> '' GROUP BY 1) "
     "SELECT source, least(max_repeats, ceil(token_share * (SELECT sum(t) FROM n) / t))::INTEGER AS passes FROM mix_targets JOIN n USING (source) WHERE token_share * (SELECT sum(t) FROM n) > t",
     "p7_limits": "SELECT source, true AS kept, true AS met FROM mix_targets",
+    "p4_clusters": f"WITH RECURSIVE {_VEC}, ed AS (SELECT a, b FROM pair WHERE s >= 0.75), reach AS (SELECT a, b FROM ed UNION SELECT r.a, ed.b FROM reach r JOIN ed ON r.b = ed.a), "
+    "cl AS (SELECT a AS i, least(a, min(b)) AS head, count(*) AS size FROM reach GROUP BY a HAVING count(*) >= 8), m AS (SELECT head, size, i, v FROM cl JOIN unit USING (i)), "
+    "c AS (SELECT head, list(x ORDER BY pos) AS c FROM (SELECT head, pos, sum(x) AS x FROM (SELECT head, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM m) GROUP BY ALL) GROUP BY head) "
+    "SELECT head, size, image_index, similarity, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY head ORDER BY similarity DESC, image_index) AS rank FROM (SELECT head, size, i AS image_index, list_inner_product(v, c) / sqrt(list_inner_product(c, c)) AS similarity FROM m JOIN c USING (head))) WHERE rank <= 3",
     "p5_found": f"WITH {_VEC} SELECT DISTINCT least(a, b) AS image_a, greatest(a, b) AS image_b FROM (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM pair) WHERE r <= 5 AND s >= 0.97",
 }
