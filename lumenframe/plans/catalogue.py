@@ -438,9 +438,18 @@ def _image_means(s, d):
     return o.groupBy("image_index").agg(*[F.median(F.when(W.finite(F.col(c)), F.col(c))).alias(c) for c in _PROPS])
 
 
-@query()
+_DCOR = {
+    "dp": "SELECT row_number() OVER () AS i, p_size::DOUBLE AS x, p_retailprice AS y FROM part",
+    "dd_": "SELECT a.i, b.i AS j, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy FROM dp a, dp b",
+    "dr": "SELECT i, avg(dx) AS rx, avg(dy) AS ry FROM dd_ GROUP BY i",
+    "dg": "SELECT avg(rx) AS gx, avg(ry) AS gy FROM dr",
+    "dc": "SELECT dx - p.rx - q.rx + gx AS a, dy - p.ry - q.ry + gy AS b FROM dd_ JOIN dr p ON p.i = dd_.i JOIN dr q ON q.i = dd_.j, dg",
+}
+
+
+@query("SELECT 'p_retailprice' AS property, round(sqrt(greatest(sum(a * b), 0) / sqrt(sum(a * a) * sum(b * b))), 6) AS r FROM dc", **_DCOR)
 def distance_correlations(s, d):
-    return R.property_correlations(table(s, d, "part").withColumn("p_size", F.col("p_size").cast("double")), "p_size", ["p_retailprice"], "distance")
+    return _r(R.property_correlations(table(s, d, "part").withColumn("p_size", F.col("p_size").cast("double")), "p_size", ["p_retailprice"], "distance"), "r")
 
 
 @query()
