@@ -440,6 +440,10 @@ def test_mixing(spark):
     assert len(soft) == 3 and abs(sum(x["actual_share"] for x in soft) - 1) < 1e-5
     assert mixing.mix(d.limit(0), t)[1].where("tokens > 0").count() == 0
     assert mixing.mix(d, t.limit(0))[0].count() == 0
+    # repeated and null ids: every row is drawn by itself, none twice
+    again = d.withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, F.lit(None)).otherwise(F.col("doc_id") % 50))
+    q = {x["source"]: x for x in mixing.mix(again, t)[1].collect()}
+    assert all(abs(q[s]["drawn"] - r[s]["drawn"]) <= 13 for s in ("big", "small"))
     best = {x["source"]: x for x in mixing.mix(d, t, total="reachable")[1].collect()}
     assert abs(best["small"]["drawn"] - 4 * best["small"]["tokens"]) <= 8 and abs(best["big"]["actual_share"] - 2 / 3) < 0.02
 
