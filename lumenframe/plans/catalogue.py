@@ -637,10 +637,29 @@ def gmm_diag(s, d):
 _DB = {"db": "SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings", "nb": "SELECT a.vec_id AS a, b.vec_id AS b FROM db a, db b WHERE list_distance(a.v, b.v) <= 0.9", "cr": "SELECT a FROM nb GROUP BY a HAVING count(*) >= 5"}
 
 
-@query("SELECT d.vec_id, (SELECT count(*) FROM nb WHERE nb.a = d.vec_id AND nb.b IN (SELECT a FROM cr)) > 0 AS clustered FROM db d", **_DB)
+_DB |= {
+    "ce": "SELECT nb.a, nb.b FROM nb JOIN cr x ON x.a = nb.a JOIN cr y ON y.a = nb.b",
+    "co": "SELECT a, min(b) AS comp FROM (SELECT DISTINCT r.a, r.b FROM reach r) GROUP BY a",
+    "nr": "SELECT comp, (row_number() OVER (ORDER BY comp) - 1)::INTEGER AS cluster FROM (SELECT DISTINCT comp FROM co)",
+    "own": "SELECT d.vec_id, CASE WHEN cr.a IS NOT NULL THEN d.vec_id ELSE (SELECT min(nb.b) FROM nb JOIN cr c ON c.a = nb.b WHERE nb.a = d.vec_id) END AS core FROM db d LEFT JOIN cr ON cr.a = d.vec_id",
+}
+
+
+def _dbscan_sql() -> str:
+    """Core points joined by chains; a border point goes with its smallest core neighbour; clusters by their smallest core."""
+    ctes = ", ".join(f"{n} AS ({_DB[n]})" for n in ("db", "nb", "cr", "ce"))
+    rest = ", ".join(f"{n} AS ({_DB[n]})" for n in ("co", "nr", "own"))
+    return f"WITH RECURSIVE {ctes}, reach AS (SELECT a, b FROM ce UNION SELECT r.a, ce.b FROM reach r JOIN ce ON r.b = ce.a), {rest} SELECT vec_id, coalesce(cluster, -1)::INTEGER AS cluster FROM own LEFT JOIN co ON co.a = own.core LEFT JOIN nr USING (comp)"
+
+
+@query()
 def dbscan(s, d):
+    """Clusters of the embeddings by density; noise is -1 here."""
     e = table(s, d, "embeddings").select(F.col("vec_id").alias("image_index"), F.col("embedding").alias("features"))
-    return K.dbscan(e, 64, eps=0.9, min_samples=5).select(F.col("image_index").alias("vec_id"), F.col("cluster").isNotNull().alias("clustered"))
+    return K.dbscan(e, 64, eps=0.9, min_samples=5).select(F.col("image_index").alias("vec_id"), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+
+
+SQL["dbscan"] = _dbscan_sql()
 
 
 @query("SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM (SELECT vec_id, max(CASE WHEN own THEN m END) AS a, min(CASE WHEN NOT own THEN m END) AS b FROM (SELECT x.vec_id, y.label = x.label AS own, sum(list_distance(x.v, y.v)) / (count(*) - CASE WHEN y.label = x.label THEN 1 ELSE 0 END) AS m FROM se x, se y GROUP BY x.vec_id, x.label, y.label) GROUP BY vec_id)", se="SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings")
@@ -832,5 +851,56 @@ def store_roundtrip(s, d):
     return st.read("embeddings").join(_images(s, d), "image_index", "left_semi").agg(F.count("*").alias("n"))
 
 
+_LIFE = "SELECT * FROM (SELECT 'appended' AS step, count(*) AS n FROM vec UNION ALL SELECT 'wider', count(*) FROM vec WHERE image_index % 2 = 1 UNION ALL SELECT 'updated', count(*) FROM vec WHERE image_index < 50 UNION ALL SELECT 'picked', count(*) FROM vec WHERE image_index IN (3, 5, 8) UNION ALL SELECT 'cloned', count(*) FROM vec UNION ALL SELECT 'cleared', 0 UNION ALL SELECT 'steps', 4)"
+
+
+@query(_LIFE)
+def store_lifecycle(s, d):
+    """A store through appends with a further column, an update, reads by index, a copy, and clearing properties."""
+    from lumenframe.runtime import shared_dir
+
+    path = f"{shared_dir(s)}/store-{__import__('uuid').uuid4().hex}"
+    st, v = store.ResultStore(s, path), _vectors(s, d)
+    st.append("embeddings", v.where("image_index % 2 = 0"))
+    st.append("embeddings", v.where("image_index % 2 = 1").withColumn("note", F.lit("late")))
+    st.write("properties", v.select("image_index", F.lit(1.0).alias("p")))
+    st.update_embeddings(v.where("image_index < 50").select("image_index", F.transform("embedding", lambda x: x * F.lit(0).cast("float")).alias("embedding")))
+    e = materialize(st.read("embeddings"), "stored")
+    steps = len(st.run_log())
+    copy = st.clone(path + "-copy")
+    st.clear_properties()
+    rows = [("appended", e.count()), ("wider", e.where("note = 'late'").count()), ("updated", e.where(~F.exists("embedding", lambda x: x != 0)).count()), ("picked", st.embeddings_of([3, 5, 8]).count()), ("cloned", copy.read("properties").count()), ("cleared", int(st.has("properties"))), ("steps", steps)]
+    return s.createDataFrame(rows, "step string, n bigint")
+
+
+@query("SELECT kind, (SELECT count(*) FROM img) AS n, (SELECT round(sum(concentration), 4) FROM img) AS total FROM (VALUES ('csv'), ('json'), ('parquet')) t(kind)")
+def export_files(s, d):
+    """The export written as each format and read again; the extension decides, not the format asked for."""
+    from lumenframe.runtime import shared_dir
+
+    root = f"{shared_dir(s)}/export-{__import__('uuid').uuid4().hex}"
+    i = _images(s, d).select("image_index", "compound", "concentration", "channel_paths")
+    out = None
+    for kind in ("csv", "json", "parquet"):
+        assert store.export_table(i, f"{root}/t.{kind}", "csv") == kind
+        r = s.read.option("header", True).format(kind).load(f"{root}/t.{kind}")
+        one = r.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.round(F.sum(F.col("concentration").cast("double")), 4).alias("total"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT 'kept' AS step, count(*) AS n FROM img WHERE image_index NOT IN (SELECT image_index FROM (" + _OUT_Z + ")) UNION ALL SELECT 'temporal', count(*) + (SELECT count(*) FROM vec WHERE image_index < 10) FROM img UNION ALL SELECT 'cleared', count(*) FROM img WHERE source IS DISTINCT FROM 'NEW' UNION ALL SELECT 'table', count(*) FROM img UNION ALL SELECT 'reset', 0", **{**_OWN, "g": "SELECT image_index, 'All' AS g0, v FROM vn"})
+def session_flow(s, d):
+    """A session that drops outliers, takes and gives back rows of its own, makes its table and is reset."""
+    from lumenframe.plans.session import Session
+
+    v = _vectors(s, d)
+    one = Session(_images(s, d).withColumn("source", F.coalesce("source", F.lit("none"))), v, None, DIM)
+    kept = one.drop_outliers(one.detect_outliers(threshold=2.0))
+    more = one.process_temporal(v.where("image_index < 10"))
+    rows = [("kept", kept.catalog.count()), ("temporal", more.catalog.count()), ("cleared", more.clear_temporal().catalog.count()), ("table", one.table().count()), ("reset", int(one.reset().embeddings is not None))]
+    return s.createDataFrame(rows, "step string, n bigint")
+
+
 def flagship(s, d):
     return materialize(ref_distance_centroid_euclidean(s, d), "flagship")

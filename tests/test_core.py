@@ -130,7 +130,11 @@ def test_correlations(spark):
     a = rng.normal(size=300)
     assert correlation.distance_correlation(a, a) == pytest.approx(1) and correlation.distance_correlation(a, rng.normal(size=300)) < 0.3
     assert correlation.mutual_information_correlation(a, a**2) > 0.7
-    assert math.isnan(correlation.distance_correlation(a[:3], a[:3]))
+    assert math.isnan(correlation.distance_correlation(a[:3], a[:3])) and math.isnan(correlation.distance_correlation(a, np.ones(300)))
+    for u, v in ((a, a**2 + rng.normal(size=300)), (np.round(a), np.round(rng.normal(size=300))), (a * 1e6 + 1e9, a[::-1])):
+        g, h = (np.abs(z[:, None] - z) for z in (u, v))
+        g, h = (m - m.mean(0) - m.mean(1)[:, None] + m.mean() for m in (g, h))
+        assert correlation.distance_correlation(u, v) == pytest.approx(np.sqrt((g * h).sum() / np.sqrt((g * g).sum() * (h * h).sum())), rel=1e-6)
 
 
 def test_batches(spark):
