@@ -634,7 +634,7 @@ def gmm_diag(s, d):
     return K.compute_clustering(_images(s, d).select("image_index"), v, DIM, "gmm", k=8, reduce_dim=16)
 
 
-_DB = {"db": "SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings", "nb": "SELECT a.vec_id AS a, b.vec_id AS b FROM db a, db b WHERE list_distance(a.v, b.v) <= 0.9", "cr": "SELECT a FROM nb GROUP BY a HAVING count(*) >= 5"}
+_DB = {"vec": CTES["vec"], "db": "SELECT image_index AS vec_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS v FROM vec", "nb": "SELECT a.vec_id AS a, b.vec_id AS b FROM db a, db b WHERE list_distance(a.v, b.v) <= 0.6", "cr": "SELECT a FROM nb GROUP BY a HAVING count(*) >= 5"}
 
 
 _DB |= {
@@ -647,16 +647,16 @@ _DB |= {
 
 def _dbscan_sql() -> str:
     """Core points joined by chains; a border point goes with its smallest core neighbour; clusters by their smallest core."""
-    ctes = ", ".join(f"{n} AS ({_DB[n]})" for n in ("db", "nb", "cr", "ce"))
+    ctes = ", ".join(f"{n} AS ({_DB[n]})" for n in ("vec", "db", "nb", "cr", "ce"))
     rest = ", ".join(f"{n} AS ({_DB[n]})" for n in ("co", "nr", "own"))
-    return f"WITH RECURSIVE {ctes}, reach AS (SELECT a, b FROM ce UNION SELECT r.a, ce.b FROM reach r JOIN ce ON r.b = ce.a), {rest} SELECT vec_id, coalesce(cluster, -1)::INTEGER AS cluster FROM own LEFT JOIN co ON co.a = own.core LEFT JOIN nr USING (comp)"
+    return f"WITH RECURSIVE {ctes}, reach AS (SELECT a, b FROM ce UNION SELECT r.a, ce.b FROM reach r JOIN ce ON r.b = ce.a), {rest} SELECT vec_id AS image_index, coalesce(cluster, -1)::INTEGER AS cluster FROM own LEFT JOIN co ON co.a = own.core LEFT JOIN nr USING (comp)"
 
 
 @query()
 def dbscan(s, d):
-    """Clusters of the embeddings by density; noise is -1 here."""
-    e = table(s, d, "embeddings").select(F.col("vec_id").alias("image_index"), F.col("embedding").alias("features"))
-    return K.dbscan(e, 64, eps=0.9, min_samples=5).select(F.col("image_index").alias("vec_id"), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    """Clusters of the images by density; noise is -1 here."""
+    v = _vectors(s, d, "features").select("image_index", V.l2_normalize(F.col("features")).alias("features"))
+    return K.dbscan(v, DIM, eps=0.6, min_samples=5).select("image_index", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
 SQL["dbscan"] = _dbscan_sql()
