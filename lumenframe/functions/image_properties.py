@@ -230,6 +230,10 @@ def _overlap(r1: float, r2: float, d: float) -> float:
     return (a1 + a2 - lens) / (math.pi * min(r1, r2) ** 2)
 
 
+# fixed values: the defaults of the blob measure, and the widest sigma it looks for (the shorter side over 12, within 5 and 50)
+WIDEST = (12.0, 5.0, 50.0)
+
+
 def blobs(image: Plane | None, mask: Plane | None, low: float = 2.0, ratio: float = 1.6, threshold: float = 0.06, relative: float = 0.1, overlap: float = 0.3, border: int = 2) -> dict[str, float]:
     """Bright blobs by difference of Gaussians: their number, and mean and std of area 2 pi sigma^2 and of the scaled
     intensity at the centre. The widest sigma follows the image size; of blobs that overlap by over ``overlap`` the larger
@@ -243,7 +247,7 @@ def blobs(image: Plane | None, mask: Plane | None, low: float = 2.0, ratio: floa
         return dict.fromkeys(names, 0.0)
     lo, div = resolve_scale(float(x.min()), float(x.max()), image.dtype)
     x = (x - lo) / div
-    high = max(5.0, min(50.0, min(h, w) / 12.0))
+    high = max(WIDEST[1], min(WIDEST[2], min(h, w) / WIDEST[0]))
     sig = low * ratio ** np.arange(int(math.log(high / low, ratio) + 1) + 1)
     levels = [_gauss(x, s) for s in sig]
     cube = np.stack([(a - b) / (ratio - 1) for a, b in zip(levels, levels[1:])])

@@ -851,6 +851,52 @@ def store_roundtrip(s, d):
     return st.read("embeddings").join(_images(s, d), "image_index", "left_semi").agg(F.count("*").alias("n"))
 
 
+@query("SELECT mechanism, round(avg(dd), 6) AS mean, round(min(dd), 6) AS min, round(max(dd), 6) AS max, count(*) AS count FROM img JOIN (SELECT image_index, list_distance(v, c) AS dd FROM vn, refc) USING (image_index) WHERE dd BETWEEN 0.8 AND 1.0 GROUP BY mechanism")
+def distance_range(s, d):
+    i = _images(s, d).select("image_index", "compound", "mechanism")
+    r = D.reference_distances(i, _vectors(s, d, "features"), F.col("compound") == "vehicle", DIM)
+    return _r(D.distance_summary(r, ["mechanism"], 0.8, 1.0).drop("std"), "mean", "min", "max")
+
+
+@query("SELECT image_path AS file_path, regexp_replace(regexp_replace(image_path, '^.*/', ''), '(?i)\\.(nii\\.gz|tif|tiff|png|jpg|jpeg|bmp|npy|npz|nii|gif|webp|csv)$', '') AS filename FROM img WHERE image_path IS NOT NULL")
+def default_metadata(s, d):
+    f = _images(s, d).where("image_path IS NOT NULL").select(F.col("image_path").alias("file_path"))
+    return Y.default_metadata(f).select("file_path", "filename")
+
+
+@query("SELECT * FROM (SELECT 'rows' AS what, count(*) AS n FROM orders UNION ALL SELECT 'keys', count(DISTINCT o_orderkey) FROM orders UNION ALL SELECT 'appends', 2)")
+def stream_append(s, d):
+    """Rows that arrive in two parts which overlap, appended by a stream: each key once."""
+    import uuid
+
+    from lumenframe.runtime import shared_dir
+    from lumenframe.streaming.ingest import append_stream
+
+    root = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    o, st = table(s, d, "orders"), store.ResultStore(s, root + "/store")
+    for k, part in enumerate((o.where("o_orderkey % 3 < 2"), o.where("o_orderkey % 3 > 0"))):
+        part.write.mode("append").parquet(root + "/in")
+        append_stream(s.readStream.schema(o.schema).parquet(root + "/in"), st, "orders", "o_orderkey", root + "/checkpoint").awaitTermination()
+    got = st.read("orders").agg(F.count("*").alias("rows"), F.count_distinct("o_orderkey").alias("keys")).first()
+    return s.createDataFrame([("rows", got["rows"]), ("keys", got["keys"]), ("appends", len(st.run_log()))], "what string, n bigint")
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1")
+def stream_daily_counts(s, d):
+    """Events per day, counted by a stream with a watermark."""
+    import uuid
+
+    from lumenframe.runtime import shared_dir
+    from lumenframe.streaming.ingest import late_counts
+
+    root = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    e = table(s, d, "events").select("event_id", "ts")
+    e.write.parquet(root + "/in")
+    name = f"daily_{uuid.uuid4().hex}"
+    late_counts(s, root + "/in", "event_id bigint, ts timestamp", "ts").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", root + "/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return s.table(name).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n")
+
+
 _LIFE = "SELECT * FROM (SELECT 'appended' AS step, count(*) AS n FROM vec UNION ALL SELECT 'wider', count(*) FROM vec WHERE image_index % 2 = 1 UNION ALL SELECT 'updated', count(*) FROM vec WHERE image_index < 50 UNION ALL SELECT 'picked', count(*) FROM vec WHERE image_index IN (3, 5, 8) UNION ALL SELECT 'cloned', count(*) FROM vec UNION ALL SELECT 'cleared', 0 UNION ALL SELECT 'steps', 4)"
 
 
