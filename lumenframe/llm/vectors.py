@@ -105,6 +105,10 @@ class Centres:
 
     def cells(self, u: np.ndarray, probes: int, beam: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the ``probes`` nearest cells of each row, best first, and similarities; -1 where there are fewer."""
+        step = max(256, 2_000_000 // (beam * probes))  # bounds the arrays below
+        if len(u) > step:
+            parts = [self.cells(u[i : i + step], probes, beam) for i in range(0, len(u), step)]
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         near = nearest(u, self.top, beam)
         sims = np.full((len(u), near.shape[1], probes), -9, np.float32)
         at = np.full((len(u), near.shape[1], probes), -1, np.int64)
@@ -185,6 +189,13 @@ def _centres(t: pa.Table, top: np.ndarray, dim: int, share: float) -> Centres:
     return Centres(top, own, np.concatenate([c, top[lone].astype(np.float16).astype(np.float32)]), np.append(blocks, np.ones(len(lone), np.int64)), own << 32 | sub)
 
 
+def _slices(probes: int, *columns) -> Iterator[tuple]:
+    """Pieces of equally long columns, so that a piece in all its cells stays small; None stays None."""
+    step = max(256, 200_000 // probes)
+    for i in range(0, len(columns[0]), step):
+        yield tuple(None if c is None else c[i : i + step] for c in columns)
+
+
 PLACE = "cell bigint, block int, kind byte, id bigint, tag bigint, vec binary"
 PLACE_ARROW = pa.schema([("cell", pa.int64()), ("block", pa.int32()), ("kind", pa.int8()), ("id", pa.int64()), ("tag", pa.int64()), ("vec", pa.binary())])
 
@@ -251,7 +262,11 @@ def place(data: DataFrame, id_col: str, vec_col: str, dim: int, probes: int, pre
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for got in prepare(batches):
-                yield got if isinstance(got, pa.RecordBatch) else _rows(b.value, *got, np.ones(len(got[0]), bool), probes, beam, reach, codes, margin)
+                if isinstance(got, pa.RecordBatch):
+                    yield got
+                    continue
+                for part in _slices(probes, *got):
+                    yield _rows(b.value, *part, np.ones(len(part[0]), bool), probes, beam, reach, codes, margin)
 
         return data.mapInArrow(whole, PLACE), n
 
@@ -306,7 +321,8 @@ def place(data: DataFrame, id_col: str, vec_col: str, dim: int, probes: int, pre
                 here = _centres(own, top[at : at + 1], dim, share)
                 here.number = here.number | (at << 32)
             vec = rows.column("vec").combine_chunks()
-            yield _rows(here, np.asarray(rows.column("id")), unpack(vec, dim), np.asarray(rows.column("tag")), kind < 2, kind != 1, probes, 1, reach, codes, margin)
+            for part in _slices(probes, np.asarray(rows.column("id")), unpack(vec, dim), np.asarray(rows.column("tag")), kind < 2, kind != 1):
+                yield _rows(here, *part, probes, 1, reach, codes, margin)
 
     lead = cells.select(F.col("top").cast("bigint").alias("cell"), F.explode(F.sequence(F.lit(0), F.element_at(F.lit(salts.tolist()), F.col("top") + 1).cast("int") - 1)).alias("block"), F.lit(-1).cast("byte").alias("kind"), F.col("sub").cast("bigint").alias("id"), F.col("rows").alias("tag"), F.col("centre").alias("vec"))
     both = data.mapInArrow(travel, PLACE).unionByName(lead)
