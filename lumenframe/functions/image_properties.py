@@ -333,6 +333,17 @@ def pad_to(x: Plane, size: int) -> Plane:
     return np.pad(x, ((t, max(0, size - h) - t), (left, max(0, size - w) - left), *[(0, 0)] * (x.ndim - 2)))
 
 
+# fixed values: mean and standard deviation of the three channels that most public vision models expect
+IMAGENET = ((0.485, 0.456, 0.406), (0.229, 0.224, 0.225))
+
+
+def standardize(x: Plane, mean: tuple[float, ...], std: tuple[float, ...]) -> Plane:
+    """Per channel (x - mean) / std; with more channels than means the first of them holds for all."""
+    c = x.shape[2]
+    m, d = (np.asarray(v[:c] if len(v) >= c else (v[0],) * c, np.float32) for v in (mean, std))
+    return (x - m) / d
+
+
 def resize(x: Plane, size: int) -> Plane:
     """Bilinear to size x size."""
     h, w = x.shape[:2]

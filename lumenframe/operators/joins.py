@@ -117,6 +117,18 @@ def replace_catalog(catalog: DataFrame, cohort: DataFrame, properties: list[str]
     return cohort.drop(*properties).join(have, path, "left")
 
 
+def overlay_by_path(images: DataFrame, prior: DataFrame, properties: list[str], path: str = "image_path") -> DataFrame:
+    """Images with the properties that an earlier table has under their path, in place of their own; others keep theirs.
+
+    Of several earlier rows of a path the first by its properties counts; rows without any property don't.
+    """
+    have = keep_first(prior.where(reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in properties])), path, properties)
+    have = have.where(F.col(path).isNotNull()).select(F.col(path).alias("_p"), F.lit(True).alias("_on"), *[F.col(c).alias(f"_was_{c}") for c in properties])
+    j = images.join(have, images[path] == have["_p"], "left")
+    own = lambda c: F.col(c) if c in images.columns else F.lit(None)
+    return j.withColumns({c: F.when(F.col("_on"), F.col(f"_was_{c}")).otherwise(own(c)) for c in properties}).drop("_p", "_on", *[f"_was_{c}" for c in properties])
+
+
 def append_temporal(catalog: DataFrame, new: DataFrame, metadata: list[str], vec: str = "embedding") -> DataFrame:
     """Session rows: text metadata they lack is ``Temporal``, source is ``NEW``, other columns null; equal vector length."""
     dims = [x.select(F.size(vec)).where(F.col(vec).isNotNull()).limit(1).collect() for x in (catalog, new)]

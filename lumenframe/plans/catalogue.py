@@ -813,6 +813,13 @@ def enrich_metadata(s, d):
     return J.enrich_metadata(i.select("image_index", "compound"), i.where("replicate = 2").select("image_index", F.col("mechanism").alias("compound")), "image_index")
 
 
+@query("SELECT i.image_index, CASE WHEN p.image_path IS NOT NULL THEN p.c ELSE i.concentration END AS concentration FROM img i LEFT JOIN (SELECT image_path, min(-concentration) AS c FROM img WHERE replicate = 1 AND concentration IS NOT NULL GROUP BY 1) p USING (image_path)")
+def overlay_by_path(s, d):
+    i = _images(s, d).select("image_index", "image_path", "concentration", "replicate")
+    prior = i.where("replicate = 1").select("image_path", (-F.col("concentration")).alias("concentration"))
+    return J.overlay_by_path(i, prior, ["concentration"]).select("image_index", "concentration")
+
+
 @query("SELECT coalesce(a.image_index, b.image_index) AS image_index, coalesce(b.concentration, a.concentration) AS concentration, b.replicate FROM (SELECT image_index, concentration FROM img WHERE replicate <= 2) a FULL JOIN (SELECT image_index, concentration + 1 AS concentration, replicate FROM img WHERE replicate >= 2) b USING (image_index)")
 def merge_properties(s, d):
     i = _images(s, d)

@@ -212,6 +212,13 @@ def image_embeddings_split(s, d):
     return _flat(Session.find_files(s, fixture(s) + "/in").process_images(None, toy_model, size=32, channel_mode="split").embeddings)
 
 
+@query(_EMB.format(x="((m / 4 - 0.485) / 0.229 + (m / 4 - 0.456) / 0.224 + (m / 4 - 0.406) / 0.225) / 3 * 2 + pos", n=8))
+def image_transforms(s, d):
+    """Black margins to twice the side, means and deviations of the channels, and a function of the caller."""
+    c = Session.find_files(s, fixture(s) + "/in")
+    return _flat(c.process_images(None, toy_model, size=None, pad=32, normalize=ip.IMAGENET, transforms=[lambda x: x * 2]).embeddings)
+
+
 @query("SELECT 1::BIGINT AS first, 3::BIGINT AS total, 3::BIGINT AS images, 0::BIGINT AS again")
 def image_resume(s, d):
     """A run over one drug, then one over all: stored images are not computed twice."""

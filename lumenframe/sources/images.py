@@ -269,13 +269,13 @@ def compute_properties(catalog: DataFrame, functions: list[tuple[str, ip.Propert
     return file_rows(catalog, root, key=key, mask=mask).mapInPandas(run, schema)
 
 
-def extract_embeddings(catalog: DataFrame, make_model: Callable[[], Callable[[np.ndarray], np.ndarray]], size: int = 224, channel_mode: str = "combined", batch_size: int = 32, root: str | None = None, key: str = "image_index", preprocess: Callable | None = None, transforms: list[Callable] | None = None) -> DataFrame:
+def extract_embeddings(catalog: DataFrame, make_model: Callable[[], Callable[[np.ndarray], np.ndarray]], size: int | None = 224, channel_mode: str = "combined", batch_size: int = 32, root: str | None = None, key: str = "image_index", preprocess: Callable | None = None, transforms: list[Callable] | None = None, pad: int | None = None, normalize: tuple | None = None) -> DataFrame:
     """``(key, embedding, error)``: a model maps (B, C, H, W) float32 to (B, D); it is made once per Python worker and gets up
     to ``batch_size`` images at a time.
 
     combined feeds three channels; split feeds every channel as gray RGB, normalises each vector and concatenates them.
-    ``preprocess`` works on the scaled image before it is resized, ``transforms`` follow one after the other on (H, W, 3)
-    planes. Images that cannot be read keep their row with the error; a model that fails ends the job.
+    Steps: values to [0, 1] by their range, ``preprocess``, black margins up to ``pad``, resizing to ``size`` (None leaves
+    it, for images of one size), three channels, ``normalize`` by (means, deviations), then ``transforms`` one after the other. Images that cannot be read keep their row with the error; a model that fails ends the job.
     """
     kind = catalog.schema[key].dataType.simpleString()
 
@@ -284,8 +284,11 @@ def extract_embeddings(catalog: DataFrame, make_model: Callable[[], Callable[[np
         lo, div = ip.resolve_scale(float(x.min()), float(x.max()), x.dtype)
         x = (x.astype(np.float32) - lo) / div
         x = preprocess(x) if preprocess else x
-        x = ip.resize(x, size).astype(np.float32)
+        x = ip.pad_to(x, pad) if pad else x
+        x = (ip.resize(x, size) if size else x).astype(np.float32)
         out = [ip.to_rgb(x)] if channel_mode == "combined" else [ip.to_rgb(x[..., i : i + 1]) for i in range(x.shape[2])]
+        if normalize:
+            out = [ip.standardize(p, *normalize) for p in out]
         for t in transforms or ():
             out = [np.asarray(t(p), np.float32) for p in out]
         return [p.transpose(2, 0, 1) for p in out]
