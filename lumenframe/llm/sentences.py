@@ -36,7 +36,7 @@ _CAND = regex.compile(rf"[{regex.escape(MARKS)}]+|(?<=[{SPACED}])\s+(?=\S)|(?<=\
 _TOKEN = regex.compile(r"\S+")
 _QUOTE = regex.compile(r"[\"“”«»「」『』（）()\[\]【】《》„‹›［］]")
 _AHEAD = regex.compile(r"(\S+)(?:\s+(\S+))?")
-_NUMBER = regex.compile(r"^\d{1,4}[.)]\s+")
+_NUMBER = regex.compile(r"\d{1,4}[.)]\s+")
 _DIGITS = regex.compile(r"\d+")
 _RUN_ON = regex.compile(r"^\p{Ll}\.\p{Lu}\p{Ll}")
 _LIST = regex.compile(r"^\s*(?:\d{1,4}|[A-Za-z])[.)]$")
@@ -130,45 +130,55 @@ def _between(text: str, lo: int, end: int, nxt: int, hi: int) -> Iterator[tuple[
 def _paragraph(text: str, lo: int, hi: int) -> Iterator[tuple[int, int, bool, tuple]]:
     pairs = [(a + lo, b + lo) for a, b in _pairs(text[lo:hi])]
     inside, openers, closers = _outer(pairs), {a for a, _ in pairs}, {b: a for a, b in pairs}
-    n_in = 0
+    n_in, ends = 0, len(inside)
     line = lo  # where the line of the mark begins
     for m in _CAND.finditer(text, lo, hi):
-        s, e = m.start(), m.end()
-        blank = m[0].isspace()
-        while not blank and e < hi:
-            # closers stay with the mark; a sign that opens a pair starts the next unit
-            if text[e] in CLOSE and e not in openers:
-                e += 1
-            elif text[e].isspace() and e + 1 in closers:
-                e += 2
-            else:
-                break
-        while n_in < len(inside) and inside[n_in][1] < s:
-            n_in += 1
-        if n_in < len(inside) and inside[n_in][0] < s and inside[n_in][1] >= e:
-            continue
-        if blank:
+        s, e = m.span()
+        c = text[s]
+        if c.isspace():
             left, right = s, e
+            if n_in < ends:
+                while n_in < ends and inside[n_in][1] < s:
+                    n_in += 1
+                if n_in < ends and inside[n_in][0] < s and inside[n_in][1] >= e:
+                    continue
         else:
+            while e < hi:
+                # closers stay with the mark; a sign that opens a pair starts the next unit
+                x = text[e]
+                if x in CLOSE and e not in openers:
+                    e += 1
+                elif e + 1 in closers and x.isspace():
+                    e += 2
+                else:
+                    break
+            if n_in < ends:
+                while n_in < ends and inside[n_in][1] < s:
+                    n_in += 1
+                if n_in < ends and inside[n_in][0] < s and inside[n_in][1] >= e:
+                    continue
             left = right = e
             while right < hi and text[right].isspace():
                 right += 1
             if right >= hi:
                 continue
             if right == left:
-                c, nxt = text[s], text[right]
-                if c == "." and s > lo and text[s - 1].isdigit() and nxt.isdigit():
-                    continue
-                if c in "!?" and not (nxt.isupper() or nxt in PAIRS or _script(nxt) not in "LC"):
-                    continue
-                if c in "．" and nxt.isdigit():
-                    continue
-            line = max(line, text.rfind("\n", line, s) + 1)
-            if e - s == 1 and s - line <= 40 and _LIST.match(text[line:e]):
-                head = text[line:s].strip()
-                if head and not head.isalpha():
+                nxt = text[right]
+                if c == ".":
+                    if s > lo and text[s - 1].isdigit() and nxt.isdigit():
+                        continue
+                elif c in "!?":
+                    if not (nxt.isupper() or nxt in PAIRS or _script(nxt) not in "LC"):
+                        continue
+                elif c == "．" and nxt.isdigit():
                     continue
-        brk = "\n" in text[left:right]
+            if e - s == 1:
+                line = max(line, text.rfind("\n", line, s) + 1)
+                if s - line <= 40 and _LIST.match(text[line:e]):
+                    head = text[line:s].strip()
+                    if head and not head.isalpha():
+                        continue
+        brk = right > left and "\n" in text[left:right]
         yield left, right, brk, context(text, lo, left, right, hi, closers, brk)
 
 
@@ -185,6 +195,7 @@ def _script_before(text: str, lo: int, left: int) -> str:
     return next((_script(c) for c in reversed(text[max(lo, left - 12) : left]) if c not in MARKS and c not in CLOSE and not c.isspace()), "O")
 
 
+EDGE = frozenset(_EDGE)
 WINDOW = 120  # characters on either side of a mark that a context is cut from
 
 
@@ -194,7 +205,9 @@ def context(text: str, lo: int, left: int, right: int, hi: int, closers: dict[in
 
     ``lo`` is where the paragraph of the mark begins, ``hi`` where that of the right side ends, ``closers`` the places of closing signs and where their pairs open.
     """
-    i, low = left, max(lo, left - WINDOW)
+    i, low = left, left - WINDOW
+    if low < lo:
+        low = lo
     while i > low and ((c := text[i - 1]) in EITHER or c.isspace() and i < left and text[i] in CLOSE):
         i -= 1
     mark = text[i:left] if left - i < 2 else "".join(text[i:left].split())
@@ -211,22 +224,29 @@ def context(text: str, lo: int, left: int, right: int, hi: int, closers: dict[in
                 k -= 1
             p = text[k - 1] if k > lo else ""
             quote = "start" if not p or p in MARKS or p in CLOSE or "\n" in text[k:o] else "colon" if p in ":：" else "comma" if p in ",，、" else "mid"
-    rest = text[right : min(hi, right + WINDOW)]
-    if brk:
-        rest = _NUMBER.sub("", rest, count=1)
-    m = _AHEAD.match(rest)
+    end = min(hi, right + WINDOW)
+    at = right
+    if brk and (m := _NUMBER.match(text, at, end)):
+        at = m.end()
+    m = _AHEAD.match(text, at, end)
     r1, r2 = m.groups() if m else ("", None)
-    opener = r1[:1] if r1[:1] in _EDGE else ""
+    opener = ""
+    if r1:
+        if r1[0] in EDGE:
+            opener = r1[0]
+            r1 = r1.strip(_EDGE) or r1
+        elif r1[-1] in EDGE:
+            r1 = r1.strip(_EDGE)
     # a full stop or ellipsis without the blank its script has
     joined = ""
     if left == right:
         k = left
         while k > low and text[k - 1] in CLOSE:
             k -= 1
-        end = text[k - 1 : k]
-        if end == "." or end in ("…", "‥") and _script(text[right]) != "J":
+        z = text[k - 1 : k]
+        if z == "." or z in ("…", "‥") and _script(text[right]) != "J":
             joined = "plain" if _RUN_ON.search(text[max(lo, left - 2) : left] + text[right : right + 2]) else "odd"
-    return mark, _fold(w1), _fold(w2), quote, opener, _fold(r1.strip(_EDGE) or r1), _fold(r2) if r2 else "", joined
+    return mark, w1 if w1.isalpha() else _fold(w1), w2 if w2.isalpha() else _fold(w2), quote, opener, r1 if r1.isalpha() else _fold(r1), "" if not r2 else r2 if r2.isalpha() else _fold(r2), joined
 
 
 @lru_cache(maxsize=100_000)
@@ -242,7 +262,8 @@ def hashed(mark: str, w1: str, w2: str, quote: str, opener: str, n1: str, n2: st
         r1 = n1.rstrip(".,;:!?")
         f = [f"w{l1}", f"s{s1}", f"n{r1}", f"t{t1[:3]}", f"wn{l1}|{t1[:2]}", f"st{s1}|{t1[:2]}", f"sn{s1}|{r1}", f"ww{l2}|{s1}", f"l{min(len(w1), 6)}|{t1[:1]}", f"wnn{l1}|{r1}", f"nn{r1}|{_shape(n2)[:2]}", f"w2s{_shape(w2)[:3]}|{s1}|{t1[:2]}"]
     f += [f"m{mark}", f"m0{mark[:1]}|{quote}", f"q{quote}|{_shape(n1)[:1]}", f"qn{quote}|{n1[:3]}" if quote else "q", f"o{opener}|{mark[:1]}", "1"]
-    return tuple(zlib.crc32((script + x).encode()) % WIDTH for x in f)
+    seed = zlib.crc32(script.encode())  # as if the script stood before each feature
+    return tuple([zlib.crc32(x.encode(), seed) % WIDTH for x in f])
 
 
 def fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, rounds: int = 70, seen: int = 6) -> np.ndarray:
@@ -326,7 +347,7 @@ def learn(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, k: np.ndarray, neve
     return fit(place[rows[use]], cols[use], label[sure])
 
 
-def units(text: str, w: np.ndarray, known: dict | None = None) -> list[tuple[int, int]]:
+def units(text: str, w: np.ndarray | list[float], known: dict | None = None) -> list[tuple[int, int]]:
     """``(start, end)`` of the sentence units of one text; ``known`` keeps scores of contexts between texts."""
     known = {} if known is None else known
     if not text or not text.strip():
@@ -336,7 +357,7 @@ def units(text: str, w: np.ndarray, known: dict | None = None) -> list[tuple[int
         if right >= 0:
             z = known.get(c)
             if z is None:
-                z = known[c] = float(w[list(hashed(*c[:7]))].sum()) - (JOINED if c[7] else 0)
+                z = known[c] = sum([w[i] for i in hashed(*c[:7])]) - (JOINED if c[7] else 0)
             if z >= 0:
                 cuts.append((left, right))
     cuts.sort()
@@ -364,7 +385,7 @@ def split_sentences(documents: DataFrame, text: str = "text", doc_id: str = "doc
     b = spark.sparkContext.broadcast(train(documents if train_on is None else train_on, text, doc_id, fit_docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, known = b.value, {}
+        w, known = b.value.tolist(), {}  # single weights come faster from a list
         for batch in batches:
             if len(known) > 200_000:
                 known.clear()
