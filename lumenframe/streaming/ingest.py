@@ -12,12 +12,13 @@ from lumenframe.sources.store import ResultStore
 
 def append_stream(rows: DataFrame, store: ResultStore, name: str, key: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Append rows of a stream whose key the stored table lacks; a micro-batch that is repeated after a failure adds nothing,
-    since its keys are stored already."""
+    since its keys are stored already. Of the stored table only files whose keys overlap the batch's range are read."""
 
     def put(batch: DataFrame, _: int) -> None:
         new = batch.dropDuplicates([key])
         if store.has(name):
-            new = not_done(new, store.read(name), key)
+            lo, hi = new.agg(F.min(key), F.max(key)).first()
+            new = not_done(new, store.read(name).where(F.col(key).between(lo, hi)), key)
         if not new.isEmpty():
             store.append(name, new)
 
