@@ -390,7 +390,7 @@ def split_sentences(documents: DataFrame, text: str = "text", doc_id: str = "doc
             if len(known) > 200_000:
                 known.clear()
             found = [units(t, w, known) if t else [] for t in batch.column("text").to_pylist()]
-            n = np.array([len(u) for u in found])
+            n = np.array([len(u) for u in found], np.int64)
             flat = np.array([x for u in found for x in u], np.int32).reshape(-1, 2)
             ids = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(n)), n)))
             yield pa.RecordBatch.from_arrays([ids, pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["doc_id", "start_char", "end_char"])
