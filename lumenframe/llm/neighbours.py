@@ -106,7 +106,7 @@ def _surplus_copies(data: DataFrame, id_col: str, vec_col: str, k: int, dim: int
     return surplus, keep
 
 
-def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int = 128, least: float | None = None, probes: int = 4, slack: float = 0.4, beam: int = 4, margin: float | None = None) -> DataFrame:
+def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int = 128, least: float | None = None, probes: int = 4, slack: float = 0.4, beam: int = 8, margin: float | None = None) -> DataFrame:
     """``(query, neighbour, similarity)``: up to k most similar other vectors of every usable vector.
 
     Every vector is placed in its nearest cell and looked up in its ``probes`` nearest cells. With ``least`` only

@@ -103,7 +103,7 @@ class Centres:
         self.start = np.searchsorted(owner[order], np.arange(len(top) + 1))
         self.number = order if number is None else number[order]
 
-    def cells(self, u: np.ndarray, probes: int, beam: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    def cells(self, u: np.ndarray, probes: int, beam: int = 8) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the ``probes`` nearest cells of each row, best first, and similarities; -1 where there are fewer."""
         step = max(256, 2_000_000 // (beam * probes))  # bounds the arrays below
         if len(u) > step:
@@ -234,7 +234,7 @@ def _rows(c: Centres, ids: np.ndarray, x: np.ndarray, tag: np.ndarray, probe: np
     return pa.RecordBatch.from_arrays([pa.array(c.number[cells]), pa.array(np.concatenate(blks).astype(np.int32)), pa.array(np.concatenate(kinds)), pa.array(ids[rows]), pa.array(tags[rows], mask=no[rows]), pa.array(packed, pa.binary())], schema=PLACE_ARROW)
 
 
-def place(data: DataFrame, id_col: str, vec_col: str, dim: int, probes: int, prepare=None, reach: float | None = None, codes=None, beam: int = 4, margin: float | None = None) -> tuple[DataFrame, int]:
+def place(data: DataFrame, id_col: str, vec_col: str, dim: int, probes: int, prepare=None, reach: float | None = None, codes=None, beam: int = 8, margin: float | None = None) -> tuple[DataFrame, int]:
     """Rows spread over the cells of a fitted index, ready to be met there, and the number of rows of the table.
 
     ``prepare`` turns a batch iterator into ``(ids, vectors, tag, probe)`` or finished record batches of PLACE, which pass
