@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenframe.functions.vectors import distance, l2_normalize, mean_vector
-
-REFERENCE_BLOCK = 16_384  # most reference vectors that are broadcast at once
+from lumenframe.operators import cells
+from lumenframe.runtime import materialize, release
 
 
 def centroid_distances(feats: DataFrame, reference: Column, dim: int, kind: str = "euclidean", key: str = "image_index", vec: str = "features") -> DataFrame:
@@ -28,43 +29,57 @@ def centroid_distances(feats: DataFrame, reference: Column, dim: int, kind: str
 def nearest_reference_distances(feats: DataFrame, reference: Column, dim: int, kind: str = "euclidean", key: str = "image_index", vec: str = "features") -> DataFrame:
     """``(key, is_reference, distance)``: the least distance to any reference row (0 for reference rows themselves).
 
-    References go out in broadcasts of at most REFERENCE_BLOCK vectors; each pass is a BLAS product per Arrow batch.
+    All rows meet all references, by way of :class:`cells.Search`, which leaves out what cannot be nearest. Vectors that
+    repeat are one reference; one with a value that is not finite is none, and has no distance. References are broadcast in
+    turn, cells.HELD bytes at most, and what a pass finds is written.
     """
-    spark = feats.sparkSession
-    f = feats.select(key, F.transform(vec, lambda x: x.cast("double")).alias("_v"), F.coalesce(reference, F.lit(False)).alias("is_reference"))
-    refs = f.where("is_reference").select(key, "_v")
-    blocks = max(1, -(-refs.count() // REFERENCE_BLOCK))
+    f = materialize(feats.select(key, F.col(vec).alias("_v"), F.coalesce(reference, F.lit(False)).alias("is_reference")), "rows")
+    refs = materialize(f.where("is_reference").select("_v").distinct(), "references")
+    passes = cells.passes(refs.count(), dim)
     kind_of = feats.schema[key].dataType.simpleString()
-    out = None
-    for i in range(blocks):
-        part = refs.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i).select("_v").toArrow()
-        r = np.asarray(part.column(0).combine_chunks().flatten()).reshape(-1, dim) if part.num_rows else np.zeros((0, dim))
+    found = []
+    for i in range(passes):
+        part = refs.where(F.pmod(F.xxhash64("_v"), F.lit(passes)) == i).toArrow()
+        r = _matrix(part.column(0).combine_chunks(), dim)
+        r = r[np.isfinite(r).all(1)]
+        del part
         n = np.linalg.norm(r, axis=1, keepdims=True)
-        b = spark.sparkContext.broadcast(r / np.where(n == 0, 1, n))
+        # rows of length 1 are searched; a zero row lies at 1 from them, in either measure
+        b = feats.sparkSession.sparkContext.broadcast((cells.Cells((r / np.where(n == 0, 1, n))[n[:, 0] > 0]), len(r) > 0, bool((n == 0).any())))
+        del r
 
         def run(batches: Iterator[pa.RecordBatch], b=b) -> Iterator[pa.RecordBatch]:
-            r = b.value
-            rn = (r * r).sum(1)
+            held, some, zero = b.value
+            s = cells.Search(held)
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                x = np.asarray(batch.column("_v").flatten()).reshape(-1, dim)
-                n = np.linalg.norm(x, axis=1, keepdims=True)
-                x = x / np.where(n == 0, 1, n)
-                if not len(r):
-                    d = np.full(len(x), np.nan)
-                elif kind == "cosine":
-                    d = 1 - (x @ r.T).max(1)
+                x = _matrix(batch.column("_v"), dim)
+                n = np.linalg.norm(x, axis=1)
+                x = x / np.where(n == 0, 1, n)[:, None]
+                d = np.full(len(x), np.inf)
+                ok = np.isfinite(x).all(1)
+                if len(held.x) and ok.any():
+                    s.set(x[ok])
+                    d[ok] = s.nearest()
+                if kind == "cosine":
+                    d = np.where(n == 0, 1.0, d * d / 2)
+                    d = np.minimum(d, 1.0) if zero else d
                 else:
-                    # candidates by the product form, the winner's distance by differences: no cancellation near 0
-                    at = ((x * x).sum(1)[:, None] + rn - 2 * (x @ r.T)).argmin(1)
-                    d = np.sqrt(((x - r[at]) ** 2).sum(1))
-                d = np.where(n[:, 0] == 0, 1.0, d) if kind == "cosine" else d
+                    d = np.where(n == 0, 0.0 if zero else 1.0, np.minimum(d, 1.0) if zero else d)
+                d[~ok] = np.nan
+                d = d if some else np.where((n == 0) & (kind == "cosine"), 1.0, np.nan)
                 yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("is_reference"), pa.array(d, mask=np.isnan(d))], names=[key, "is_reference", "distance"])
 
-        found = f.select(key, "is_reference", "_v").mapInArrow(run, f"{key} {kind_of}, is_reference boolean, distance double")
-        out = found if out is None else out.unionByName(found)
-    return out if blocks == 1 else out.groupBy(key, "is_reference").agg(F.min("distance").alias("distance"))
+        found.append(materialize(f.mapInArrow(run, f"{key} {kind_of}, is_reference boolean, distance double"), "nearest"))
+        b.destroy()
+    release(f)
+    release(refs)
+    return found[0] if passes == 1 else reduce(DataFrame.unionByName, found).groupBy(key, "is_reference").agg(F.min("distance").alias("distance"))
+
+
+def _matrix(col: pa.Array, dim: int) -> np.ndarray:
+    return np.asarray(col.flatten()).astype(float).reshape(-1, dim)
 
 
 def reference_distances(images: DataFrame, feats: DataFrame, reference: Column, dim: int, keep: Column | None = None, mode: str = "centroid", kind: str = "euclidean", key: str = "image_index") -> DataFrame:

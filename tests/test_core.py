@@ -116,6 +116,46 @@ def test_distances_and_outliers(spark):
     assert {r["g"] for r in p} == {"g", None} and max(r["rank_in_group"] for r in p) == 2
 
 
+def bounded(monkeypatch, spark, mb):
+    """Python functions over batches of rows fail, if what they hold at once grows by more than this."""
+    kind = type(spark.range(1))
+    real = kind.mapInArrow
+
+    def watched(self, f, schema, *more, **options):
+        def run(batches):
+            import tracemalloc
+
+            tracemalloc.start()
+            yield from f(batches)
+            most = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            if most > mb << 20:
+                raise MemoryError(f"{most >> 20} MB")
+
+        return real(self, run, schema, *more, **options)
+
+    monkeypatch.setattr(kind, "mapInArrow", watched)
+
+
+@pytest.mark.parametrize("held", [None, 60_000])
+def test_nearest_of_many_references_in_little_memory(spark, monkeypatch, held):
+    if held:
+        monkeypatch.setattr(distance.cells, "HELD", held)
+    bounded(monkeypatch, spark, 100)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 0.1, (4000, 3)) for c in ([3, 0, 0], [0, 3, 0])])
+    x[5] = 0
+    f = spark.createDataFrame([(i, i >= 2000, [float(v) for v in r]) for i, r in enumerate(x)], "image_index bigint, ref boolean, features array<double>").coalesce(1)
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    u = x / np.where(n == 0, 1, n)
+    for kind in ("euclidean", "cosine"):
+        got = {r["image_index"]: r["distance"] for r in distance.nearest_reference_distances(f, F.col("ref"), 3, kind).collect()}
+        for i in range(40):
+            d = np.sqrt(((u[i] - u[2000:]) ** 2).sum(1)) if kind == "euclidean" else 1 - u[2000:] @ u[i]
+            assert abs(got[i] - (1.0 if i == 5 else d.min())) < 1e-12
+        assert {got[i] for i in range(2000, 8000)} == {0.0}
+
+
 def test_correlations(spark):
     rng = np.random.default_rng(2)
     x, y = rng.normal(size=(40, 4)), rng.normal(size=40)
