@@ -183,6 +183,36 @@ def test_dense_clusters_in_little_memory(spark, monkeypatch, held, flags):
         assert got[i] == (None if at is None else names[lab[at]])
 
 
+def test_mutual_information_of_long_columns(spark):
+    import tracemalloc
+
+    def plain(x, y, k=3):
+        x, y = ((v - v.mean()) / v.std() for v in (x, y))
+        dx, dy = (np.abs(v[:, None] - v) for v in (x, y))
+        d = np.maximum(dx, dy)
+        np.fill_diagonal(d, np.inf)
+        r = np.nextafter(np.sort(d, 1)[:, k - 1], 0)[:, None]
+        n = len(x)
+        counts = special.digamma(np.maximum((dx <= r).sum(1), 1)) + special.digamma(np.maximum((dy <= r).sum(1), 1))
+        mi = special.digamma(np.array([n]))[0] + special.digamma(np.array([k]))[0] - counts.mean()
+        return np.sqrt(max(0.0, 1 - np.exp(-2 * max(mi, 0))))
+
+    rng = np.random.default_rng(8)
+    a = rng.normal(size=1500)
+    cases = [(a, a + rng.normal(size=1500)), (a**5, np.abs(a) ** 0.2), (np.repeat(a[:300], 5), np.repeat(a[300:600], 5)), (a, np.append(np.zeros(1499), 3.0)), (np.append(a[1:], 1e6), a)]
+    for x, y in cases:
+        assert abs(correlation.mutual_information_correlation(x, y) - plain(x, y)) < 1e-9
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(*cases[2])], "p double, t double")
+    assert abs(correlation.property_correlations(df, "t", ["p"], "mutual_info").first()["r"] - plain(*cases[2])) < 1e-9
+    x = rng.normal(size=20_000)
+    y = x + rng.normal(size=20_000)
+    tracemalloc.start()
+    assert abs(correlation.mutual_information_correlation(x, y) - np.sqrt(0.5)) < 0.02
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 << 20
+
+
 def test_correlations(spark):
     rng = np.random.default_rng(2)
     x, y = rng.normal(size=(40, 4)), rng.normal(size=40)
