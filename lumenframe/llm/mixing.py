@@ -178,7 +178,8 @@ def mix(documents: DataFrame, targets: DataFrame, soft: bool = False, tokenizer:
     """``(plan, report)``.
 
     plan ``(doc_id, source, tokens, copies)``: how often each drawn document is used, at most the ``max_repeats`` of its
-    (likeliest) source; report ``(source, token_share, tokens, need, passes, short, drawn, actual_share)``, a row a target.
+    (likeliest) source; report ``(source, token_share, tokens, need, passes, short, drawn, actual_share, alone_passes, alone_short)``,
+    a row a target.
 
     A source needs ``token_share`` of ``total``: the tokens of all documents with a source, another number, or
     "reachable": the largest total, up to the first, at which no source runs out (sources without any tokens aside).
@@ -186,7 +187,9 @@ def mix(documents: DataFrame, targets: DataFrame, soft: bool = False, tokenizer:
     membership; else they aren't read. Rates come from :func:`fit_rates`. A rate's whole part is copies for all; its
     fraction goes, per likeliest source, to the documents of the smallest hash over fraction, until the tokens wanted are
     reached to one document. ``passes`` is the rate of the source's own documents rounded up (``max_repeats`` where a source in
-    need has no tokens); ``short`` tells that its documents must be repeated or do not suffice. Documents of sources that
+    need has no tokens); ``short`` tells that its documents must be repeated or do not suffice. Where ``soft`` documents help,
+    ``alone_passes`` and ``alone_short`` say the same of its own documents without them: a second run of the gradient over the
+    documents with a source. Documents of sources that
     are no targets aren't drawn. Rows repeated under one id, or without one, are drawn each by itself. Targets are few by
     nature; a null share or source is ignored.
     """
@@ -212,6 +215,11 @@ def mix(documents: DataFrame, targets: DataFrame, soft: bool = False, tokenizer:
     need = share * whole
     misses, reached = fit_rates(classes, need, np.maximum(have, 1e-9), cap)
     release(classes)
+    fits = [(misses, reached)] * 2
+    if soft:
+        alone = materialize(m.where("source IS NOT NULL").groupBy("member").agg(F.sum("tokens").alias("tokens")), "alone")
+        fits[1] = fit_rates(alone, need, np.maximum(own, 1e-9), cap)
+        release(alone)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -237,11 +245,11 @@ def mix(documents: DataFrame, targets: DataFrame, soft: bool = False, tokenizer:
     if k:
         r = plan.agg(*[F.sum(F.col("member")[i] * F.col("tokens") * F.col("copies")) for i in range(k)]).first()
         got = np.array([x or 0.0 for x in r])
-    fitted = rates(np.eye(k), cap, misses)
+    fitted = [(rates(np.eye(k), cap, steps), to) for steps, to in fits]
     rows = []
     for i, s in enumerate(domains):
-        short = bool(need[i] > 0 and (own[i] == 0 or fitted[i] > 1 + 1e-9 or reached[i] < need[i] * (1 - 1e-6)))
-        passes = (int(cap[i]) if not own[i] else max(1, int(np.ceil(fitted[i] - 1e-9)))) if need[i] > 0 else 0
-        rows.append((s, float(share[i]), int(own[i]), float(need[i]), passes, short, int(round(got[i])), round(float(got[i] / max(got.sum(), 1.0)), 6)))
-    report = spark.createDataFrame(rows, "source string, token_share double, tokens bigint, need double, passes int, short boolean, drawn bigint, actual_share double")
+        short = [bool(need[i] > 0 and (own[i] == 0 or rate[i] > 1 + 1e-9 or to[i] < need[i] * (1 - 1e-6))) for rate, to in fitted]
+        passes = [(int(cap[i]) if not own[i] else max(1, int(np.ceil(rate[i] - 1e-9)))) if need[i] > 0 else 0 for rate, _ in fitted]
+        rows.append((s, float(share[i]), int(own[i]), float(need[i]), passes[0], short[0], int(round(got[i])), round(float(got[i] / max(got.sum(), 1.0)), 6), passes[1], short[1]))
+    report = spark.createDataFrame(rows, "source string, token_share double, tokens bigint, need double, passes int, short boolean, drawn bigint, actual_share double, alone_passes int, alone_short boolean")
     return plan.drop("member"), report

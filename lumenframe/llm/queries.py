@@ -161,13 +161,14 @@ def p6_planted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    _, report = mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
-    return report.where("short").select("source", "passes")
+    """The mixture by the whole method; the cases are those of the sources' own documents."""
+    _, report = mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), soft=True)
+    return report.where("alone_short").select("source", F.col("alone_passes").alias("passes"))
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     """Shares reached, when documents without a source are drawn by their posteriors as well and no source runs out."""
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), soft=True, total="reachable")[1]
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), soft=True, total="reachable")[1].drop("alone_passes", "alone_short")
 
 
 def p7_plan(spark: SparkSession, d: str) -> DataFrame:

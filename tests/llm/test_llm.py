@@ -466,6 +466,25 @@ def test_soft_mixing_draws_each_document_once(spark):
     assert abs(sum(r["actual_share"] for r in rep.values()) - 1) < 1e-5
 
 
+def test_cases_of_own_documents_come_from_the_whole_method(spark, tmp_path, monkeypatch):
+    """Documents without a source are classified and drawn; the cases are still those of the sources' own documents."""
+    from lumenframe.llm import queries
+
+    big, small = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    docs = [(i, big, "big") for i in range(300)] + [(1000 + i, small, "small") for i in range(60)] + [(2000 + i, small, None) for i in range(100)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("big", 0.6, 1), ("small", 0.4, 25)], "source string, token_share double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    fitted, reports = [], []
+    fit, mix = mixing.fit_domains, mixing.mix
+    monkeypatch.setattr(mixing, "fit_domains", lambda *a, **k: fitted.append(1) or fit(*a, **k))
+    monkeypatch.setattr(mixing, "mix", lambda *a, **k: reports.append(mix(*a, **k)) or reports[-1])
+    assert [tuple(r) for r in queries.p7_found(spark, str(tmp_path)).collect()] == [("small", 3)] and fitted
+    plan, report = reports[0]
+    r = {x["source"]: x for x in report.collect()}["small"]
+    assert not r["short"] and r["passes"] == 1 and r["alone_short"] and r["alone_passes"] == 3
+    assert plan.where("source IS NULL").count() > 0
+
+
 def test_gradient_reaches_targets(spark):
     c = spark.createDataFrame([([1.0, 0.0], 100), ([0.0, 1.0], 50), ([0.3, 0.7], 80)], "member array<double>, tokens bigint")
     need, cap, have = np.array([60.0, 90.0]), np.array([1.0, 2.0]), np.array([124.0, 106.0])
